@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ethersense import demo
 from ethersense.functions import columns as fn
@@ -15,11 +16,16 @@ from ethersense.operators import evaluate as ev
 from ethersense.operators import filters as flt
 from ethersense.operators import inspect as ins
 from ethersense.operators import labels as lab
-from ethersense.operators import ranking, sampling
+from ethersense.operators import learn, ranking, sampling, trees
 from ethersense.operators import windows as win
 from ethersense.operators.filters import FilterSettings
 from ethersense.operators.labels import LabelSettings
 from ethersense.operators.position import add_position
+from ethersense.plans import jobs
+from ethersense.schemas import FEATURES, PREDICTIONS, RECORDS
+from ethersense.session import work_path
+from ethersense.sources import capture, datasets, frames
+from ethersense.streaming import presence as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -921,3 +927,377 @@ def _(spark, sf):
              "max_probability_threshold"]
     return cells.crossJoin(F.broadcast(grid)).groupBy(*names).agg(
         F.sum(F.when(F.col("ri") > F.col("i"), F.col("n")).otherwise(0)).alias("reaching_windows"))
+
+
+# --- sources and sinks -----------------------------------------------------------------------
+
+DEC = "WITH " + demo.DUCK_DECODED
+DECODED_LIST = [f.name for f in RECORDS.fields if f.name not in ("file_ordinal", "source_file")]
+
+
+@query("decode_frames", DEC + f" SELECT {', '.join(DECODED_LIST)} FROM decoded")
+def _(spark, sf):
+    return frames.decode(demo.frame_bytes(spark, sf)).select(*DECODED_LIST)
+
+
+@query("parse_failures", DEC + """
+SELECT packet_index, parse_error, packet_len, radiotap_len FROM decoded WHERE NOT parse_ok""")
+def _(spark, sf):
+    records = frames.decode(demo.frame_bytes(spark, sf))
+    return records.where(~F.col("parse_ok")).select(
+        "packet_index", "parse_error", "packet_len", "radiotap_len")
+
+
+CAPTURED = [c for c in DECODED_LIST if c not in ("packet_index", "timestamp", "hour")]
+
+
+@query("ingest_captures", DEC + f"""
+SELECT (packet_index // 4000)::INT AS file_ordinal, packet_index % 4000 AS packet_index,
+       round(coalesce(timestamp, 0), 6) AS timestamp, coalesce(hour, 0) AS hour,
+       {', '.join(CAPTURED)} FROM decoded""")
+def _(spark, sf):
+    folder = demo.write_captures(spark, sf)
+    records = capture.ingest(spark, [folder], split_bytes=1 << 16)
+    return records.select(
+        "file_ordinal", "packet_index", F.round("timestamp", 6).alias("timestamp"), "hour",
+        *CAPTURED)
+
+
+FEATURE_NAMES = [f.name for f in FEATURES.fields]
+
+
+def _stored_features(spark, sf, suffix):
+    path = work_path(spark, "features") + f".{suffix}"
+    datasets.write_dataset(demo.features(spark, sf).select(*FEATURE_NAMES), path, FEATURES)
+    return path
+
+
+@query("read_formats", FEAT + f"""
+SELECT f.format, feats.* FROM (SELECT {FEATURE_LIST} FROM feats) AS feats
+CROSS JOIN (VALUES ('parquet'), ('jsonl'), ('csv')) AS f(format)""")
+def _(spark, sf):
+    parts = [
+        datasets.read_dataset(spark, _stored_features(spark, sf, suffix), FEATURES)
+        .withColumn("format", F.lit(suffix))
+        for suffix in ("parquet", "jsonl", "csv")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("csv_typing", RAW + """,
+cells AS (SELECT packet_index, CASE packet_index % 6 WHEN 0 THEN '' WHEN 1 THEN 'TRUE'
+            WHEN 2 THEN k::VARCHAR WHEN 3 THEN value::VARCHAR WHEN 4 THEN event_type
+            ELSE 'false' END AS cell
+          FROM frames JOIN (SELECT event_id AS e, value, event_type FROM events)
+            ON e = packet_index)
+SELECT packet_index,
+       CASE packet_index % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'bool' WHEN 2 THEN 'int'
+            WHEN 3 THEN 'float' WHEN 4 THEN 'string' ELSE 'bool' END AS kind,
+       CASE packet_index % 6 WHEN 1 THEN true WHEN 5 THEN false END AS as_bool,
+       TRY_CAST(nullif(cell, '') AS DOUBLE) AS as_double FROM cells""")
+def _(spark, sf):
+    ev_ = demo.events(spark, sf)
+    turn = F.col("event_id") % 6
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    cell = (
+        F.when(turn == 0, "").when(turn == 1, "TRUE").when(turn == 2, k)
+        .when(turn == 3, F.col("value").cast("string")).when(turn == 4, F.col("event_type"))
+        .otherwise("false")
+    )
+    path = work_path(spark, "cells") + ".csv"
+    ev_.select(F.col("event_id").alias("packet_index"), cell.alias("cell")).write.csv(
+        path, header=True)
+    cells = spark.read.schema("packet_index long, cell string").csv(path, header=True)
+    return cells.select(
+        "packet_index", datasets.csv_kind(F.col("cell")).alias("kind"),
+        datasets.csv_value(F.col("cell"), T.BooleanType()).alias("as_bool"),
+        datasets.csv_value(F.col("cell"), T.DoubleType()).alias("as_double"),
+    )
+
+
+@query("write_roundtrip", FEAT + """
+SELECT f.format, count(*) AS written, count(*) AS read_back, sum(data_size)::BIGINT AS total_size
+FROM feats CROSS JOIN (VALUES ('parquet'), ('jsonl'), ('csv'), ('arff')) AS f(format)
+GROUP BY f.format""")
+def _(spark, sf):
+    rows = demo.features(spark, sf).select(*FEATURE_NAMES)
+    out = None
+    for suffix in ("parquet", "jsonl", "csv", "arff"):
+        path = work_path(spark, "roundtrip") + f".{suffix}"
+        written = datasets.write_dataset(rows, path, FEATURES)
+        if suffix == "arff":
+            lines = spark.read.text(f"{path}/data")
+            size = F.split("value", ",")[FEATURE_NAMES.index("data_size")].try_cast("int")
+            back = lines.select(size.alias("data_size"))
+        else:
+            back = datasets.read_dataset(spark, path, FEATURES)
+        one = back.agg(
+            F.count(F.lit(1)).alias("read_back"), F.sum("data_size").alias("total_size")
+        ).select(F.lit(suffix).alias("format"), F.lit(written).alias("written"), "read_back",
+                 "total_size")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("arff_rows", FEAT + """
+SELECT coalesce(timestamp::VARCHAR, '?') || ',''' || source_file || ''',' || packet_index || ',' ||
+       coalesce(hour::VARCHAR, '?') || ',' || coalesce(data_rate::VARCHAR, '?') || ',' ||
+       coalesce(ssi::VARCHAR, '?') || ',' || coalesce(frame_type::VARCHAR, '?') || ',' ||
+       coalesce(frame_subtype::VARCHAR, '?') || ',' || coalesce('''' || source_mac || '''', '?')
+       || ',' || coalesce('''' || destination_mac || '''', '?') || ',' ||
+       coalesce(data_size::VARCHAR, '?') || ',' || coalesce(total_packet_len::VARCHAR, '?') || ','
+       || coalesce(dot11_frame_len::VARCHAR, '?') || ',' || coalesce(payload_len::VARCHAR, '?')
+       || ',' || coalesce(channel_frequency::VARCHAR, '?') || ',' ||
+       coalesce(retry::INT::VARCHAR, '?') || ',' || coalesce(protected::INT::VARCHAR, '?')
+       AS value FROM feats""")
+def _(spark, sf):
+    return datasets.arff_rows(demo.features(spark, sf).select(*FEATURE_NAMES))
+
+
+# --- learners --------------------------------------------------------------------------------
+
+FAST = learn.LearnerSettings(chunks=3, n_models=3)
+
+
+def _trainable(spark, sf):
+    """Feature rows with a label that the model features can explain, apart from every 10th row."""
+    rows = demo.features(spark, sf)
+    strong = (F.coalesce("ssi", F.lit(-99.0)) > -60) & (F.coalesce("frame_type", F.lit(2)) == 2)
+    flipped = F.col("packet_index") % 10 == 0
+    return rows.withColumn("label", F.when(strong != flipped, "target").otherwise("other"))
+
+
+def _rule_model() -> trees.Model:
+    """A fixed three-level tree."""
+    t = trees.Tree()
+    t.nodes = {
+        0: trees.Node("ssi", trees.NUMBER, -60.0, None, 1, 2),
+        1: trees.Node(weights={"other": 30.0, "target": 10.0}, depth=1),
+        2: trees.Node("data_size", trees.NUMBER, 50.0, None, 3, 4, depth=1),
+        3: trees.Node("frame_type", trees.CODE, None, "2", 5, 6, depth=2),
+        4: trees.Node(weights={"other": 1.0, "target": 3.0}, depth=2),
+        5: trees.Node(weights={"target": 5.0}, depth=3),
+        6: trees.Node(weights={"other": 2.0, "target": 2.0}, depth=3),
+    }
+    t.next_id = 7
+    return trees.Model("adaptive_hoeffding_tree", list(fn.MODEL_FEATURES), ["other", "target"], [t])
+
+
+RULE_LEAF = """CASE WHEN coalesce(ssi, -1) <= -60 THEN 1
+     WHEN coalesce(data_size, -1) > 50 THEN 4 WHEN frame_type = 2 THEN 5 ELSE 6 END"""
+
+
+@query("score_rule_model", LABEL_BIN + f""",
+leafed AS (SELECT *, {RULE_LEAF} AS leaf FROM labelled),
+p AS (SELECT *, CASE leaf WHEN 1 THEN 0.25::DOUBLE WHEN 4 THEN 0.75 WHEN 5 THEN 1.0 ELSE 0.5 END
+        AS pt FROM leafed)
+SELECT packet_index, CASE WHEN pt > 0.5 THEN 'target' ELSE 'other' END AS predicted_class,
+       greatest(pt, 1 - pt) AS confidence, label AS ground_truth,
+       '{{"other":' || (1 - pt) || ',"target":' || pt || '}}' AS probabilities_json FROM p""")
+def _(spark, sf):
+    return trees.classify(demo.labelled(spark, sf), _rule_model()).select(
+        "packet_index", "predicted_class", "confidence", "ground_truth", "probabilities_json")
+
+
+@query("tree_node_stats", LABEL_BIN + f"""
+SELECT 0 AS member, {RULE_LEAF} AS leaf, label, coalesce(frame_type::VARCHAR, 'missing')
+         AS frame_type, coalesce(frame_subtype::VARCHAR, 'missing') AS frame_subtype,
+       count(*) AS n, sum(1.0::DOUBLE) AS w, sum(coalesce(data_size, -1)::DOUBLE) AS sx_data_size,
+       sum(coalesce(data_size, -1)::DOUBLE ** 2) AS sxx_data_size,
+       min(coalesce(ssi, -1)) AS lo_ssi, max(coalesce(ssi, -1)) AS hi_ssi
+FROM labelled GROUP BY ALL""")
+def _(spark, sf):
+    rows = demo.labelled(spark, sf)
+    inputs = trees.model_inputs(rows, FeatureSettings())
+    chunk = rows.select(
+        "label", F.lit(1.0).alias("weight"), *[c.alias(n) for n, c in inputs.items()])
+    return learn.leaf_cells(chunk, _rule_model()).select(
+        "member", "leaf", "label", "frame_type", "frame_subtype", "n", "w", "sx_data_size",
+        "sxx_data_size", "lo_ssi", "hi_ssi")
+
+
+_CUTS = learn.poisson_cuts()
+_LADDER = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(_CUTS)) + (
+    f" ELSE {len(_CUTS)} END")
+
+
+@query("bag_weights", FEAT + f""",
+u AS (SELECT file_ordinal, packet_index, m AS member,
+             ('0x' || substr(md5('42.' || (m // 4) || '-0-' || packet_index), 1 + 8 * (m % 4), 8)
+             )::BIGINT AS u
+      FROM feats CROSS JOIN (SELECT unnest(range(10))::INT AS m))
+SELECT file_ordinal, packet_index, member, ({_LADDER})::DOUBLE AS weight FROM u""")
+def _(spark, sf):
+    return learn.bag_weights(demo.features(spark, sf), 10)
+
+
+def _train_query(name: str, model_id: str) -> None:
+    @query(name)
+    def _(spark, sf):
+        model, _rows = learn.train(_trainable(spark, sf), model_id, settings=FAST)
+        return trees.node_table(spark, model)
+
+
+_train_query("train_hoeffding", "adaptive_hoeffding_tree")
+_train_query("train_leveraging_bag", "leveraging_bag")
+_train_query("train_oza_boost", "oza_boost")
+_train_query("train_oza_adwin", "oza_boost_adwin")
+
+
+def _small_model(spark, sf):
+    return learn.train(_trainable(spark, sf), "adaptive_hoeffding_tree", settings=FAST)
+
+
+@query("train_online")
+def _(spark, sf):
+    weighted = sampling.class_weights(_trainable(spark, sf))
+    model, rows = learn.train(
+        weighted, "adaptive_hoeffding_tree", settings=FAST, weight="sample_weight")
+    return trees.node_table(spark, model).where(F.col("feature").isNull()).select(
+        F.lit(rows).alias("train_examples"), "node_id", "weights")
+
+
+@query("model_roundtrip")
+def _(spark, sf):
+    model, _rows = _small_model(spark, sf)
+    path = work_path(spark, "model")
+    trees.save_model(spark, model, path)
+    return trees.node_table(spark, trees.load_model(spark, path))
+
+
+@query("classify_frames")
+def _(spark, sf):
+    model, _rows = _small_model(spark, sf)
+    return trees.classify(demo.features(spark, sf), model).select(
+        *[f.name for f in PREDICTIONS.fields])
+
+
+@query("classify_dataset")
+def _(spark, sf):
+    model, _rows = _small_model(spark, sf)
+    source = _stored_features(spark, sf, "parquet")
+    return jobs.classify_dataset(spark, source, work_path(spark, "predictions") + ".parquet", model)
+
+
+@query("eval_holdout")
+def _(spark, sf):
+    metrics, _preds = jobs.evaluate_holdout(
+        sampling.chronological_split(_trainable(spark, sf), 0.9), "adaptive_hoeffding_tree",
+        settings=FAST)
+    return metrics
+
+
+@query("eval_prequential")
+def _(spark, sf):
+    _model, preds = learn.prequential(
+        _trainable(spark, sf), "adaptive_hoeffding_tree", settings=FAST)
+    return jobs.prediction_metrics(preds)
+
+
+@query("comparison_plan", FRACTION_SQL + """
+SELECT model_id, train_fraction, train_rows, total - train_rows AS test_rows FROM cuts
+CROSS JOIN (VALUES ('adaptive_hoeffding_tree'), ('leveraging_bag'), ('oza_boost'),
+                   ('oza_boost_adwin')) AS m(model_id)""")
+def _(spark, sf):
+    return jobs.comparison_plan(
+        demo.labelled(spark, sf, demo.MULTI), list(learn.MODEL_MAPPINGS), FRACTIONS)
+
+
+@query("compare_models")
+def _(spark, sf):
+    results = jobs.compare_models(
+        _trainable(spark, sf), list(learn.MODEL_MAPPINGS), [0.5],
+        settings=learn.LearnerSettings(chunks=2, n_models=2))
+    return jobs.top_by_f1(results)
+
+
+@query("pipeline_prepare", LABEL_MULTI + """,
+numbered AS (SELECT row_number() OVER (ORDER BY packet_index) - 1 AS pos FROM labelled
+             WHERE frame_type IS NULL OR frame_type <> 1)
+SELECT 'records' AS stage, count(*) AS row_count FROM records
+UNION ALL SELECT 'features', count(*) FROM feats
+UNION ALL SELECT 'labels', count(*) FROM numbered
+UNION ALL SELECT 'train', floor(count(*)::DOUBLE * 0.9)::BIGINT FROM numbered
+UNION ALL SELECT 'test', count(*) - floor(count(*)::DOUBLE * 0.9)::BIGINT FROM numbered""")
+def _(spark, sf):
+    out = jobs.prepare(
+        demo.records(spark, sf), demo.targets(spark), work_path(spark, "prepared"),
+        filters=FilterSettings(include_control=False), labels=demo.MULTI)
+    return out.manifest
+
+
+@query("pipeline_train_eval")
+def _(spark, sf):
+    rows = sampling.chronological_split(_trainable(spark, sf), 0.9)
+    return jobs.train_eval(
+        spark, rows, work_path(spark, "run"), "adaptive_hoeffding_tree", ["target"],
+        windows=demo.WINDOWS, settings=FAST).manifest
+
+
+# --- streaming -------------------------------------------------------------------------------
+
+
+def _landed(spark, sf, preds, consume) -> None:
+    """Land the predictions in three slices of file order; run the consumer after each."""
+    landing = work_path(spark, "landing")
+    size = preds.agg(F.max("packet_index")).first()[0] + 1
+    for i in range(3):
+        low, high = size * i // 3, size * (i + 1) // 3
+        preds.where(F.col("packet_index").between(low, high - 1)).write.mode("append").parquet(
+            landing)
+        consume(stream.landing_stream(spark, landing, preds.schema))
+
+
+def _replayed(spark, sf, targets, preds):
+    engine = stream.ReplayEngine(spark, targets, demo.WINDOWS, work_path(spark, "replay-state"))
+    _landed(spark, sf, preds, engine.run)
+    engine.finish()
+    return engine
+
+
+@query("stream_replay", MULTI + ROLLING + REPLAY + f"""
+SELECT {PRESENCE_SQL}, window_seq, final_window FROM replay""")
+def _(spark, sf):
+    engine = _replayed(spark, sf, TARGETS, demo.multi_predictions(spark, sf))
+    return engine.events().select(*PRESENCE, "window_seq", "final_window")
+
+
+@query("stream_frame_windows", BIN + ROLLING + f"""
+SELECT {PRESENCE_SQL} FROM rolling WHERE window_type = 'frame_count'""")
+def _(spark, sf):
+    engine = _replayed(spark, sf, ["target"], demo.binary_predictions(spark, sf))
+    return engine.events().where(F.col("window_type") == "frame_count").select(*PRESENCE)
+
+
+@query("stream_multitarget", MULTI + ROLLING + REPLAY + """
+SELECT target_id, window_type, state, count(*) AS windows, sum(frame_count)::BIGINT AS frames
+FROM replay GROUP BY ALL""")
+def _(spark, sf):
+    engine = _replayed(spark, sf, TARGETS, demo.multi_predictions(spark, sf))
+    return engine.events().groupBy("target_id", "window_type", "state").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("frame_count").alias("frames"))
+
+
+@query("stream_changes", MULTI + ROLLING + REPLAY + """
+SELECT target_id, window_type, window_seq, state FROM changes""")
+def _(spark, sf):
+    engine = _replayed(spark, sf, TARGETS, demo.multi_predictions(spark, sf))
+    return engine.changes().select("target_id", "window_type", "window_seq", "state")
+
+
+@query("stream_time_windows", BIN + ROLLING + f"""
+SELECT {PRESENCE_SQL} FROM rolling WHERE window_type = 'time'
+  AND window_end <= (SELECT max(timestamp) - 3600 FROM preds)""")
+def _(spark, sf):
+    sink = stream.WindowSink(spark, ["target"], demo.WINDOWS, "3600 seconds",
+                             work_path(spark, "time-windows"))
+    _landed(spark, sf, demo.binary_predictions(spark, sf), sink.run)
+    return sink.windows().select(*PRESENCE)
+
+
+@query("stream_classify")
+def _(spark, sf):
+    model = _rule_model()
+    sink = stream.ClassifySink(spark, model, work_path(spark, "live"))
+    _landed(spark, sf, demo.features(spark, sf), sink.run)
+    return sink.predictions()

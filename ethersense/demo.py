@@ -6,6 +6,10 @@ definitions for the SQL checks.
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ from ethersense.operators.labels import (
     registry_frame,
 )
 from ethersense.operators.windows import WindowSettings
-from ethersense.session import configure
+from ethersense.session import configure, work_path
 
 BSSID = "02:00:00:02:00:01"
 AP_MACS = ("02:00:00:00:00:0E",)
@@ -148,6 +152,47 @@ def targets(spark: SparkSession) -> DataFrame:
     return broadcastable_targets(registry(spark))
 
 
+def write_captures(spark: SparkSession, sf_dir: str, rows_per_file: int = 4000) -> str:
+    """The byte frames as capture files, alternately pcap and pcapng; returns the folder."""
+    folder = work_path(spark, "captures")
+    frames = frame_bytes(spark, sf_dir).select(
+        F.floor(F.col("packet_index") / rows_per_file).alias("file_no"), "packet_index",
+        F.coalesce((F.col("timestamp") * 1e6 + 0.5).cast("long"), F.lit(0)).alias("us"),
+        "original_len", "frame",
+    )
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ng = key[0] % 2 == 1
+        name = f"{folder}/part-{key[0]:08d}.{'pcapng' if ng else 'pcap'}"
+        pdf = pdf.sort_values("packet_index")
+        blocks = []
+        if ng:
+            blocks.append(struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28))
+            blocks.append(struct.pack("<IIHHII", 1, 20, 127, 0, 0, 20))
+        else:
+            blocks.append(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 127))
+        for us, original, frame in zip(pdf["us"], pdf["original_len"], pdf["frame"]):
+            us, original, size = int(us), int(original), len(frame)
+            if ng:
+                pad = -size % 4
+                total = 32 + size + pad
+                blocks.append(struct.pack("<IIIIIII", 6, total, 0, us >> 32, us & 0xFFFFFFFF,
+                                          size, original) + bytes(frame) + b"\0" * pad
+                              + struct.pack("<I", total))
+            else:
+                blocks.append(struct.pack("<IIII", us // 10**6, us % 10**6, size, original)
+                              + bytes(frame))
+        filesystem, inner = fs.FileSystem.from_uri(name)
+        filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(inner) as out:
+            out.write(b"".join(blocks))
+        return pd.DataFrame({"path": [name], "packets": [len(pdf)]})
+
+    # a file holds a fixed number of rows, so no group can grow
+    frames.groupBy("file_no").applyInPandas(write, "path string, packets long").count()
+    return folder
+
+
 def labelled(
     spark: SparkSession, sf_dir: str, settings: LabelSettings = BINARY
 ) -> DataFrame:
@@ -234,6 +279,69 @@ def multi_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hex(value: Column, digits: int = 2) -> Column:
+    return F.lpad(F.hex(value), digits, "0")
+
+
+def _hex_u16(value: Column) -> Column:
+    """Two bytes, low byte first."""
+    return F.concat(_hex(value.bitwiseAND(F.lit(255))), _hex(F.shiftright(value, 8)))
+
+
+def _mac_hex(mac: Column) -> Column:
+    return F.coalesce(F.regexp_replace(mac, ":", ""), F.lit("000000000000"))
+
+
+def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as bytes: a radiotap header and an 802.11 header, padded to their length.
+
+    Frames that must not parse are cut off after one byte of the 802.11 header. Null types become
+    data frames, as a byte frame always has a type; half-unit signals are rounded down.
+    """
+    raw = raw_frames(spark, sf_dir)
+    k, eid = F.col("k"), F.col("event_id")
+    rate, channel = F.col("data_rate").isNotNull(), F.col("channel_frequency").isNotNull()
+    dbm, db = F.col("rssi").isNotNull(), F.col("ssi").isNotNull()
+
+    def bit(test: Column, value: int) -> Column:
+        return F.when(test, value).otherwise(0)
+
+    def part(test: Column, text: Column) -> Column:
+        return F.when(test, text).otherwise("")
+
+    tap_fields = F.concat(
+        part(rate, _hex(k * 2)),
+        part(rate & channel, F.lit("00")),
+        part(channel, F.concat(_hex_u16(F.coalesce("channel_frequency", F.lit(0))),
+                               F.lit("0000"))),
+        part(dbm, _hex(F.lit(256) - 30 - k)),
+        part(db, _hex(F.floor(k / 2).cast("int"))),
+    )
+    tap = F.concat(
+        F.lit("00001200"), _hex(bit(rate, 4) + bit(channel, 8) + bit(dbm, 32)), _hex(bit(db, 16)),
+        F.lit("0000"), F.rpad(tap_fields, 20, "0"),
+    )
+    kind = F.coalesce("frame_type", F.lit(2))
+    control = kind == 1
+    short = control & F.col("frame_subtype").isin(12, 13)
+    both = (kind == 2) & (F.col("fc").bitwiseAND(F.lit(3)) == 3)
+    dot11 = F.concat(
+        _hex(kind * 4 + F.col("frame_subtype") * 16), _hex(F.col("fc")), F.lit("0000"),
+        _mac_hex(F.col("addr1")), part(~short, _mac_hex(F.col("addr2"))),
+        part(~control, F.concat(_mac_hex(F.col("addr3")), _hex_u16(F.col("sc")))),
+        part(both, _mac_hex(F.col("addr4"))),
+    )
+    whole = F.rpad(F.concat(tap, dot11), F.col("packet_len") * 2, "0")
+    text = F.when(F.col("parse_ok"), whole).otherwise(F.concat(tap, F.lit("08")))
+    joined = raw.withColumn("frame", F.unhex(text))
+    return joined.select(
+        "file_ordinal", "source_file", "packet_index",
+        "timestamp",
+        F.when(eid % 10 != 0, F.col("packet_len")).otherwise(0).alias("original_len"),
+        F.lit(127).alias("linktype"), "frame",
+    )
+
+
 # --- the same definitions for DuckDB ---------------------------------------------------------
 
 DUCK_RAW = """
@@ -385,3 +493,37 @@ target_rows AS (
          predicted_class = c.target_id AS hit, ground_truth = c.target_id AS truth
   FROM preds p CROSS JOIN (VALUES ('t_a'), ('t_b')) AS c(target_id)
 )"""
+
+# packet records as they come out of the byte frames
+DUCK_DECODED = DUCK_RAW + """,
+typed AS (
+  SELECT *, coalesce(frame_type, 2) AS t,
+         coalesce(frame_type, 2) = 1 AND frame_subtype IN (12, 13) AS short,
+         coalesce(frame_type, 2) = 2 AND fc & 3 = 3 AS four,
+         CASE WHEN parse_ok THEN packet_len ELSE 19 END AS plen FROM frames),
+sized AS (
+  SELECT *, CASE WHEN four THEN 30 WHEN t <> 1 THEN 24 WHEN short THEN 10 ELSE 16 END AS head,
+         CASE WHEN parse_ok THEN nullif(lower(a1), '00:00:00:00:00:00') END AS n1,
+         CASE WHEN parse_ok AND NOT short THEN nullif(lower(a2), '00:00:00:00:00:00') END AS n2,
+         CASE WHEN parse_ok AND t <> 1 THEN nullif(lower(a3), '00:00:00:00:00:00') END AS n3,
+         CASE WHEN parse_ok AND four THEN nullif(lower(a4), '00:00:00:00:00:00') END AS n4
+  FROM typed),
+decoded AS (
+  SELECT packet_index, timestamp, plen AS packet_len, plen AS capture_len,
+         CASE WHEN event_id % 10 = 0 THEN plen ELSE packet_len END AS original_len,
+         radiotap_len, CASE WHEN parse_ok THEN plen - 18 END AS dot11_frame_len,
+         CASE WHEN parse_ok THEN plen - 18 - head END AS payload_len,
+         CAST(floor((timestamp % 86400) / 3600) AS INTEGER) AS hour, data_rate, channel_frequency,
+         floor(ssi) AS ssi, rssi, CASE WHEN parse_ok THEN t END AS frame_type,
+         CASE WHEN parse_ok THEN frame_subtype END AS frame_subtype,
+         CASE WHEN parse_ok THEN fc & 1 <> 0 END AS to_ds,
+         CASE WHEN parse_ok THEN fc & 2 <> 0 END AS from_ds,
+         n1 AS addr1, n2 AS addr2, n3 AS addr3, n4 AS addr4,
+         CASE WHEN fc & 2 <> 0 THEN CASE WHEN fc & 1 <> 0 THEN n4 ELSE n3 END ELSE n2 END
+           AS source_mac,
+         CASE WHEN fc & 1 <> 0 THEN n3 ELSE n1 END AS destination_mac,
+         CASE WHEN parse_ok AND t <> 1 THEN sc >> 4 END AS sequence_number,
+         CASE WHEN parse_ok THEN fc & 8 <> 0 END AS retry,
+         CASE WHEN parse_ok THEN fc & 64 <> 0 END AS protected, parse_ok,
+         CASE WHEN NOT parse_ok THEN 'packet has no 802.11 Dot11 layer' END AS parse_error
+  FROM sized)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,8 +12,18 @@ from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on (hours and ISO times are UTC)."""
+    """Pin the settings the results depend on (hours and ISO times are UTC) and ship the package
+    to the Python workers once per application."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if getattr(context, "_ethersense_shipped", None) is None:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="ethersense-"), "ethersense"), "zip",
+            os.path.dirname(package), os.path.basename(package),
+        )
+        context.addPyFile(archive)
+        context._ethersense_shipped = archive
     return spark
 
 
@@ -81,7 +92,3 @@ def bounded(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
     if len(rows) > limit:
         return df, False
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:") or os.path.isabs(path)
