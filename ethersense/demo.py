@@ -148,8 +148,15 @@ def registry(spark: SparkSession) -> DataFrame:
     ])
 
 
+_TARGETS: dict[str, DataFrame] = {}
+
+
 def targets(spark: SparkSession) -> DataFrame:
-    return broadcastable_targets(registry(spark))
+    """The address table of the fixed registry, looked up once per application."""
+    key = spark.sparkContext.applicationId
+    if key not in _TARGETS:
+        _TARGETS[key] = broadcastable_targets(registry(spark))
+    return _TARGETS[key]
 
 
 def write_captures(spark: SparkSession, sf_dir: str, rows_per_file: int = 4000) -> str:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethersense.functions.columns import FeatureSettings, model_feature_names
+from ethersense.functions.columns import CODE_FEATURES, FeatureSettings, model_feature_names
 from ethersense.operators.position import PACKET_ORDER, ensure_position
 from ethersense.operators.trees import (
     CODE,
@@ -186,13 +186,26 @@ def _normal_below(z: Column) -> Column:
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
-def split_tests(cells: DataFrame, model: Model, settings: LearnerSettings) -> DataFrame:
-    """Per leaf: class weights, the best split and the gain of the runner-up feature."""
+def split_tests(
+    cells: DataFrame, model: Model, settings: LearnerSettings, fresh: Column | None = None
+) -> DataFrame:
+    """Per leaf: class weights, the best split and the gain of the runner-up feature.
+
+    The ``fresh_*`` columns sum what the current chunk added.
+    """
+    fresh = F.lit(True) if fresh is None else fresh
+    cells = cells.withColumn("fresh", fresh)
+    if all(f in CODE_FEATURES for f in model.features if is_code(f)):
+        # a leaf has at most labels x 85 cells here, so one exchange by leaf serves every
+        # grouping, window and join below; address features have no such limit
+        cells = cells.repartition("member", "leaf")
     numbers = [f for f in model.features if not is_code(f)]
     codes = [f for f in model.features if is_code(f)]
     leaf = ["member", "leaf"]
     per_label = cells.groupBy(*leaf, "label").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"),
+        *[F.sum(F.when(F.col("fresh"), F.col(c)).otherwise(0)).alias(f"fresh_{c}")
+          for c in ("n", "hits", "w", "w_hits")],
         *[F.sum(f"sx_{f}").alias(f"sx_{f}") for f in numbers],
         *[F.sum(f"sxx_{f}").alias(f"sxx_{f}") for f in numbers],
         *[F.min(f"lo_{f}").alias(f"lo_{f}") for f in numbers],
@@ -202,6 +215,7 @@ def split_tests(cells: DataFrame, model: Model, settings: LearnerSettings) -> Da
         F.sum("n").alias("n"), F.sum("w").alias("total"),
         F.sum(_entropy_term(F.col("w"))).alias("total_wlw"),
         F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("weights"),
+        *[F.sum(f"fresh_{c}").alias(f"fresh_{c}") for c in ("n", "hits", "w", "w_hits")],
     )
     entries = F.array(*[
         F.struct(
@@ -276,7 +290,8 @@ def split_tests(cells: DataFrame, model: Model, settings: LearnerSettings) -> Da
         F.sort_array(F.collect_list("best.gain"), asc=False).alias("gains"),
     )
     return totals.join(top, leaf, "left").select(
-        *leaf, "n", "total", "weights", "best", F.try_element_at("gains", F.lit(2)).alias("second")
+        *leaf, "n", "total", "weights", "best", F.try_element_at("gains", F.lit(2)).alias("second"),
+        *[f"fresh_{c}" for c in ("n", "hits", "w", "w_hits")],
     )
 
 
@@ -456,32 +471,25 @@ def learn_chunk(table: DataFrame, chunk: int, model: Model, monitor: DriftMonito
                 settings: LearnerSettings, store: str) -> int:
     """Learn one chunk and edit the model; returns the rows learned."""
     spark = table.sparkSession
-    path = f"{store}/chunk={chunk}"
-    leaf_cells(table.where(F.col("chunk") == chunk), model).write.parquet(path)
-    cells = spark.read.parquet(path)
-    # one row per leaf; labels are target names from the registry, so their set stays short
-    outcome = cells.groupBy("member", "leaf").agg(
-        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("w").alias("w"),
-        F.sum("w_hits").alias("w_hits"), F.collect_set("label").alias("labels"),
-    ).collect()
-    errors: dict[int, dict[int, tuple[float, float]]] = defaultdict(dict)
-    learned = 0
-    for r in outcome:
-        model.classes = sorted({*model.classes, *r["labels"]})
-        errors[r["member"]][r["leaf"]] = (r["n"], r["n"] - r["hits"])
-        model.right_weight[r["member"]] += r["w_hits"]
-        model.wrong_weight[r["member"]] += r["w"] - r["w_hits"]
-        learned += r["n"] if r["member"] == 0 else 0
-    if not learned:
-        return 0
+    cells = leaf_cells(table.where(F.col("chunk") == chunk), model)
+    cells.write.parquet(f"{store}/chunk={chunk}")
     # statistics of a leaf live in the chunks since it was created
+    history = spark.read.option("basePath", store).schema(cells.schema).parquet(
+        *[f"{store}/chunk={c}" for c in range(chunk + 1)])
     active = [(m, i) for m, t in enumerate(model.trees) for i in t.leaves()]
     current = spark.createDataFrame(active, "member int, leaf int")
-    history = spark.read.schema(cells.schema).parquet(
-        *[f"{store}/chunk={c}" for c in range(chunk + 1)]
-    )
+    fresh = F.col("chunk") == chunk
     mine = history.join(F.broadcast(current), ["member", "leaf"])
-    _grow(model, split_tests(mine, model, settings).collect(), settings)
+    tests = split_tests(mine, model, settings, fresh).collect()
+    errors: dict[int, dict[int, tuple[float, float]]] = defaultdict(dict)
+    learned = 0
+    for r in tests:
+        model.classes = sorted({*model.classes, *r["weights"]})
+        errors[r["member"]][r["leaf"]] = (r["fresh_n"], r["fresh_n"] - r["fresh_hits"])
+        model.right_weight[r["member"]] += r["fresh_w_hits"]
+        model.wrong_weight[r["member"]] += r["fresh_w"] - r["fresh_w_hits"]
+        learned += r["fresh_n"] if r["member"] == 0 else 0
+    _grow(model, tests, settings)
     _react_to_drift(model, errors, monitor)
     return learned
 

@@ -16,12 +16,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ethersense.session import materialise
 
 BLOCK_BITS = 14
 FILE_SHIFT = 40
 GROUP_BITS = 10
+FEW_BUCKETS = 10_000
 
 
 def packet_bucket(bits: int = BLOCK_BITS) -> Column:
@@ -54,10 +56,38 @@ def prefix_buckets(
     """Running totals over the ``bucket`` order, *excluding* the bucket itself.
 
     Adds ``<sum>_before`` for each of ``sums`` and ``<carry>_before`` with the carried value of
-    the nearest earlier bucket. Two levels: inside groups of ``2**GROUP_BITS`` neighbouring
-    buckets in parallel, then over one row per group. ``buckets`` is read twice, so pass a stored
-    table.
+    the nearest earlier bucket. ``buckets`` is read more than once, so pass a stored table. Up to
+    ``FEW_BUCKETS`` rows are added up on the driver and broadcast; more are done in Spark.
     """
+    few = buckets.limit(FEW_BUCKETS + 1).collect()
+    if len(few) > FEW_BUCKETS:
+        return _prefix_many(buckets, sums, partition, carry)
+    out, running, latest = [], {}, {}
+    for row in sorted(few, key=lambda r: r["bucket"]):
+        key = tuple(row[p] for p in partition)
+        total = running.setdefault(key, dict.fromkeys(sums, 0))
+        held = latest.setdefault(key, dict.fromkeys(carry))
+        out.append((*row, *[total[s] for s in sums], *[held[c] for c in carry]))
+        for s in sums:
+            total[s] += row[s] or 0
+        held.update({c: row[c] for c in carry if row[c] is not None})
+    schema = T.StructType([
+        *buckets.schema.fields,
+        *[T.StructField(f"{s}_before", buckets.schema[s].dataType) for s in sums],
+        *[T.StructField(f"{c}_before", buckets.schema[c].dataType) for c in carry],
+    ])
+    return F.broadcast(buckets.sparkSession.createDataFrame(out, _nullable(schema)))
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
+def _prefix_many(
+    buckets: DataFrame, sums: Sequence[str], partition: Sequence[str], carry: Sequence[str]
+) -> DataFrame:
+    """Two levels: inside groups of ``2**GROUP_BITS`` neighbouring buckets in parallel, then over
+    one row per group."""
     keys = [*partition, "_group"]
     grouped = buckets.withColumn("_group", F.shiftright("bucket", GROUP_BITS))
     coarse = grouped.groupBy(*keys).agg(

@@ -296,15 +296,17 @@ def replay_windows(
 
 
 def state_changes(
-    events: DataFrame, sequence: str = "window_seq", block_bits: int = BLOCK_BITS
+    events: DataFrame, sequence: str = "window_seq", block_bits: int = BLOCK_BITS,
+    *, stored: bool = False,
 ) -> DataFrame:
     """Events whose state differs from the one before in their (target, window type).
 
     One target may own most windows, so the order is cut into blocks and the last state of the
-    previous block is carried over.
+    previous block is carried over. Pass ``stored`` when the events already come from a table.
     """
     keys = ["target_id", "window_type"]
-    events = materialise(events, "presence-events")
+    if not stored:
+        events = materialise(events, "presence-events")
     cut = events.withColumn("bucket", F.shiftright(sequence, block_bits))
     closing = cut.groupBy(*keys, "bucket").agg(F.max_by("state", sequence).alias("closing"))
     carried = prefix_buckets(

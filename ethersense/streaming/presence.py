@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,8 +120,13 @@ _OPEN = T.StructType([
     T.StructField("max_p", T.DoubleType()), T.StructField("hits", T.LongType()),
     T.StructField("truths", T.LongType()),
 ])
-_LAST = "target_id string, window_type string, state string"
-_CURSOR = "position long, open_tb long, open_seq long"
+_LAST = T.StructType([
+    T.StructField(c, T.StringType()) for c in ("target_id", "window_type", "state")])
+_STATE = T.StructType([
+    T.StructField("position", T.LongType()), T.StructField("open_tb", T.LongType()),
+    T.StructField("open_seq", T.LongType()), T.StructField("open", T.ArrayType(_OPEN)),
+    T.StructField("last", T.ArrayType(_LAST)),
+])
 _STATS = ["n", "sum_p", "max_p", "hits", "truths"]
 
 
@@ -153,11 +158,13 @@ class ReplayEngine:
         cursor, open_rows, last = self._state(number - 1)
         numbered = add_position(batch if "file_ordinal" in batch.columns
                                 else batch.withColumn("file_ordinal", F.lit(0)))
+        counted = Observation()
         placed = materialise(
-            numbered.withColumn("frame_pos", F.col("frame_pos") + F.lit(cursor["position"])),
+            numbered.withColumn("frame_pos", F.col("frame_pos") + F.lit(cursor["position"]))
+            .observe(counted, F.count(F.lit(1)).alias("rows")),
             "batch",
         )
-        count = placed.count()
+        count = counted.get["rows"]
         if count == 0:
             self._store(number, cursor, open_rows, last)
             return
@@ -168,9 +175,11 @@ class ReplayEngine:
             "target_id", "window_type", "window_seq",
             (F.col("window_start") / s.time_seconds).cast("long").alias("tb"), *_STATS)
         local = materialise(local, "batch-islands")
-        first = local.where(F.col("window_seq") == 0).select("tb").first()
+        # null when no row of the batch carries a time
+        ends = local.agg(F.min_by("tb", "window_seq").alias("first_tb"),
+                         F.max("window_seq").alias("last")).first()
         base = cursor["open_seq"]
-        if first is not None and cursor["open_tb"] != first["tb"]:
+        if ends["last"] is not None and cursor["open_tb"] != ends["first_tb"]:
             base += 1
         shifted = local.withColumn("window_seq", F.col("window_seq") + F.lit(base))
         merged = materialise(
@@ -178,8 +187,7 @@ class ReplayEngine:
             .groupBy("target_id", "window_type", "window_seq", "tb").agg(*merge_stats()),
             "batch-windows",
         )
-        ends = local.agg(F.max("window_seq").alias("m")).first()["m"]
-        open_seq = cursor["open_seq"] if ends is None else base + ends
+        open_seq = cursor["open_seq"] if ends["last"] is None else base + ends["last"]
         is_time = F.col("window_type") == TIME
         still_open = F.when(is_time, F.col("window_seq") == open_seq).otherwise(
             F.col("n") < s.frame_count)
@@ -226,7 +234,7 @@ class ReplayEngine:
         before = self.spark.createDataFrame(last, _LAST).select(
             "target_id", "window_type", "state", F.lit(-1).cast("long").alias("window_seq"))
         known = before.unionByName(stored.select("target_id", "window_type", "state", "window_seq"))
-        changed = state_changes(known, block_bits=self.block_bits).where(F.col("window_seq") >= 0)
+        changed = state_changes(known, block_bits=self.block_bits, stored=True).where(F.col("window_seq") >= 0)
         changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
         latest = known.groupBy("target_id", "window_type").agg(
             F.max_by("state", "window_seq").alias("state"))
@@ -235,25 +243,17 @@ class ReplayEngine:
     def _state(self, number: int) -> tuple[dict, list[tuple], list[tuple]]:
         if number < 0:
             return {"position": 0, "open_tb": None, "open_seq": -1}, [], []
-        path = f"{self.folder}/state/batch={number}"
-        cursor = self.spark.read.schema(_CURSOR).parquet(f"{path}/cursor").first().asDict()
-        opened = self.spark.read.schema(_OPEN).parquet(f"{path}/open").collect()
-        last = self.spark.read.schema(_LAST).parquet(f"{path}/last").collect()
-        return cursor, [tuple(r) for r in opened], [tuple(r) for r in last]
+        row = self.spark.read.schema(_STATE).json(f"{self.folder}/state/batch={number}").first()
+        cursor = {k: row[k] for k in ("position", "open_tb", "open_seq")}
+        return cursor, [tuple(r) for r in row["open"]], [tuple(r) for r in row["last"]]
 
     def _store(self, number: int, cursor: dict, open_rows: list, last: list) -> None:
-        path = f"{self.folder}/state/batch={number}"
-        frames = {
-            "open": self.spark.createDataFrame(open_rows, _OPEN),
-            "last": self.spark.createDataFrame(last, _LAST),
-            "cursor": self.spark.createDataFrame(
-                [(cursor["position"], cursor["open_tb"], cursor["open_seq"])], _CURSOR),
-        }
-        for name, df in frames.items():
-            df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        row = (cursor["position"], cursor["open_tb"], cursor["open_seq"], open_rows, last)
+        self.spark.createDataFrame([row], _STATE).coalesce(1).write.mode("overwrite").json(
+            f"{self.folder}/state/batch={number}")
 
     def _latest(self) -> int:
-        """Number of the last batch whose state is complete (the cursor is written last)."""
+        """Number of the last batch whose state is complete."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
         fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
@@ -262,7 +262,7 @@ class ReplayEngine:
         numbers = [
             int(status.getPath().getName().split("=")[1])
             for status in fs.listStatus(root)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "cursor/_SUCCESS"))
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
         ]
         return max(numbers, default=-1)
 
