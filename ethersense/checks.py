@@ -111,7 +111,7 @@ def _(spark, sf):
 SELECT packet_index, packet_len, capture_len, original_len, dot11_frame_len, payload_len
 FROM records""")
 def _(spark, sf):
-    return demo.records(spark, sf).select(
+    return demo.make_records(spark, sf).select(
         "packet_index", "packet_len", "capture_len", "original_len", "dot11_frame_len",
         "payload_len",
     )
@@ -119,7 +119,7 @@ def _(spark, sf):
 
 @query("hour_of_day", REC + " SELECT packet_index, hour FROM records")
 def _(spark, sf):
-    return demo.records(spark, sf).select("packet_index", "hour")
+    return demo.make_records(spark, sf).select("packet_index", "hour")
 
 
 @query("data_size_modes", REC + """
@@ -129,7 +129,7 @@ SELECT packet_index, coalesce(dot11_frame_len, capture_len, packet_len) AS by_fr
          AS by_capture,
        coalesce(radiotap_len, dot11_frame_len) AS by_other FROM records""")
 def _(spark, sf):
-    df = demo.records(spark, sf)
+    df = demo.make_records(spark, sf)
     modes = {"by_frame": "dot11_frame_len", "by_payload": "payload_len",
              "by_packet": "packet_len", "by_capture": "capture_len", "by_other": "radiotap_len"}
     return df.select(

@@ -23,7 +23,7 @@ from ethersense.operators.labels import (
     registry_frame,
 )
 from ethersense.operators.windows import WindowSettings
-from ethersense.session import configure, work_path
+from ethersense.session import configure, materialise, work_path
 
 BSSID = "02:00:00:02:00:01"
 AP_MACS = ("02:00:00:00:00:0E",)
@@ -46,7 +46,8 @@ def _device_mac(user: Column) -> Column:
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame fields before any rule of the library is applied."""
     eid = F.col("event_id")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    # {"k": 69}
+    k = F.substring_index(F.substring_index("props", ":", -1), "}", 1).cast("int")
     mac = _device_mac(F.col("user_id"))
     base = events(spark, sf_dir).select(
         eid.alias("event_id"), "user_id", "event_type", "ts", "value", k.alias("k"),
@@ -88,7 +89,22 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LAYERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored record layer of a data folder, written once per application.
+
+    Later stages read records from a table, as in a real run: their filters and columns reach its
+    scan instead of being expanded into the rules that made the records.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAYERS:
+        _LAYERS[key] = materialise(make_records(spark, sf_dir), "records")
+    return _LAYERS[key]
+
+
+def make_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet records: the library's rules over the raw fields; failed frames keep null headers.
 
     ``event_id``, ``user_id`` and ``k`` ride along for the scoring rule.
@@ -117,9 +133,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         header(to_ds).alias("to_ds"),
         header(from_ds).alias("from_ds"),
         *[header(c).alias(name) for name, c in macs.items()],
-        header(fn.logical_source(to_ds, from_ds, macs["addr2"], macs["addr3"], macs["addr4"]))
+        # picked first and normalised once, which gives the same address
+        header(fn.normalize_mac(
+            fn.logical_source(to_ds, from_ds, F.col("addr2"), F.col("addr3"), F.col("addr4"))))
         .alias("source_mac"),
-        header(fn.logical_destination(to_ds, from_ds, macs["addr1"], macs["addr3"]))
+        header(fn.normalize_mac(
+            fn.logical_destination(to_ds, from_ds, F.col("addr1"), F.col("addr3"))))
         .alias("destination_mac"),
         header(fn.sequence_number(F.col("sc"))).alias("sequence_number"),
         header(fn.flag(F.col("fc"), fn.FLAG_RETRY)).alias("retry"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ethersense.functions.columns import FAMILIES, frame_family
 from ethersense.operators.labels import lookup_targets
 from ethersense.schemas import column_or_null
+from ethersense.session import local_frame
 
 COVERAGE_FIELDS = ["data_rate", "channel_frequency", "rssi_or_ssi"]
 
@@ -71,7 +72,7 @@ def family_counts(records: DataFrame) -> DataFrame:
     """All five families, zero counts included; a null type counts as unknown."""
     family = F.coalesce(frame_family(column_or_null(records, "frame_type", "int")), F.lit("unknown"))
     counted = records.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"))
-    names = records.sparkSession.createDataFrame([(f,) for f in FAMILIES], "family string")
+    names = local_frame(records.sparkSession, [(f,) for f in FAMILIES], "family string")
     return names.join(counted, "family", "left").select(
         "family", F.coalesce("n", F.lit(0)).alias("frames")
     )

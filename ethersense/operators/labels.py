@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ethersense.functions.columns import normalize_mac
 from ethersense.schemas import REGISTRY, column_or_null
-from ethersense.session import bounded
+from ethersense.session import bounded, local_frame
 
 MULTICLASS_MODES = ("multiclass_known_targets_only", "multiclass_with_other")
 LABEL_MODES = ("binary_one_vs_rest", "per_target_binary", *MULTICLASS_MODES)
@@ -37,7 +37,7 @@ def registry_frame(spark: SparkSession, targets: list[dict]) -> DataFrame:
         for i, t in enumerate(targets)
     ]
     schema = T.StructType([T.StructField("target_ordinal", T.LongType()), *REGISTRY.fields])
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def mac_targets(registry: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from ethersense.operators.trees import (
     model_inputs,
 )
 from ethersense.schemas import column_or_null
-from ethersense.session import materialise, work_path
+from ethersense.session import local_frame, materialise, work_path
 
 # What each model id stands for.
 MODEL_MAPPINGS = {
@@ -94,57 +94,89 @@ def poisson_cuts(rate: float = POISSON_RATE) -> list[int]:
         term *= rate / k
 
 
-def member_uniform(seed: int, member: int, keys: tuple[str, ...] = PACKET_ORDER) -> Column:
-    """32 random bits per (row, member); one digest serves four members."""
-    per_digest = 32 // UNIFORM_DIGITS
-    digest = F.md5(F.concat_ws(
-        "-", F.lit(f"{seed}.{member // per_digest}"), *[F.col(k).cast("string") for k in keys]
-    ))
-    start = 1 + UNIFORM_DIGITS * (member % per_digest)
-    return F.conv(F.substring(digest, start, UNIFORM_DIGITS), 16, 10).cast("long")
-
-
 def poisson_weight(uniform: Column, rate: float = POISSON_RATE) -> Column:
+    """Number of events for 32 random bits, as a balanced search over the interval ends."""
     cuts = poisson_cuts(rate)
-    ladder = F.when(uniform < cuts[0], 0)
-    for k, cut in enumerate(cuts[1:], 1):
-        ladder = ladder.when(uniform < cut, k)
-    return ladder.otherwise(len(cuts)).cast("double")
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(float(low))
+        middle = (low + high) // 2
+        return F.when(uniform < cuts[middle], search(low, middle)).otherwise(
+            search(middle + 1, high))
+
+    return search(0, len(cuts))
+
+
+def with_uniforms(rows: DataFrame, n_models: int, seed: int) -> DataFrame:
+    """Add ``_u0`` .. with the random bits of every member.
+
+    Digests and bits are columns of their own, so that the search above does not evaluate them
+    once per comparison.
+    """
+    per_digest = 32 // UNIFORM_DIGITS
+    staged = rows.select("*", *[
+        F.md5(F.concat_ws("-", F.lit(f"{seed}.{d}"), *[F.col(k).cast("string")
+                                                       for k in PACKET_ORDER])).alias(f"_digest{d}")
+        for d in range((n_models + per_digest - 1) // per_digest)
+    ])
+    bits = [
+        F.conv(F.substring(F.col(f"_digest{m // per_digest}"),
+                           1 + UNIFORM_DIGITS * (m % per_digest), UNIFORM_DIGITS), 16, 10)
+        .cast("long").alias(f"_u{m}")
+        for m in range(n_models)
+    ]
+    return staged.select(*rows.columns, *bits)
 
 
 def bag_weights(rows: DataFrame, n_models: int, seed: int = 42) -> DataFrame:
     """One row per (frame, member) with the member's Poisson(6) weight."""
+    bits = with_uniforms(rows.select(*PACKET_ORDER), n_models, seed)
     entries = F.array(*[
-        F.struct(F.lit(m).alias("member"),
-                 poisson_weight(member_uniform(seed, m)).alias("weight"))
-        for m in range(n_models)
+        F.struct(F.lit(m).alias("member"), F.col(f"_u{m}").alias("u")) for m in range(n_models)
     ])
-    return rows.select(*PACKET_ORDER, F.explode(entries).alias("e")).select(*PACKET_ORDER, "e.*")
+    # exploded before the search, so that its code exists once and not once per member
+    return bits.select(*PACKET_ORDER, F.explode(entries).alias("e")).select(
+        *PACKET_ORDER, "e.member", F.col("e.u").alias("u")
+    ).select(*PACKET_ORDER, "member", poisson_weight(F.col("u")).alias("weight"))
 
 
-def member_entries(model: Model) -> Column:
-    """array<struct<member, leaf, w, correct>> of one training row under the current model."""
-    entries = []
-    share = F.col("weight")
-    for m, tree in enumerate(model.trees):
-        correct = majority_column(tree).eqNullSafe(F.col("label"))
-        if model.boosted:
-            weight = share
+def with_members(rows: DataFrame, model: Model) -> DataFrame:
+    """One row per (training row, member): leaf, weight ``w`` and whether the member was right.
+
+    Leaves and hits are columns of their own before the weights use them, as a boosting weight
+    depends on the hits of all members before it.
+    """
+    m_all = range(len(model.trees))
+    staged = rows.select(
+        "*",
+        *[leaf_column(model.trees[m]).alias(f"_leaf{m}") for m in m_all],
+        *[majority_column(model.trees[m]).eqNullSafe(F.col("label")).alias(f"_hit{m}")
+          for m in m_all],
+    )
+    bagged = model.model_id == "leveraging_bag"
+    if bagged:
+        staged = with_uniforms(staged, len(model.trees), model.seed)
+    weights = [F.lit(1.0)] * len(model.trees)
+    if model.boosted:
+        share = F.lit(1.0)
+        for m in m_all:
+            weights[m] = share
             right, wrong = model.right_weight[m], model.wrong_weight[m]
-            total = right + wrong
-            up = total / (2 * wrong) if wrong > 0 else 1.0
-            down = total / (2 * right) if right > 0 else 1.0
+            up = (right + wrong) / (2 * wrong) if wrong > 0 else 1.0
+            down = (right + wrong) / (2 * right) if right > 0 else 1.0
             # expected value of the Poisson draw the row-wise learner makes
-            share = share * F.when(correct, F.lit(down)).otherwise(F.lit(up))
-        elif model.model_id == "leveraging_bag":
-            weight = F.col("weight") * poisson_weight(member_uniform(model.seed, m))
-        else:
-            weight = F.col("weight")
-        entries.append(F.struct(
-            F.lit(m).alias("member"), leaf_column(tree).alias("leaf"),
-            weight.alias("w"), correct.cast("int").alias("correct"),
-        ))
-    return F.array(*entries)
+            share = share * F.when(F.col(f"_hit{m}"), F.lit(down)).otherwise(F.lit(up))
+    entries = F.array(*[
+        F.struct(F.lit(m).alias("member"), F.col(f"_leaf{m}").alias("leaf"),
+                 weights[m].alias("share"), F.col(f"_hit{m}").cast("int").alias("correct"),
+                 (F.col(f"_u{m}") if bagged else F.lit(None).cast("long")).alias("u"))
+        for m in m_all
+    ])
+    opened = staged.select(*rows.columns, F.explode(entries).alias("e")).select(
+        *rows.columns, "e.*")
+    draw = poisson_weight(F.col("u")) if bagged else F.lit(1.0)
+    return opened.withColumn("w", F.col("weight") * F.col("share") * draw).drop("share", "u")
 
 
 # --- statistics ------------------------------------------------------------------------------
@@ -158,14 +190,15 @@ def leaf_cells(chunk: DataFrame, model: Model) -> DataFrame:
     """
     numbers = [f for f in model.features if not is_code(f)]
     codes = [f for f in model.features if is_code(f)]
-    rows = chunk.select("label", *numbers, *codes, F.explode(member_entries(model)).alias("e"))
-    w = F.col("e.w")
+    keys = PACKET_ORDER if model.model_id == "leveraging_bag" else ()
+    rows = with_members(chunk.select(*keys, "label", "weight", *numbers, *codes), model)
+    w = F.col("w")
     seen = [F.when(w > 0, F.col(f)) for f in numbers]
-    return rows.groupBy("e.member", "e.leaf", "label", *codes).agg(
+    return rows.groupBy("member", "leaf", "label", *codes).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("w"),
-        F.sum("e.correct").alias("hits"),
-        F.sum(w * F.col("e.correct")).alias("w_hits"),
+        F.sum("correct").alias("hits"),
+        F.sum(w * F.col("correct")).alias("w_hits"),
         *[F.sum(w * F.col(f)).alias(f"sx_{f}") for f in numbers],
         *[F.sum(w * F.col(f) * F.col(f)).alias(f"sxx_{f}") for f in numbers],
         *[F.min(s).alias(f"lo_{f}") for s, f in zip(seen, numbers)],
@@ -477,7 +510,7 @@ def learn_chunk(table: DataFrame, chunk: int, model: Model, monitor: DriftMonito
     history = spark.read.option("basePath", store).schema(cells.schema).parquet(
         *[f"{store}/chunk={c}" for c in range(chunk + 1)])
     active = [(m, i) for m, t in enumerate(model.trees) for i in t.leaves()]
-    current = spark.createDataFrame(active, "member int, leaf int")
+    current = local_frame(spark, active, "member int, leaf int")
     fresh = F.col("chunk") == chunk
     mine = history.join(F.broadcast(current), ["member", "leaf"])
     tests = split_tests(mine, model, settings, fresh).collect()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethersense.session import materialise
+from ethersense.session import local_frame, materialise
 
 BLOCK_BITS = 14
 FILE_SHIFT = 40
@@ -76,7 +76,7 @@ def prefix_buckets(
         *[T.StructField(f"{s}_before", buckets.schema[s].dataType) for s in sums],
         *[T.StructField(f"{c}_before", buckets.schema[c].dataType) for c in carry],
     ])
-    return F.broadcast(buckets.sparkSession.createDataFrame(out, _nullable(schema)))
+    return F.broadcast(local_frame(buckets.sparkSession, out, _nullable(schema)))
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

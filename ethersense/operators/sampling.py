@@ -11,7 +11,7 @@ from ethersense.operators.position import (
     ensure_position,
     row_hash,
 )
-from ethersense.session import bounded
+from ethersense.session import bounded, local_frame
 
 TOP_K_LIMIT = 100_000
 DRAW_BLOCK = 1 << 16
@@ -190,7 +190,7 @@ def split(
 
 def fraction_cuts(df: DataFrame, fractions: list[float]) -> DataFrame:
     """Train and test sizes for every fraction of an experiment."""
-    grid = df.sparkSession.createDataFrame([(float(f),) for f in fractions], "train_fraction double")
+    grid = local_frame(df.sparkSession, [(float(f),) for f in fractions], "train_fraction double")
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
     cut = (F.col("total_rows").cast("double") * F.col("train_fraction")).cast("long")
     return F.broadcast(grid).crossJoin(total).select(

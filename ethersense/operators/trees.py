@@ -18,6 +18,7 @@ from ethersense.functions.columns import (
     resolve_prediction,
 )
 from ethersense.schemas import column_or_null
+from ethersense.session import local_frame
 
 FORMAT_VERSION = 1
 NUMBER, CODE = "number", "code"
@@ -227,7 +228,7 @@ def node_table(spark: SparkSession, model: Model) -> DataFrame:
         for m, tree in enumerate(model.trees)
         for i, n in sorted(tree.nodes.items())
     ]
-    return spark.createDataFrame(rows, NODE_SCHEMA)
+    return local_frame(spark, rows, NODE_SCHEMA)
 
 
 def save_model(spark: SparkSession, model: Model, path: str, version: int = FORMAT_VERSION) -> None:
@@ -236,7 +237,7 @@ def save_model(spark: SparkSession, model: Model, path: str, version: int = FORM
         model.wrong_weight, [t.next_id for t in model.trees], model.boosted, model.seed,
     )]
     node_table(spark, model).coalesce(1).write.mode("errorifexists").parquet(f"{path}/nodes")
-    spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.parquet(f"{path}/meta")
+    local_frame(spark, meta, META_SCHEMA).coalesce(1).write.parquet(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:

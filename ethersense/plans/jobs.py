@@ -20,7 +20,7 @@ from ethersense.operators.sampling import fraction_cuts, split
 from ethersense.operators.trees import Model, classify, save_model
 from ethersense.operators.windows import WindowSettings, presence_windows
 from ethersense.schemas import COMPARISON_COLUMNS, PREDICTIONS
-from ethersense.session import materialise
+from ethersense.session import local_frame, materialise
 from ethersense.sources.datasets import read_dataset, write_dataset, write_document
 
 SAVE_MODES = ("errorifexists", "overwrite", "skip")
@@ -55,7 +55,7 @@ def write_layer(df: DataFrame, path: str, mode: str = "errorifexists") -> tuple[
 
 
 def _manifest(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
-    return spark.createDataFrame(list(counts.items()), "stage string, row_count long")
+    return local_frame(spark, list(counts.items()), "stage string, row_count long")
 
 
 def prepare(
@@ -190,7 +190,7 @@ def comparison_plan(rows: DataFrame, models: Sequence[str], fractions: Sequence[
         raise ValueError(f"unsupported model_id: {', '.join(unknown)}")
     if any(not 0 < f < 1 for f in fractions):
         raise ValueError("train fractions must lie between 0 and 1")
-    names = rows.sparkSession.createDataFrame([(m,) for m in models], "model_id string")
+    names = local_frame(rows.sparkSession, [(m,) for m in models], "model_id string")
     return names.crossJoin(fraction_cuts(rows, list(fractions)))
 
 
@@ -231,7 +231,7 @@ def compare_models(
     schema = ("model_id string, train_fraction double, train_rows long, test_rows long, "
               "accuracy double, precision double, recall double, f1 double, mcc double, "
               "roc_auc double, pr_auc double, model_mapping string, elapsed_seconds double")
-    return spark.createDataFrame(out, schema).select(*COMPARISON_COLUMNS)
+    return local_frame(spark, out, schema).select(*COMPARISON_COLUMNS)
 
 
 def top_by_f1(results: DataFrame, count: int = 10) -> DataFrame:

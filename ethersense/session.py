@@ -82,6 +82,11 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A small driver-side table in one partition, however many cores the cluster has."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
 def bounded(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
     """Return ``(frame, is_small)``; a small one is fetched and safe to broadcast.
 
@@ -91,4 +96,4 @@ def bounded(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
+    return F.broadcast(local_frame(df.sparkSession, rows, df.schema)), True

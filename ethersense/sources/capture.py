@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ethersense.session import materialise
+from ethersense.session import local_frame, materialise
 
 SPLIT_BYTES = 64 << 20
 MAX_TASKS = 100_000
@@ -57,7 +57,7 @@ def discover(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             listing = listing.where(F.col("source_file").rlike(SUFFIX_PATTERN))
         parts.append(listing)
     if not parts:
-        return spark.createDataFrame([], "file_ordinal int, source_file string, length long")
+        return local_frame(spark, [], "file_ordinal int, source_file string, length long")
     files = parts[0]
     for part in parts[1:]:
         files = files.unionByName(part)
@@ -329,7 +329,8 @@ def _read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             rows: list[tuple] = []
             ordinal, name, index = row["file_ordinal"], row["source_file"], row["first_index"]
-            entries = row["all_interfaces"] or []
+            pending = list(row["all_interfaces"] or [])
+            links: list[tuple[int, float]] = []
             with _open(name) as handle:
                 fmt = _sniff(handle)
                 for at, buf, pos, size, is_packet in _records(
@@ -337,10 +338,13 @@ def _read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if not is_packet:
                         continue
                     if fmt.pcapng:
-                        section = max((e["offset"] for e in entries
-                                       if e["is_section"] and e["offset"] <= at), default=0)
-                        links = [(e["linktype"], e["unit"]) for e in entries
-                                 if not e["is_section"] and section < e["offset"] < at]
+                        # interfaces are numbered anew in every section
+                        while pending and pending[0]["offset"] < at:
+                            entry = pending.pop(0)
+                            if entry["is_section"]:
+                                links = []
+                            else:
+                                links.append((entry["linktype"], entry["unit"]))
                         stamp, original, link, frame = _ng_packet(buf, pos, fmt, links)
                     else:
                         sec, sub, _stored, original = struct.unpack_from(

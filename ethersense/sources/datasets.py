@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ethersense.schemas import assert_same_columns, conform
+from ethersense.session import local_frame
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.BooleanType)
@@ -132,7 +133,7 @@ def arff_header(df: DataFrame, relation: str = "frames") -> DataFrame:
         kind = "NUMERIC" if isinstance(f.dataType, NUMERIC) and filled[f.name] else "STRING"
         lines.append(f"@ATTRIBUTE {f.name} {kind}")
     lines += ["", "@DATA"]
-    return df.sparkSession.createDataFrame([("\n".join(lines),)], "value string")
+    return local_frame(df.sparkSession, [("\n".join(lines),)], "value string")
 
 
 def write_arff(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

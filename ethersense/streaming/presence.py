@@ -24,7 +24,7 @@ from ethersense.operators.windows import (
     with_state,
 )
 from ethersense.schemas import PREDICTIONS
-from ethersense.session import materialise
+from ethersense.session import local_frame, materialise
 
 
 def landing_stream(
@@ -168,7 +168,7 @@ class ReplayEngine:
         if count == 0:
             self._store(number, cursor, open_rows, last)
             return
-        opened = spark.createDataFrame(open_rows, _OPEN)
+        opened = local_frame(spark, open_rows, _OPEN)
         frames = frame_window_stats(placed, self.targets, s).select(
             "target_id", "window_type", "window_seq", F.lit(None).cast("long").alias("tb"), *_STATS)
         local = replay_time_stats(placed, self.targets, s, self.block_bits).select(
@@ -206,7 +206,7 @@ class ReplayEngine:
         """Flush the open windows as final ones."""
         number = self._latest()
         _cursor, open_rows, last = self._state(number)
-        rest = self.spark.createDataFrame(open_rows, _OPEN)
+        rest = local_frame(self.spark, open_rows, _OPEN)
         self._emit(self._shape(rest, final=True), number + 1, last)
 
     def events(self) -> DataFrame:
@@ -231,7 +231,7 @@ class ReplayEngine:
         path = f"{self.folder}/events/batch={number}"
         events.write.mode("overwrite").parquet(path)
         stored = self.spark.read.schema(events.schema).parquet(path)
-        before = self.spark.createDataFrame(last, _LAST).select(
+        before = local_frame(self.spark, last, _LAST).select(
             "target_id", "window_type", "state", F.lit(-1).cast("long").alias("window_seq"))
         known = before.unionByName(stored.select("target_id", "window_type", "state", "window_seq"))
         changed = state_changes(known, block_bits=self.block_bits, stored=True).where(F.col("window_seq") >= 0)
@@ -249,7 +249,7 @@ class ReplayEngine:
 
     def _store(self, number: int, cursor: dict, open_rows: list, last: list) -> None:
         row = (cursor["position"], cursor["open_tb"], cursor["open_seq"], open_rows, last)
-        self.spark.createDataFrame([row], _STATE).coalesce(1).write.mode("overwrite").json(
+        local_frame(self.spark, [row], _STATE).coalesce(1).write.mode("overwrite").json(
             f"{self.folder}/state/batch={number}")
 
     def _latest(self) -> int:
