@@ -315,7 +315,7 @@ def _hex_u16(value: Column) -> Column:
 
 
 def _mac_hex(mac: Column) -> Column:
-    return F.coalesce(F.regexp_replace(mac, ":", ""), F.lit("000000000000"))
+    return F.coalesce(F.replace(mac, F.lit(":"), F.lit("")), F.lit("000000000000"))
 
 
 def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

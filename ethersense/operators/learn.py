@@ -473,6 +473,11 @@ def _react_to_drift(model: Model, errors: dict[int, dict[int, tuple[float, float
 # --- jobs ------------------------------------------------------------------------------------
 
 
+def _last_position(placed: DataFrame) -> DataFrame:
+    """One row with the end of the position range; positions may have gaps, as in a train part."""
+    return placed.agg((F.coalesce(F.max("frame_pos"), F.lit(0)) + 1).alias("_total"))
+
+
 def training_table(
     rows: DataFrame,
     features: FeatureSettings,
@@ -486,7 +491,7 @@ def training_table(
     placed = ensure_position(rows.where(F.col(label).isNotNull()))
     if "file_ordinal" not in placed.columns:
         placed = placed.withColumn("file_ordinal", F.lit(0))
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))
+    total = _last_position(placed)
     inputs = model_inputs(placed, features)
     share = F.lit(1.0) if weight is None else F.coalesce(
         column_or_null(placed, weight, "double"), F.lit(1.0))
@@ -561,9 +566,8 @@ def prequential(
     """Test, then train: every chunk is scored by the model of the chunks before it."""
     spark = rows.sparkSession
     placed = ensure_position(rows.where(F.col(label).isNotNull()))
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))
     stored = materialise(
-        placed.crossJoin(F.broadcast(total)).withColumn(
+        placed.crossJoin(F.broadcast(_last_position(placed))).withColumn(
             "chunk", F.floor(F.col("frame_pos") * settings.chunks / F.col("_total")).cast("int")
         ).drop("_total"),
         "labelled-rows", ("chunk",),

@@ -171,7 +171,11 @@ def add_hash_position(
 
 
 def ensure_position(df: DataFrame, name: str = "frame_pos") -> DataFrame:
-    """Keep an existing position; else number by packet order (one file when no ordinal exists)."""
+    """Keep an existing position; else number by packet order (one file when no ordinal exists).
+
+    An existing position is trusted to be dense where that matters (count windows, cuts): drop the
+    column after filtering rows, and it is numbered anew.
+    """
     if name in df.columns:
         return df
     if "file_ordinal" in df.columns:

@@ -22,7 +22,8 @@ from ethersense.session import local_frame, materialise
 SPLIT_BYTES = 64 << 20
 MAX_TASKS = 100_000
 SEARCH_STEP = 1 << 18
-CHAIN = 6
+CHAIN = 8
+MAX_GAP = 30 * 86400
 MAX_RECORD = 1 << 24
 BATCH = 4096
 
@@ -120,11 +121,21 @@ def _record(buf: bytes, at: int, fmt: _Format) -> tuple[int, bool] | None:
 
 
 def _plausible(buf: bytes, at: int, fmt: _Format, file_ends: bool) -> bool:
-    """A chain of records from ``at`` that neither breaks nor leaves the end of the file."""
+    """A chain of records from ``at`` that neither breaks nor leaves the end of the file.
+
+    Only a first guess, so it may be stricter than the format: runs of zeros look like empty
+    pcap records, and neighbouring pcap records are close in time.
+    """
+    last = None
     for _ in range(CHAIN):
         found = _record(buf, at, fmt)
         if found is None:
             return at == len(buf) and file_ends
+        if not fmt.pcapng:
+            second = struct.unpack_from(fmt.order + "I", buf, at)[0]
+            if found[0] == 16 or last is not None and abs(second - last) > MAX_GAP:
+                return False
+            last = second
         at += found[0]
         if at > len(buf):
             return not file_ends
@@ -239,9 +250,12 @@ _LOCATED_ARROW = pa.schema([
 ])
 
 
-def _spread(df: DataFrame, rows: int) -> DataFrame:
+def _spread(df: DataFrame, rows: int, split_bytes: int) -> DataFrame:
+    """About ``SPLIT_BYTES`` of capture per task, and every core busy for less than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(rows, max(2 * cores, rows * split_bytes // SPLIT_BYTES), MAX_TASKS)
     # an explicit number, as adaptive coalescing judges by bytes and a range row is tiny
-    return df.repartition(max(1, min(rows, MAX_TASKS)), "file_ordinal", "split")
+    return df.repartition(max(1, tasks), "file_ordinal", "split")
 
 
 def locate_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -257,7 +271,7 @@ def locate_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     )
     columns = ["file_ordinal", "source_file", "length", "split", "start", "stop", "forced"]
     found = materialise(
-        _spread(ranges.select(*columns), ranges.count()).mapInArrow(_locate, LOCATED),
+        _spread(ranges.select(*columns), ranges.count(), split_bytes).mapInArrow(_locate, LOCATED),
         "capture-ranges",
     )
     by_file = Window.partitionBy("file_ordinal").orderBy("split")
@@ -273,13 +287,18 @@ def locate_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
             (F.col("expected") < F.col("stop")) & ~F.col("first").eqNullSafe(F.col("expected"))
             | (F.col("expected") >= F.col("stop")) & (F.col("packets") > 0)
         ))
-        broken = wrong.groupBy("file_ordinal").agg(F.min("split").alias("split"))
-        todo = wrong.join(broken, ["file_ordinal", "split"])
+        # a range after a wrong one cannot be judged yet; all others are walked again together
+        near = F.lag("split").over(by_file) == F.col("split") - 1
+        todo = materialise(
+            wrong.withColumn("behind", F.coalesce(near, F.lit(False))).where(~F.col("behind"))
+            .select(*columns[:-1], "expected"),
+            "capture-todo",
+        )
         count = todo.count()
         if count == 0:
             break
-        redo = todo.withColumn("forced", F.col("expected")).select(*columns)
-        fixed = _spread(redo, count).mapInArrow(_locate, LOCATED)
+        redo = todo.withColumnRenamed("expected", "forced")
+        fixed = _spread(redo, count, split_bytes).mapInArrow(_locate, LOCATED)
         kept = found.join(todo.select("file_ordinal", "split"), ["file_ordinal", "split"],
                           "left_anti")
         found = materialise(kept.select(*fixed.columns).unionByName(fixed), "capture-ranges")
@@ -364,10 +383,10 @@ def read_frames(
     spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
     """Raw frames of every capture; the packet index restarts at 0 in each file."""
-    ranges = locate_ranges(discover(spark, paths), split_bytes)
+    ranges = materialise(locate_ranges(discover(spark, paths), split_bytes), "capture-index")
     wanted = ranges.select("file_ordinal", "source_file", "length", "split", "first", "stop",
                            "first_index", "all_interfaces")
-    return _spread(wanted, ranges.count()).mapInArrow(_read_frames, RAW_SCHEMA)
+    return _spread(wanted, ranges.count(), split_bytes).mapInArrow(_read_frames, RAW_SCHEMA)
 
 
 def ingest(spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -31,8 +31,8 @@ NO_LAYER = "packet has no 802.11 Dot11 layer"
 DECODED = (
     "file_ordinal int, source_file string, packet_index long, timestamp double, original_len int, "
     "packet_len int, radiotap_len int, data_rate double, channel_frequency int, ssi double, "
-    "rssi double, frame_type int, frame_subtype int, fc int, sc int, a1 binary, a2 binary, "
-    "a3 binary, a4 binary, payload_len int, parse_ok boolean"
+    "rssi double, frame_type int, frame_subtype int, fc int, sc int, a1 string, a2 string, "
+    "a3 string, a4 string, payload_len int, parse_ok boolean"
 )
 _PASSED = ["file_ordinal", "source_file", "packet_index", "timestamp", "original_len"]
 
@@ -92,15 +92,21 @@ def _radiotap(b: _Bytes, is_tap: np.ndarray) -> tuple[np.ndarray, np.ndarray, di
     return length, valid, offsets
 
 
+_DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
+
+
 def _addresses(b: _Bytes, at: np.ndarray, valid: np.ndarray) -> pa.Array:
-    spots = np.clip(at[:, None] + np.arange(6), 0, len(b.data) - 1)
-    data = np.ascontiguousarray(b.data[spots])
-    bitmap = np.packbits(valid, bitorder="little")
-    ends = np.arange(len(at) + 1, dtype=np.int32) * 6
+    """Six bytes per row as lower-case colon-separated text; the all-zero address is null."""
+    raw = b.data[np.clip(at[:, None] + np.arange(6), 0, len(b.data) - 1)]
+    text = np.full((len(at), 17), ord(":"), np.uint8)
+    text[:, 0::3] = _DIGITS[raw >> 4]
+    text[:, 1::3] = _DIGITS[raw & 15]
+    bitmap = np.packbits(valid & raw.any(axis=1), bitorder="little")
+    ends = np.arange(len(at) + 1, dtype=np.int32) * 17
     return pa.Array.from_buffers(
-        pa.binary(), len(at),
+        pa.string(), len(at),
         [pa.py_buffer(bitmap.tobytes()), pa.py_buffer(ends.tobytes()),
-         pa.py_buffer(data.tobytes())],
+         pa.py_buffer(text.tobytes())],
     )
 
 
@@ -150,21 +156,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def mac_text(raw: Column) -> Column:
-    """Six bytes as lower-case colon-separated text."""
-    digits = F.lower(F.hex(raw))
-    return F.when(
-        raw.isNotNull(),
-        F.concat_ws(":", *[F.substring(digits, 1 + 2 * i, 2) for i in range(6)]),
-    )
-
-
 def decode(raw: DataFrame) -> DataFrame:
     """Raw frames to packet records; a frame that cannot be parsed stays, with its error."""
     wanted = raw.select(*_PASSED, "linktype", "frame")
     d = wanted.mapInArrow(_decode, DECODED)
     ok = F.col("parse_ok")
-    macs = {i: fn.normalize_mac(mac_text(F.col(f"a{i}"))) for i in (1, 2, 3, 4)}
+    macs = {i: F.col(f"a{i}") for i in (1, 2, 3, 4)}
     to_ds, from_ds = fn.flag(F.col("fc"), fn.FLAG_TO_DS), fn.flag(F.col("fc"), fn.FLAG_FROM_DS)
 
     def header(value: Column) -> Column:

@@ -55,6 +55,12 @@ def test_training_does_not_depend_on_partitioning(spark, rows):
                      for t in seven.trees]
 
 
+def test_every_row_of_a_gappy_part_is_learned(spark, rows):
+    part = rows.withColumn("frame_pos", F.col("packet_index")).where("packet_index % 3 = 1")
+    _, count = learn.train(part, "adaptive_hoeffding_tree", settings=LearnerSettings(chunks=2))
+    assert count == 2000
+
+
 def test_round_trip_and_version(spark, rows):
     model, _ = learn.train(rows, "oza_boost", settings=LearnerSettings(chunks=2, n_models=2))
     path = work_path(spark, "model-test")
