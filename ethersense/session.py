@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,22 +44,23 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> Sp
     return spark
 
 
+_FOLDERS: dict[str, str] = {}  # of local applications without a configured folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where nothing is set (tests on one
-    machine) a fresh temporary folder takes its place.
+    Where it is unset, the folder given to ``setCheckpointDir`` counts. A local application without
+    either gets a temporary folder; on a cluster that is an error, as each machine would have its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _FOLDERS.get(context.applicationId)
     if not named:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        if context_dir:
-            named = context_dir
-        else:
-            named = tempfile.mkdtemp(prefix="ethersense-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="ethersense-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
