@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Documents of this probability of being toxic, or more, are rejected.
+TOXIC = 0.3
+
+
 def categories() -> dict:
     """The chain's categories over the columns of ``labels``, in order."""
     return {"junk": (F.col("quality") == 0).cast("int"), "toxic": F.col("toxic")}
@@ -54,7 +58,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"), categories())
     return toxicity.score_toxicity(docs, chain).select(
-        "doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic")
+        "doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic")
     )
 
 

@@ -107,6 +107,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps:
     return mix64(h + size.astype(U64) * U64(0x2545F4914F6CDD1D)), rows
 
 
+def word_and_stem_hashes(
+    data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...], gaps: np.ndarray = _IS_SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every lower-case word, and of its first ``n`` bytes for each ``n`` in ``stems`` it is longer than."""
+    starts, ends, rows = word_spans(data, offsets, gaps)
+    if not len(starts):
+        return np.empty(0, U64), rows
+    size = ends - starts
+    inner = data[~gaps[data]]
+    head = np.cumsum(size) - size
+    place = np.arange(len(inner)) - np.repeat(head, size)
+    value = _BYTE_LOWER[inner] * powers(int(size.max()))[place]
+    found, owner = [mix64(np.add.reduceat(value, head) + size.astype(U64) * U64(0x2545F4914F6CDD1D))], [rows]
+    for n in stems:
+        longer = np.flatnonzero(size > n)
+        total = np.zeros(len(longer), U64)
+        for i in range(n):
+            total += value[head[longer] + i]
+        found.append(mix64(total ^ U64(n)))
+        owner.append(rows[longer])
+    return np.concatenate(found), np.concatenate(owner)
+
+
 def row_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its ``k``-word shingles.
 

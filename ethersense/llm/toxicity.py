@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ethersense.llm.textwork import PUNCTUATED, pieces, signed, text_bytes, word_hashes
+from ethersense.llm.textwork import PUNCTUATED, pieces, signed, text_bytes, word_and_stem_hashes
 from ethersense.session import bounded, materialise
 
 
+#: Beginnings of words, in bytes, that are features like whole words.
+STEMS = (4, 5, 6, 7, 8)
+
+
 @dataclass(frozen=True)
 class Chain:
     """Per category its word hashes (sorted), their weights, the weights of earlier categories, the bias."""
@@ -27,9 +31,11 @@ class Chain:
 
 def _distinct_words(batches):
     for batch in pieces(batches, "text"):
-        words, rows = word_hashes(*text_bytes(batch.column("text")), gaps=PUNCTUATED)
+        words, rows = word_and_stem_hashes(*text_bytes(batch.column("text")), STEMS, PUNCTUATED)
+        order = np.argsort(rows, kind="stable")
+        words, rows = signed(words[order]), rows[order]
         begin = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        sets = [np.unique(signed(words[a:b])) if b > a else np.empty(0, np.int64) for a, b in zip(begin, begin[1:])]
+        sets = [np.unique(words[a:b]) if b > a else np.empty(0, np.int64) for a, b in zip(begin, begin[1:])]
         yield pa.record_batch(
             [batch.column("labels"), batch.column("fold"), pa.array(sets, pa.list_(pa.int64()))], names=["labels", "fold", "words"]
         )
@@ -101,13 +107,13 @@ def _train(n_categories: int, folds: int, penalty: float):
 
 def train_chain(
     docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = 20_000,
-    words_per_category: int = 1024, folds: int = 3, penalty: float = 2e-4, seed: int = 5,
+    words_per_category: int = 2048, folds: int = 3, penalty: float = 5e-5, seed: int = 5,
 ) -> Chain:
     """Fit the chain on at most ``max_labelled`` rows of ``labels`` (the smallest hashes of ``doc_id``).
 
     ``categories`` names 0/1 columns over ``labels`` in chain order; rows with a null one, without id, or
-    without a document do not count, and of rows that share an id the largest values do. Words are lower-case
-    runs without ASCII punctuation; each category brings the ``words_per_category`` words of the largest
+    without a document do not count, and of rows that share an id the largest values do. Features are lower-case
+    words without ASCII punctuation and their beginnings; each category brings the ``words_per_category`` words of the largest
     chi-square. Earlier probabilities come from models that did not see the row (``folds``).
     No usable label gives a chain whose probabilities are 0.
     """
@@ -155,9 +161,15 @@ def train_chain(
 def chain_probabilities(chain: Chain):
     """A function over Arrow columns of text: one probability column per category."""
 
+    known = np.zeros(1 << 20, bool)  # a quick no for most words
+    for names in chain.words:
+        known[names & (len(known) - 1)] = True
+
     def run(column) -> list[np.ndarray]:
-        words, rows = word_hashes(*text_bytes(column), gaps=PUNCTUATED)
+        words, rows = word_and_stem_hashes(*text_bytes(column), STEMS, PUNCTUATED)
         words, found = signed(words), []
+        maybe = np.flatnonzero(known[words & (len(known) - 1)])
+        words, rows = words[maybe], rows[maybe]
         for c, names in enumerate(chain.words):
             z = np.full(len(column), chain.bias[c])
             if len(names) and len(words):

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethersense.llm import ann, components, line_dedup, mixing, ngram_join, repeats, sentencepieces, token_files, topk, toxicity, warc
-from ethersense.llm.queries import categories, tokenizer_path
+from ethersense.llm.queries import TOXIC, categories, tokenizer_path
 from ethersense.session import work_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -314,10 +314,11 @@ def test_toxicity_held_out(spark):
     chain = toxicity.train_chain(docs, labels.where("doc_id % 3 <> 0"), categories())
     assert [len(e) for e in chain.earlier] == [0, 1]
     scored = toxicity.score_toxicity(docs, chain).join(labels.where("doc_id % 3 = 0"), "doc_id")
-    rows = scored.select("toxic", (F.col("p_toxic") >= 0.5).cast("int").alias("said")).groupBy("toxic", "said").count().collect()
+    rows = scored.select("toxic", (F.col("p_toxic") >= TOXIC).cast("int").alias("said")).groupBy("toxic", "said").count().collect()
     n = {(r["toxic"], r["said"]): r["count"] for r in rows}
-    assert n.get((1, 1), 0) >= 0.95 * (n.get((1, 1), 0) + n.get((1, 0), 0))
-    assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
+    # about 300 toxic training texts; in three of four languages their words are rare
+    assert n.get((1, 1), 0) >= 0.85 * (n.get((1, 1), 0) + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.005 * n[0, 0]
 
 
 def test_toxicity_edges(spark):
