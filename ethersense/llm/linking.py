@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ethersense.llm.components import connected_components
 from ethersense.session import materialise
 
+#: Rows of a key that all others of the key are tested against first.
+LEADERS = 4
+
 
 def link_components(
     keyed: DataFrame,
@@ -21,18 +24,20 @@ def link_components(
     ``keyed`` has ``key``, ``node`` and a struct ``meta``; two nodes are candidates when they share a key
     and ``passes(meta, meta)`` holds. ``verify`` takes distinct pairs ``(a, b)`` and keeps the linked ones.
 
-    First every node is tested against the smallest node of each of its keys, which joins a large group of
-    copies with as many tests as it has rows. Then only nodes outside the component of their key's
-    smallest node are tested, against the rows of other components. Links inside a component that
-    already hangs together change no component, so the result equals that of testing all pairs.
+    First every node is tested against a few leaders of each of its keys (the smallest node of each of
+    ``LEADERS`` hash classes), which joins a large group of copies with a few tests a row. Then only nodes
+    outside the component of their key's smallest node are tested, against the rows of other
+    components. Links inside a component that already hangs together change no component, so the
+    result equals that of testing all pairs.
     """
     shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
     rows = materialise(keyed.join(shared.drop("last"), "key"), "keyed")
-    lead = rows.where("node = head").groupBy("key").agg(F.min("meta").alias("head_meta"))
+    lead = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(
+        F.min(F.struct("node", "meta")).alias("lead")
+    )
+    tests = rows.join(lead, "key").where((F.col("node") != F.col("lead.node")) & passes(F.col("meta"), F.col("lead.meta")))
     first = materialise(
-        rows.where("node <> head").join(lead, "key").where(passes(F.col("meta"), F.col("head_meta")))
-        .select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(),
-        "pairs",
+        tests.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct(), "pairs"
     )
     links = materialise(verify(first).select("a", "b"), "linked")
     parts = connected_components(links)
@@ -48,7 +53,7 @@ def link_components(
         "key", F.col("node").alias("a"), F.col("meta").alias("a_meta"), F.col("part").alias("a_part")
     )
     second = other.join(rows, "key").where(
-        (F.col("part") != F.col("a_part")) & (F.col("node") != F.col("head"))
+        (F.col("part") != F.col("a_part"))
         & ((F.col("part") == F.col("head_part")) | (F.col("a") < F.col("node")))
         & passes(F.col("a_meta"), F.col("meta"))
     ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()

@@ -175,8 +175,11 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     def passes(x: Column, y: Column) -> Column:
         n, m, i, j = x["n"].cast("long"), y["n"].cast("long"), x["pos"], y["pos"]
         length = (100 * n >= percent * m) & (100 * m >= percent * n)
+        # with an overlap of at least need, the first n - need + 1 and m - need + 1 shingles share one
+        need = F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
+        prefix = (i <= n - need) & (j <= m - need)
         most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-        return length & ((100 + percent) * most >= percent * (n + m))
+        return length & prefix & (most >= need)
 
     profile = sets.where("n > 0").groupBy("node").agg(
         F.min("data").alias("data"), F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("has_null")

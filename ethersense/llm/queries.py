@@ -10,7 +10,9 @@ from ethersense.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts are long rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_path(name: str) -> str:
