@@ -54,19 +54,14 @@ class _Pieces:
         self.names, self.ids, self.scores = names, np.array(ids), scores
         self.lowest = float(scores.min()) - 10.0
         self.longest = max(map(len, names))
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
-        prefixes: list[set[str]] = [set() for _ in range(self.longest + 1)]
-        for name in names:
-            for i in range(1, len(name) + 1):
-                prefixes[i].add(name[:i])
-        self.prefix = [np.empty(0, np.uint64)]
+        # by length: hashes of all beginnings of pieces, and the piece that each is, or -1
+        number = {x: i for i, x in enumerate(names)}
+        self.starts: list[tuple[np.ndarray, np.ndarray]] = []
         for length in range(1, self.longest + 1):
-            at = np.array([i for i, x in enumerate(names) if len(x) == length], np.int64)
-            h = self.hashes([names[i] for i in at], length)
+            begun = sorted({x[:length] for x in names if len(x) >= length})
+            h = self.hashes(begun, length)
             order = np.argsort(h)
-            self.by_length.append((h[order], at[order]))
-            self.prefix.append(np.sort(self.hashes(sorted(prefixes[length]), length)))
-        self.shown = {i: (SPACE if x is None else x) for i, x in zip(ids, names)}
+            self.starts.append((h[order], np.array([number.get(x, -1) for x in begun], np.int64)[order]))
 
     @staticmethod
     def hashes(texts: list[str], length: int) -> np.ndarray:
@@ -95,7 +90,7 @@ def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class _Lattice:
     """The lattices of some units side by side. State = character; edge = piece from a state.
 
-    ``piece`` (index of a piece, or -1 - code point), ``to`` (next state, or -1 at the unit's end),
+    ``first_id`` and ``ids_of`` (its ids), ``to`` (next state, or -1 at the unit's end),
     ``log_p`` (log of the chance of the edge given its state), ``upto`` (state + chance summed over the
     state's edges up to this one) of each edge; edges ``first[s]:first[s + 1]`` leave state ``s``.
     """
@@ -112,16 +107,16 @@ class _Lattice:
             inside = left[alive] >= length
             alive, h = alive[inside], h[inside]
             h = (h + codes[alive + length - 1] + np.uint64(1)) * _CHAR
-            table, index = model.by_length[length - 1]
+            table, index = model.starts[length - 1]
             at = _find(table, h)
-            hit = np.flatnonzero(at >= 0)
+            grow = np.flatnonzero(at >= 0)
+            alive, h, found = alive[grow], h[grow], index[at[grow]]
+            hit = np.flatnonzero(found >= 0)
             source.append(alive[hit])
             width.append(np.full(len(hit), length))
-            piece.append(index[at[hit]])
+            piece.append(found[hit])
             if length == 1:
                 single[alive[hit]] = True
-            grow = _find(model.prefix[length], h) >= 0
-            alive, h = alive[grow], h[grow]
             if not len(alive):
                 break
         lone = np.flatnonzero(~single)
@@ -142,7 +137,14 @@ class _Lattice:
             beta[source[a:b][heads]] = np.logaddexp.reduceat(value, heads)
         order = np.lexsort((width, source))
         source, width, piece, weight, ends = (x[order] for x in (source, width, piece, weight, ends))
-        self.piece = piece
+        # ids of an edge: its piece, or the bytes of its character
+        spelled = {c: model.bytes[list(chr(c).encode("utf-8", "surrogatepass"))] for c in np.unique(-1 - piece[piece < 0]).tolist()}
+        self.ids_of = [spelled.get(c) for c in (-1 - piece[piece < 0]).tolist()]
+        self.spelled = np.cumsum(piece < 0) - 1
+        self.first_id = np.where(piece >= 0, model.ids[np.maximum(piece, 0)], 0)
+        self.first_id[piece < 0] = [x[0] for x in self.ids_of]
+        self.plain = np.ones(len(piece), bool)
+        self.plain[piece < 0] = [len(x) == 1 for x in self.ids_of]
         self.to = np.where(ends, -1, source + width)
         self.log_p = np.minimum(0.0, weight + np.where(ends, 0.0, beta[np.minimum(source + width, len(codes))]) - beta[source])
         self.first = np.searchsorted(source, np.arange(len(codes) + 1))
@@ -255,17 +257,16 @@ def _sample_row(lattice: _Lattice, fresh: list[tuple], units: tuple[int, int], s
     return paths, -np.inf
 
 
-def _ids_of(model: _Pieces, lattice: _Lattice, edges: np.ndarray) -> np.ndarray:
-    piece = lattice.piece[edges]
-    if (piece >= 0).all():
-        return model.ids[piece]
-    out: list[int] = []
-    for p in piece.tolist():
-        if p >= 0:
-            out.append(int(model.ids[p]))
-        else:
-            out += [int(model.bytes[b]) for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
-    return np.array(out, np.int64)
+def _ids_of(lattice: _Lattice, edges: np.ndarray) -> np.ndarray:
+    ids = lattice.first_id[edges]
+    longer = np.flatnonzero(~lattice.plain[edges])
+    if not len(longer):
+        return ids
+    parts, at = [], 0
+    for i in longer.tolist():
+        parts += [ids[at:i], lattice.ids_of[lattice.spelled[edges[i]]]]
+        at = i + 1
+    return np.concatenate([*parts, ids[at:]])
 
 
 def decode_ids(model: _Pieces, ids: np.ndarray) -> str:
@@ -302,7 +303,7 @@ def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
                     continue
                 found, bar = _sample_row(lattice, fresh, (bounds[i], bounds[i + 1]), int(seeds[i]), k)
                 for s, (edges, log_p, _) in enumerate(found):
-                    ids = _ids_of(model, lattice, edges)
+                    ids = _ids_of(lattice, edges)
                     gap = log_p - bar
                     inclusion = float(-np.expm1(-np.exp(min(gap, 50.0)))) if np.isfinite(bar) else 1.0
                     rows.append((i, s + 1, ids, float(log_p), inclusion, decode_ids(model, ids) == t))
