@@ -278,7 +278,7 @@ def decode_ids(model: _Pieces, ids: np.ndarray) -> str:
 def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
     def run(batches):
         model = _load(path, sharpness)
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 22):  # the more text, the fewer distinct units in proportion
             texts = [t or "" for t in batch.column("text").to_pylist()]
             seeds = np.asarray(batch.column("seed"))
             numbers: dict[str, int] = {}
