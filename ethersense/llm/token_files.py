@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,18 @@ from ethersense.llm.textwork import pieces
 from ethersense.session import materialise, work_path
 
 #: Words remembered by a task, so that each is tokenized once or a few times.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 BLOCK_TOKENS = 1 << 16
 #: Lengths of the four values that a control byte describes, and of all four.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
-    """Token ids of white-space separated words, as the tokenizer gives them inside a text.
+    """Token ids (as bytes, four each) of white-space separated words, as the tokenizer gives them inside a text.
 
     The tokenizer drops white space and never merges across it. A word of Latin letters is one piece of its
     pre-tokenizer, so the model alone tells its ids; closing punctuation is a piece of its own.
@@ -38,19 +42,19 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cores: dict[str, tuple[int, ...]] = {}
+        self.cores: dict[str, bytes] = {}
 
-    def core(self, word: str) -> tuple[int, ...]:
+    def core(self, word: str) -> bytes:
         low = word.lower()
         ids = self.cores.get(low)
         if ids is None:
             if len(self.cores) >= REMEMBERED:
                 self.cores.clear()
             shown = low if low.isascii() else self.letters.pre_tokenize_str(low)[0][0]
-            ids = self.cores[low] = tuple(t.id for t in self.model.tokenize(shown))
+            ids = self.cores[low] = _packed([t.id for t in self.model.tokenize(shown)])
         return ids
 
-    def __missing__(self, raw: bytes) -> tuple[int, ...]:
+    def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
         core = word.rstrip(self.CLOSING)
         # below U+0130 lower case is one letter for one letter and letters are composed
@@ -60,10 +64,10 @@ class _Words(dict):
                 tail = word[len(core) :]
                 end = self.cores.get(tail)
                 if end is None:
-                    end = self.cores[tail] = tuple(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+                    end = self.cores[tail] = _packed(self.tokenizer.encode(tail, add_special_tokens=False).ids)
                 ids = ids + end
         else:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= REMEMBERED:
             self.clear()
         self[raw] = ids
@@ -78,13 +82,13 @@ def _tokenize(path: str, end_id: int):
         words = _words.get(path)
         if words is None:
             words = _words[path] = _Words(path)
-        get = words.__getitem__
+        get, end = words.__getitem__, _packed([end_id])
         for batch in pieces(batches, "text"):
             out = []
             for text in batch.column("text").to_pylist():
-                ids = list(chain.from_iterable(map(get, (text or "").encode("utf-8", "surrogatepass").split())))
-                ids.append(end_id)
-                out.append(np.array(ids, "<u4").astype("<u2" if max(ids) < 65536 else "<u4").tobytes() + (b"\2" if max(ids) < 65536 else b"\4"))
+                ids = np.frombuffer(b"".join([*map(get, (text or "").encode("utf-8", "surrogatepass").split()), end]), "<u4")
+                narrow = int(ids.max()) < 65536
+                out.append(ids.astype("<u2").tobytes() + b"\2" if narrow else ids.tobytes() + b"\4")
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return run
