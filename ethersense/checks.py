@@ -325,7 +325,7 @@ SELECT packet_index, frame_pos FROM
   (SELECT packet_index, row_number() OVER (ORDER BY packet_index) - 1 AS frame_pos
    FROM records WHERE parse_ok) WHERE frame_pos < 500""")
 def _(spark, sf):
-    rows = add_position(flt.parse_ok(demo.records(spark, sf)))
+    rows = add_position(flt.parse_ok(demo.records(spark, sf)), below=500)
     return flt.first_rows(rows, 500).select("packet_index", "frame_pos")
 
 

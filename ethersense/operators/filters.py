@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ethersense.functions.columns import (
-    frame_family,
+    FAMILY_CODES,
     non_zero,
     normalize_mac,
     time_literal,
 )
+from ethersense.operators.position import ensure_position
 from ethersense.schemas import column_or_null
 
 
@@ -45,15 +46,17 @@ def known_targets(df: DataFrame, mac_targets: DataFrame) -> DataFrame:
 
 
 def family_allowed(df: DataFrame, settings: FilterSettings) -> Column:
+    """A plain test of the family code, so that it reaches the scan; unknown families stay."""
     switches = {
         "management": settings.include_management,
         "control": settings.include_control,
         "data": settings.include_data,
     }
-    off = [name for name, on in switches.items() if not on]
+    off = [code for code, name in FAMILY_CODES.items() if not switches.get(name, True)]
     if not off:
         return F.lit(True)
-    return ~F.coalesce(frame_family(column_or_null(df, "frame_type", "int")).isin(off), F.lit(False))
+    code = column_or_null(df, "frame_type", "int")
+    return code.isNull() | ~code.isin(off)
 
 
 def ap_originated(df: DataFrame, ap_macs: tuple[str, ...] = ()) -> Column:
@@ -132,5 +135,7 @@ def apply_filters(
 
 
 def first_rows(df: DataFrame, count: int, position: str = "frame_pos") -> DataFrame:
-    """The first ``count`` rows in file order."""
+    """The first ``count`` rows in file order; without a position only the blocks they lie in are numbered."""
+    if position not in df.columns:
+        df = ensure_position(df, position, below=count)
     return df.where(F.col(position) < count)

@@ -126,6 +126,7 @@ def add_position(
     *,
     partition: Sequence[str] = (),
     name: str = "frame_pos",
+    below: int | None = None,
 ) -> DataFrame:
     """Number rows 0..n-1 in ``order`` (per ``partition``), which must be unique.
 
@@ -142,6 +143,8 @@ def add_position(
     offsets = prefix_buckets(counts, ["n"], partition=partition).select(
         *partition, F.col("bucket").alias("_bucket"), F.col("n_before").alias("_before")
     )
+    if below is not None:  # later blocks fall out before the exchange
+        offsets = offsets.where(F.col("_before") < below)
     within = Window.partitionBy(*partition, "_bucket").orderBy(*order)
     return (
         source.join(offsets, [*partition, "_bucket"])
@@ -170,17 +173,23 @@ def add_hash_position(
     ).drop("_digest")
 
 
-def ensure_position(df: DataFrame, name: str = "frame_pos") -> DataFrame:
+def ensure_position(df: DataFrame, name: str = "frame_pos", below: int | None = None) -> DataFrame:
     """Keep an existing position; else number by packet order (one file when no ordinal exists).
 
+    Rows of several files without ``file_ordinal`` have no order, which is an error. ``below`` leaves out
+    blocks that begin at that position or later.
+
     An existing position is trusted to be dense where that matters (count windows, cuts): drop the
     column after filtering rows, and it is numbered anew.
     """
     if name in df.columns:
         return df
     if "file_ordinal" in df.columns:
-        return add_position(df, name=name)
-    return add_position(df.withColumn("file_ordinal", F.lit(0)), name=name).drop("file_ordinal")
+        return add_position(df, name=name, below=below)
+    if "source_file" in df.columns and df.select("source_file").distinct().limit(2).count() > 1:
+        raise ValueError("rows of several source files need file_ordinal or frame_pos to have an order")
+    numbered = add_position(df.withColumn("file_ordinal", F.lit(0)), name=name, below=below)
+    return numbered.drop("file_ordinal")
 
 
 def running_totals(

@@ -100,13 +100,17 @@ def _sniff(handle) -> _Format | None:
     return None
 
 
-def _record(buf: bytes, at: int, fmt: _Format) -> tuple[int, bool] | None:
-    """(size, is_packet) of the record at ``at``, or None when it cannot be one."""
+def _record(buf: bytes, at: int, fmt: _Format, guess: bool = False) -> tuple[int, bool] | None:
+    """(size, is_packet) of the record at ``at``, or None when it cannot be one.
+
+    On a chain only the length decides: blocks of any type are stepped over, and no size or time is
+    too large. ``guess`` asks for a record of a usual kind, to find a first one inside a file.
+    """
     if fmt.pcapng:
         if at + 8 > len(buf):
             return None
         kind, size = struct.unpack_from(fmt.order + "II", buf, at)
-        if kind not in NG_KNOWN or size < 12 or size % 4 or size > MAX_RECORD:
+        if size < 12 or size % 4 or guess and (kind not in NG_KNOWN or size > MAX_RECORD):
             return None
         end = at + size
         if end <= len(buf) and struct.unpack_from(fmt.order + "I", buf, end - 4)[0] != size:
@@ -115,7 +119,7 @@ def _record(buf: bytes, at: int, fmt: _Format) -> tuple[int, bool] | None:
     if at + 16 > len(buf):
         return None
     _sec, sub, stored, original = struct.unpack_from(fmt.order + "IIII", buf, at)
-    if sub >= fmt.unit or stored > MAX_RECORD or original > MAX_RECORD:
+    if guess and (sub >= fmt.unit or stored > MAX_RECORD or original > MAX_RECORD):
         return None
     return 16 + stored, True
 
@@ -128,7 +132,7 @@ def _plausible(buf: bytes, at: int, fmt: _Format, file_ends: bool) -> bool:
     """
     last = None
     for _ in range(CHAIN):
-        found = _record(buf, at, fmt)
+        found = _record(buf, at, fmt, guess=True)
         if found is None:
             return at == len(buf) and file_ends
         if not fmt.pcapng:
@@ -152,7 +156,7 @@ def _first_record(handle, start: int, end: int, length: int, fmt: _Format) -> in
         buf = handle.read_at(size, window)
         file_ends = window + size >= length
         for at in range(0, min(SEARCH_STEP, end - window)):
-            if (window + at) % step == 0 and _record(buf, at, fmt) is not None:
+            if (window + at) % step == 0 and _record(buf, at, fmt, guess=True) is not None:
                 if _plausible(buf, at, fmt, file_ends):
                     return window + at
     return None
@@ -177,6 +181,8 @@ def _records(handle, first: int, end: int, length: int, fmt: _Format
             if at + size > length:
                 return
             buf, base = handle.read_at(max(size, min(4 << 20, length - at)), at), at
+            if _record(buf, 0, fmt) is None:  # the block's second length tells another size
+                return
         yield at, buf, at - base, size, is_packet
         at += size
 
@@ -258,8 +264,8 @@ def _spread(df: DataFrame, rows: int, split_bytes: int) -> DataFrame:
     return df.repartition(max(1, tasks), "file_ordinal", "split")
 
 
-def locate_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Verified byte ranges of every file with the packet index each one starts at."""
+def _linked_ranges(files: DataFrame, split_bytes: int) -> DataFrame:
+    """Byte ranges whose records are linked to those before them; ``dead`` ones follow a break."""
     ranges = files.where(F.col("length") > 0).select(
         "file_ordinal", "source_file", "length",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / split_bytes)))
@@ -302,6 +308,12 @@ def locate_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
         kept = found.join(todo.select("file_ordinal", "split"), ["file_ordinal", "split"],
                           "left_anti")
         found = materialise(kept.select(*fixed.columns).unionByName(fixed), "capture-ranges")
+    return linked
+
+
+def locate_ranges(linked: DataFrame) -> DataFrame:
+    """Verified byte ranges of every file with the packet index each one starts at."""
+    before = Window.partitionBy("file_ordinal").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     found = linked.where(~F.col("dead")).drop("expected", "dead")
     index = F.coalesce(F.sum("packets").over(before), F.lit(0))
     per_file = found.groupBy("file_ordinal").agg(
@@ -379,11 +391,36 @@ def _read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit(rows)
 
 
-def read_frames(
+def _faults(linked: DataFrame) -> DataFrame:
+    alien = F.col("first").isNull() & (F.col("split") == 0)
+    broken = ~F.col("dead") & (F.col("next") < F.col("stop"))
+    return linked.where(alien | broken).select(
+        "file_ordinal", "source_file", F.coalesce("next", F.lit(0).cast("long")).alias("offset"),
+        F.when(alien, "not a capture").otherwise("record damaged or cut off").alias("reason"),
+    )
+
+
+def capture_faults(
     spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """Raw frames of every capture; the packet index restarts at 0 in each file."""
-    ranges = materialise(locate_ranges(discover(spark, paths), split_bytes), "capture-index")
+    """Where the record chain of a file ends before the file: one row per such file, nothing behind it is read."""
+    return _faults(_linked_ranges(discover(spark, paths), split_bytes))
+
+
+def read_frames(
+    spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES, strict: bool = True
+) -> DataFrame:
+    """Raw frames of every capture; the packet index restarts at 0 in each file.
+
+    A file that is no capture is an error unless ``strict`` is off; ``capture_faults`` lists it then, and
+    the places where a damaged or cut off record ends a file.
+    """
+    linked = materialise(_linked_ranges(discover(spark, paths), split_bytes), "capture-chain")
+    if strict:
+        alien = _faults(linked).where("reason = 'not a capture'").select("source_file").limit(5).collect()
+        if alien:
+            raise ValueError("not a capture: " + ", ".join(r["source_file"] for r in alien))
+    ranges = materialise(locate_ranges(linked), "capture-index")
     wanted = ranges.select("file_ordinal", "source_file", "length", "split", "first", "stop",
                            "first_index", "all_interfaces")
     return _spread(wanted, ranges.count(), split_bytes).mapInArrow(_read_frames, RAW_SCHEMA)

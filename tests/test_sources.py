@@ -137,3 +137,58 @@ def test_registry_document(spark):
     with open(path, "w") as f:
         f.write('{"targets": [{"target_id": "p", "mac_addresses": ["AA"], "label": "x"}]}')
     assert mac_targets(datasets.read_registry(spark, path)).first().target_id == "p"
+
+
+def test_odd_records_lose_nothing(spark, folder):
+    """A huge claimed length, an odd sub-second field and unknown block types cost no packet."""
+    packets = [beacon(i) for i in range(10)]
+    head = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 127)
+
+    def pcap(name, sub, claimed):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(head)
+            for i, p in enumerate(packets):
+                odd = i == 3
+                f.write(struct.pack("<IIII", 1000 + i, sub if odd else i, len(p), claimed if odd else len(p)) + p)
+
+    pcap("claim.pcap", 3, 1 << 30)
+    pcap("late.pcap", 5_000_000, 64)
+    write_pcapng(f"{folder}/odd.pcapng", packets)
+    raw = open(f"{folder}/odd.pcapng", "rb").read()
+    strange = struct.pack("<III", 0x80000001, 16, 7) + struct.pack("<I", 16)
+    at, ends = 0, []
+    while at < len(raw):
+        at += struct.unpack_from("<I", raw, at + 4)[0]
+        ends.append(at)
+    with open(f"{folder}/odd.pcapng", "wb") as f:
+        f.write(raw[: ends[5]] + strange + raw[ends[5] :])
+    for size in (150, 1 << 20):
+        rows = capture.read_frames(spark, [folder], size).groupBy("source_file").count().collect()
+        assert [r["count"] for r in rows] == [10, 10, 10]
+        assert capture.capture_faults(spark, [folder], size).count() == 0
+
+
+def test_faults_are_reported(spark, folder):
+    packets = [beacon(i) for i in range(10)]
+    write_pcapng(f"{folder}/bad.pcapng", packets)
+    raw = bytearray(open(f"{folder}/bad.pcapng", "rb").read())
+    at = 0
+    for _ in range(6):
+        at += struct.unpack_from("<I", raw, at + 4)[0]
+    raw[at + 4 : at + 8] = struct.pack("<I", 13)
+    open(f"{folder}/bad.pcapng", "wb").write(raw)
+    open(f"{folder}/text.pcap", "wb").write(b"no capture at all, just some text in it")
+    for size in (150, 1 << 20):
+        found = {r["source_file"].rsplit("/", 1)[1]: (r["offset"], r["reason"]) for r in capture.capture_faults(spark, [folder], size).collect()}
+        assert found == {"bad.pcapng": (at, "record damaged or cut off"), "text.pcap": (0, "not a capture")}
+    with pytest.raises(ValueError, match="text.pcap"):
+        capture.read_frames(spark, [folder])
+    assert capture.read_frames(spark, [folder], strict=False).count() > 0
+
+
+def test_order_needs_file_ordinal(spark):
+    from ethersense.operators.position import ensure_position
+
+    rows = spark.createDataFrame([("a", 0), ("b", 0)], "source_file string, packet_index long")
+    with pytest.raises(ValueError, match="file_ordinal"):
+        ensure_position(rows)
