@@ -65,7 +65,10 @@ def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, n
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(product(v) + v_bias, -40, 40)))
         gap = (p - y) / n
-        new, new_bias = v - step * (back(gap) + penalty * v), v_bias - step * gap.sum()
+        slope = back(gap) + penalty * v
+        if np.abs(slope).max(initial=0.0) < 2e-5 and abs(gap.sum()) < 2e-5:
+            break
+        new, new_bias = v - step * slope, v_bias - step * gap.sum()
         move = t / (t + 3)
         v, v_bias = new + move * (new - w), new_bias + move * (new_bias - bias)
         w, bias = new, new_bias
@@ -85,6 +88,8 @@ def _train(n_categories: int, folds: int, penalty: float):
         for c in range(n_categories):
             w, bias = _fit(rows, cols, before, y[:, c], len(names), penalty)
             out.append((c, names.tolist(), w[: len(names)].tolist(), w[len(names) :].tolist(), float(bias)))
+            if c == n_categories - 1:  # no later model needs its held-out probabilities
+                break
             held_out = np.zeros(len(y))
             for f in range(folds):
                 inside, outside = fold != f, fold == f
