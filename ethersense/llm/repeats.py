@@ -18,8 +18,9 @@ from ethersense.llm.textwork import _BYTE, mix64, signed
 from ethersense.session import materialise
 
 SEGMENT = 1 << 18
-#: Distinct phrases of one trigger that are compared inside a task; more are compared by a shuffle.
-TOGETHER = 256
+#: Distinct phrases of one trigger that are compared inside a task (a phrase has at most ``length - gram + 1``
+#: windows, so about 20 MB of hashes); more are compared by a shuffle.
+TOGETHER = 16384
 _BASE = np.uint64(0xB5297A4D3F84D5B5)
 _INVERSE = np.uint64(pow(0xB5297A4D3F84D5B5, -1, 1 << 64))
 
