@@ -14,6 +14,8 @@ from ethersense.llm.vectors import deal, matrix, nearest, usable
 from ethersense.session import materialise
 
 SCHEMA = "query_id long, vec_id long, score double"
+#: Queries scored at a time inside a task.
+CHUNK = 256
 
 
 class _Tables:
@@ -73,6 +75,24 @@ def _hash_rows(make, norm: float, probes: int):
     return run
 
 
+def _scores(x: np.ndarray, q: np.ndarray, bucket: np.ndarray, asker: np.ndarray, visited: np.ndarray, first: int):
+    """The scores of up to ``CHUNK`` queries from number ``first`` on with the rows they visit, else minus infinity."""
+    if not len(asker):
+        return
+    order = np.argsort(visited, kind="stable")
+    asker, visited = asker[order], visited[order]
+    scores = np.full((min(CHUNK, len(q) - first), len(x)), -np.inf)
+    rows = np.argsort(bucket, kind="stable")
+    there = bucket[rows]
+    for b in np.unique(visited):
+        at = rows[np.searchsorted(there, b, side="left") : np.searchsorted(there, b, side="right")]
+        if len(at):
+            who = asker[np.searchsorted(visited, b, side="left") : np.searchsorted(visited, b, side="right")]
+            scores[np.ix_(who - first, at)] = q[who] @ x[at].T
+    for i in np.unique(asker):
+        yield i, scores[i - first]
+
+
 def _rerank(k: int):
     """Exact inner products of the queries with the rows of the buckets they visit."""
 
@@ -85,26 +105,20 @@ def _rerank(k: int):
             visits = right.column("buckets").combine_chunks()
             asker = np.repeat(np.arange(len(q)), np.asarray(visits.value_lengths()))
             visited = np.asarray(visits.flatten())
-            order = np.argsort(visited, kind="stable")
-            asker, visited = asker[order], visited[order]
-            all_scores = np.full((len(q), len(x)), -np.inf)
-            for b in np.unique(bucket):
-                lo, hi = np.searchsorted(visited, [b, b], side="left")[0], np.searchsorted(visited, b, side="right")
-                if hi > lo:
-                    rows = np.flatnonzero(bucket == b)
-                    all_scores[np.ix_(asker[lo:hi], rows)] = q[asker[lo:hi]] @ x[rows].T
-            for i in range(len(q)):
-                some = all_scores[i]
-                some[x_id == q_id[i]] = -np.inf
-                live = np.flatnonzero(some > -np.inf)
-                if len(live) > k:
-                    bar = np.partition(some[live], len(live) - k)[len(live) - k]
-                    live = live[some[live] >= bar - 1e-9 * (1 + abs(bar))]
-                exact = (x[live] * q[i]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
-                best = np.lexsort((x_id[live], -exact))[:k]
-                ids.append(np.full(len(best), q_id[i]))
-                near.append(x_id[live[best]])
-                score.append(exact[best])
+            edges = np.searchsorted(asker, np.arange(0, len(q) + CHUNK, CHUNK))
+            for lo, hi in zip(edges, edges[1:]):
+                first = int(asker[lo]) // CHUNK * CHUNK if hi > lo else 0
+                for i, some in _scores(x, q, bucket, asker[lo:hi], visited[lo:hi], first):
+                    some[x_id == q_id[i]] = -np.inf
+                    live = np.flatnonzero(some > -np.inf)
+                    if len(live) > k:
+                        bar = np.partition(some[live], len(live) - k)[len(live) - k]
+                        live = live[some[live] >= bar - 1e-9 * (1 + abs(bar))]
+                    exact = (x[live] * q[i]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
+                    best = np.lexsort((x_id[live], -exact))[:k]
+                    ids.append(np.full(len(best), q_id[i]))
+                    near.append(x_id[live[best]])
+                    score.append(exact[best])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
         return pa.table({"query_id": join(ids, pa.int64()), "vec_id": join(near, pa.int64()), "score": join(score, pa.float64())})
 
@@ -113,7 +127,7 @@ def _rerank(k: int):
 
 def nearest_neighbours(
     vectors: DataFrame, every: int, k: int, tables: int = 4, hashes: int = 6, width: float = 1.6,
-    probes: int = 200, part_rows: int = 2048, seed: int = 7,
+    probes: int = 200, part_rows: int = 16384, query_rows: int = 16384, seed: int = 7,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found among visited buckets.
 
@@ -122,26 +136,31 @@ def nearest_neighbours(
     table, its own and those around it, in the order of their estimated success; what it finds in any table is
     ranked by the exact inner product in double precision, ties to the smaller id. ``usable`` says which
     rows take part. Buckets of more than ``part_rows`` rows are split, and a query visits all their parts.
+    Parts of about ``part_rows`` rows meet blocks of about ``query_rows`` queries, whatever the tables' sizes.
     """
     table = materialise(usable(vectors, nonzero=True).withColumn("dim", F.size("x")), "vectors")
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    n, norm = table.agg(F.count("*"), F.max(length)).first()
+    wanted = F.col("vec_id") % every == 0
+    n, m, norm = table.agg(F.count("*"), F.count_if(wanted), F.max(length)).first()
     make = lambda dim: _Tables(dim, tables, hashes, width, seed)
     kind = "vec_id long, dim int, table int, bucket long"
     rows = table.mapInArrow(_hash_rows(make, norm or 1.0, 0), kind)
-    asked = table.where(F.col("vec_id") % every == 0)
+    asked = table.where(wanted)
     visits = asked.mapInArrow(_hash_rows(make, norm or 1.0, probes), kind).distinct()
 
-    parts = max(1, -(-n // part_rows))
+    parts, blocks = max(1, -(-n // part_rows)), max(1, -(-m // query_rows))
     where = ["dim", "table", "bucket"]
     splits = materialise(rows.groupBy(*where).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("splits")), "buckets")
     part = F.pmod(F.xxhash64("bucket", "split"), F.lit(parts)).cast("int")
     placed = rows.join(splits, where).withColumn("split", F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int"))
-    left = placed.withColumn("part", part).join(table.select("vec_id", "x"), "vec_id").select("dim", "table", "part", "bucket", "vec_id", "x")
+    placed = placed.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = placed.join(table.select("vec_id", "x"), "vec_id").select("dim", "table", "part", "block", "bucket", "vec_id", "x")
     spread = visits.join(splits, where).withColumn("split", F.explode(F.expr("sequence(0, splits - 1)")))
     right = spread.withColumn("part", part).groupBy("dim", "table", "part", "vec_id").agg(
         F.collect_set("bucket").alias("buckets")
-    ).join(asked.select("vec_id", "x"), "vec_id").select("dim", "table", "part", "vec_id", "buckets", "x")
-    keys = ["dim", "table", "part"]
+    ).withColumn("block", deal(F.col("vec_id"), blocks)).join(asked.select("vec_id", "x"), "vec_id").select(
+        "dim", "table", "part", "block", "vec_id", "buckets", "x"
+    )
+    keys = ["dim", "table", "part", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rerank(k), SCHEMA)
     return nearest(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)
