@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ethersense.session import materialise, work_path
+from ethersense.session import bounded, materialise, work_path
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -94,8 +94,8 @@ def _candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Every place of the magic in the files, as contents and as links.
 
     Contents: ``file, split, local`` (where), ``bytes`` (up to the next place), ``text``, ``head``, ``size``, ``whole``
-    (the block ends before the next place) and its ``digest``. Links: the same key, ``at`` (offset in the file) and
-    ``next`` (where the record would end). Offsets are sums of lengths, per split and then per file.
+    (the block ends before the next place) and its ``digest``. Links: the same key, ``whole``, ``at`` (offset in the file)
+    and ``next`` (where the record would end). Offsets are sums of lengths, per split and then per file.
     """
     text = F.col("value").cast("binary")
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
@@ -114,11 +114,12 @@ def _candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     sums = rows.groupBy("file", "split").agg(F.sum("bytes").alias("_sum"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("file", "split", (F.coalesce(F.sum("_sum").over(before), F.lit(0)) - len(MAGIC)).alias("_before"))
-    links = rows.select("file", "split", "local", "skip", "size").join(sums, ["file", "split"])
+    links = rows.select("file", "split", "local", "skip", "size", "whole").join(sums, ["file", "split"])
     at = F.col("_before") + F.col("local")
     # what stands before the first magic of a file is no record: its place is negative
     links = links.withColumn("at", at).where("at >= 0").select(
-        "file", "split", "local", "at", (F.col("at") + len(MAGIC) + F.col("skip") + F.col("size") + len(RECORD_END)).alias("next")
+        "file", "split", "local", "at", F.coalesce("whole", F.lit(False)).alias("whole"),
+        (F.col("at") + len(MAGIC) + F.col("skip") + F.col("size") + len(RECORD_END)).alias("next"),
     )
     return rows, materialise(links, "archive-links")
 
@@ -151,25 +152,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     rows, links = _candidates(spark, path)
     real = materialise(_reachable(links).withColumn("real", F.lit(True)), "records")
-    marks = links.join(real, ["file", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    marks = materialise(links.join(real, ["file", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False))), "marks")
     key = ["file", "split", "local"]
-    rows = rows.join(materialise(marks, "marks"), key)
-    whole = F.coalesce("whole", F.lit(False))
     block = F.substring("text", F.col("skip").cast("int") + 1, F.col("size").cast("int"))
-    done = rows.where(F.col("real") & whole).select("file", "at", "head", "size", "digest", block.alias("block"))
-    # records cut by a magic in their payload: their pieces follow them
-    parts = rows.where((~F.col("real") | ~whole) & (F.col("at") >= 0))
+    done = rows.drop("whole").join(marks.where("real and whole").select(*key, "at"), key).select(
+        "file", "at", "head", "size", "digest", block.alias("block")
+    )
+    # records cut by a magic in their payload: their pieces follow them; only these texts meet
     start = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(
         Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     )
-    spots = parts.select("file", "at", "real").withColumn("start", start).select("file", "at", "start").where("start is not null")
-    joined = parts.join(spots, ["file", "at"])
-    owner = joined.where("real").select(
-        "file", "start", F.col("head").alias("of_head"), F.col("size").alias("of_size"), F.col("skip").alias("of_skip"), F.col("next").alias("of_next")
-    )
-    pieces = joined.join(owner, ["file", "start"]).where("at < of_next").groupBy("file", "start", "of_head", "of_size", "of_skip").agg(
-        F.array_sort(F.collect_list(F.struct("at", "text"))).alias("pieces")
-    )
+    spots = marks.where("not (real and whole)").withColumn("start", start)
+    ends = spots.where("real").select("file", "start", F.col("next").alias("end"))
+    spots = materialise(spots.join(ends, ["file", "start"]).where("at < end").select(*key, "at", "start"), "cut-records")
+    few, _ = bounded(spots)
+    pieces = rows.select(*key, "text", "head", "size", "skip").join(few, key).groupBy("file", "start").agg(
+        F.array_sort(F.collect_list(F.struct("at", "text"))).alias("pieces"),
+        F.min_by(F.struct("head", "size", "skip"), "at").alias("of"),
+    ).select("file", "start", "pieces", F.col("of.head").alias("of_head"), F.col("of.size").alias("of_size"), F.col("of.skip").alias("of_skip"))
     text = F.array_join(F.transform("pieces", lambda p: p["text"].cast("string")), MAGIC).cast("binary")
     cut = pieces.select(
         "file", F.col("start").alias("at"), F.col("of_head").alias("head"), F.col("of_size").alias("size"),
