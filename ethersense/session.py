@@ -81,7 +81,19 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._work_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` whose every reader has been stored itself; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_work_path", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def local_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
