@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethersense.session import materialise
+from ethersense.session import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,19 +26,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             links.select(F.col("hi"), F.col("lo"))
         )
         parent = both.groupBy("node").agg(F.min("to").alias("to"))
-        parent = materialise(parent, "parent")
+        near = parent = materialise(parent, "parent")
         for _ in range(2):
             far = parent.select(F.col("node").alias("to"), F.col("to").alias("far"))
             parent = parent.join(far, "to").select("node", F.col("far").alias("to"))
         parent = materialise(parent, "parent")
+        discard(near)
         steps.append(parent)
         lo = parent.select(F.col("node").alias("lo"), F.col("to").alias("x"))
         hi = parent.select(F.col("node").alias("hi"), F.col("to").alias("y"))
-        links = materialise(
+        old, links = links, materialise(
             links.join(lo, "lo").join(hi, "hi").where("x <> y")
             .select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(),
             "links",
         )
+        discard(old)
     if not steps:
         return links.select(F.col("lo").alias("node"), F.col("hi").alias("component"))
     found = steps[0].select("node", F.col("to").alias("component"))
@@ -46,4 +48,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         found = found.join(
             step.select(F.col("node").alias("component"), "to"), "component", "left"
         ).select("node", F.coalesce("to", "component").alias("component"))
-    return materialise(found, "components")
+    found = materialise(found, "components")
+    discard(links, *steps)
+    return found

@@ -4,16 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ethersense.llm.components import connected_components
-from ethersense.session import materialise
+from ethersense.session import discard, materialise
 
+#: Bits of a membership map: a fixed 8 MB however many values there are.
+MAP_BITS = 26
+_MAP_BLOCK = 1 << 13
 #: Rows of a key that all others of the key are tested against first.
 LEADERS = 4
 
 
+def membership(values: DataFrame) -> Broadcast:
+    """A bit map of the one long column of ``values``, well mixed hashes, for ``maybe_member``.
+
+    Its size is fixed. Values beyond its capacity only make more of the others pass, so it may thin out rows ahead
+    of an exact join but replaces none.
+    """
+    blocks = (1 << MAP_BITS) // 8 // _MAP_BLOCK
+
+    def mark(batches):
+        bits = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            bits[_map_place(np.asarray(batch.column(0)))] = True
+        packed = np.packbits(bits, bitorder="little").reshape(blocks, _MAP_BLOCK)
+        busy = np.flatnonzero(packed.any(axis=1))
+        yield pa.record_batch([pa.array(busy), pa.array([packed[i].tobytes() for i in busy], pa.binary())], names=["block", "bits"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                part = np.frombuffer(bits, np.uint8)
+                total[block] = total[block] | part if block in total else part
+        yield pa.record_batch(
+            [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "bits"]
+        )
+
+    schema = "block long, bits binary"
+    packed = np.zeros((blocks, _MAP_BLOCK), np.uint8)
+    for row in values.mapInArrow(mark, schema).repartition("block").mapInArrow(add, schema).collect():
+        packed[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return values.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+
+def _map_place(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def maybe_member(found: Broadcast, values: np.ndarray) -> np.ndarray:
+    """False for values that are surely not in the map."""
+    place = _map_place(values)
+    bits = np.frombuffer(found.value, np.uint8)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def link_components(
     keyed: DataFrame,
     passes: Callable[[Column, Column], Column],
@@ -31,7 +81,15 @@ def link_components(
     result equals that of testing all pairs.
     """
     shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
-    rows = materialise(keyed.join(shared.drop("last"), "key"), "keyed")
+    shared = materialise(shared.select("key"), "shared-keys")
+    likely = membership(shared)
+
+    def thin(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_member(likely, np.asarray(batch.column("key")))))
+
+    rows = materialise(keyed.mapInArrow(thin, keyed.schema).join(shared, "key"), "keyed")
+    discard(shared)
     lead = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(
         F.min(F.struct("node", "meta")).alias("lead")
     )
@@ -43,12 +101,16 @@ def link_components(
     parts = connected_components(links)
 
     part = parts.select("node", F.col("component").alias("part"))
-    head = parts.select(F.col("node").alias("head"), F.col("component").alias("head_part"))
-    rows = rows.join(part, "node", "left").join(head, "head", "left").select(
-        "key", "node", "meta", "head", F.coalesce("part", "node").alias("part"),
-        F.coalesce("head_part", "head").alias("head_part"),
+    named = materialise(
+        rows.join(part, "node", "left").select("key", "node", "meta", F.coalesce("part", "node").alias("part")), "keyed"
     )
-    rows = materialise(rows, "keyed")
+    discard(rows, parts)
+    # keys whose rows do not hang together yet
+    open_keys = named.groupBy("key").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "node").alias("head_part")
+    ).where("low <> high").select("key", "head_part")
+    rows = materialise(named.join(open_keys, "key"), "open-keys")
+    discard(named)
     other = rows.where("part <> head_part").select(
         "key", F.col("node").alias("a"), F.col("meta").alias("a_meta"), F.col("part").alias("a_part")
     )
@@ -58,5 +120,8 @@ def link_components(
         & passes(F.col("a_meta"), F.col("meta"))
     ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(rows, first)
     more = materialise(verify(second).select("a", "b"), "linked")
-    return connected_components(links.union(more))
+    found = connected_components(links.union(more))
+    discard(second, links, more)
+    return found

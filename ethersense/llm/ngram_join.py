@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethersense.llm.linking import link_components
+from ethersense.llm.linking import link_components, maybe_member, membership
 from ethersense.llm.textwork import mix64, pieces, row_shingles, signed, text_bytes
-from ethersense.session import bounded, materialise
+from ethersense.session import bounded, discard, materialise
 
 #: Counters of the frequency sketch: a fixed 4 MB however large the corpus is.
 SKETCH_BITS = 20
@@ -135,11 +136,26 @@ def _check(k: int, percent: int):
     return run
 
 
-def _with_node(k: int):
+def _spot(nodes: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """One number for a set and a row id (null as 0), for a membership map."""
+    own = np.asarray(pc.fill_null(ids, 0)).astype(np.int64).view(np.uint64)
+    return signed(mix64(nodes.view(np.uint64) + mix64(own)))
+
+
+def _spots(batches):
+    for batch in batches:
+        yield pa.record_batch([pa.array(_spot(np.asarray(batch.column("node")), batch.column("doc_id")))], names=["spot"])
+
+
+def _with_node(k: int, likely):
+    """Sets and texts, less the rows that surely are none of the ``likely`` spots."""
+
     def run(batches):
         for batch in pieces(batches, "text"):
             sets = row_shingles(*text_bytes(batch.column("text")), k)
-            yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), batch.column("text")], names=["node", "text"])
+            nodes = np.array([_node(s) for s in sets], np.int64)
+            keep = pa.array(maybe_member(likely, _spot(nodes, batch.column("doc_id"))))
+            yield pa.record_batch([pa.array(nodes).filter(keep), batch.column("text").filter(keep)], names=["node", "text"])
 
     return run
 
@@ -168,9 +184,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         counts[row["block"]] = np.frombuffer(row["data"], "<i8")
     sketch = spark.sparkContext.broadcast(counts.astype("<i8").tobytes())
 
-    keyed = materialise(
+    prefixes = materialise(
         docs.mapInArrow(_prefixes(words, percent, sketch), "key long, node long, n int, pos int"), "prefixes"
-    ).select("key", "node", F.struct("n", "pos").alias("meta"))
+    )
+    keyed = prefixes.select("key", "node", F.struct("n", "pos").alias("meta"))
 
     def passes(x: Column, y: Column) -> Column:
         n, m, i, j = x["n"].cast("long"), y["n"].cast("long"), x["pos"], y["pos"]
@@ -195,9 +212,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = materialise(ids.join(profile, "node").select("node", "doc_id"), "pair-nodes")
         # the first row of a set stands for it; rows without an id are looked through as a whole
-        few, _ = bounded(ids.select(F.col("doc_id").alias("id")).distinct())
-        texts = docs.join(few, docs["doc_id"].eqNullSafe(few["id"]), "left_semi")
-        texts = texts.mapInArrow(_with_node(words), "node long, text string")
+        likely = membership(ids.mapInArrow(_spots, "spot long"))
+        texts = docs.mapInArrow(_with_node(words, likely), "node long, text string")
         wanted, _ = bounded(ids.select("node"))
         texts = materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
         x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
@@ -205,6 +221,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         return pairs.join(x, "a").join(y, "b").mapInArrow(_check(words, percent), "a long, b long")
 
     parts = link_components(keyed, passes, verify)
+    discard(prefixes)
     first = profile.select("node", "doc_id").join(parts, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component")
     )
