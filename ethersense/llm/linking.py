@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ethersense.llm.components import connected_components
 from ethersense.session import discard, materialise
 
-#: Bits of a membership map: a fixed 2 MB however many values there are.
-MAP_BITS = 24
+#: Bits of a membership map: a fixed 8 MB however many values there are.
+MAP_BITS = 26
 _MAP_BLOCK = 1 << 13
 #: Rows of a key that all others of the key are tested against first.
 LEADERS = 4
