@@ -31,7 +31,7 @@ def categories() -> dict:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+    return warc.round_trip(table(spark, sf_dir, "pages"), keep_blocks=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

@@ -90,19 +90,24 @@ def _with_offsets(batches):
         yield pa.record_batch([*batch.columns, pa.array(local, pa.int64())], names=[*batch.schema.names, "local"])
 
 
-def _candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Every place of the magic in the files, as contents and as links.
-
-    Contents: ``file, split, local`` (where), ``bytes`` (up to the next place), ``text``, ``head``, ``size``, ``whole``
-    (the block ends before the next place) and its ``digest``. Links: the same key, ``whole``, ``at`` (offset in the file)
-    and ``next`` (where the record would end). Offsets are sums of lengths, per split and then per file.
-    """
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between one magic and the next, and the ``mark`` (a hash) that names such a text in any later scan."""
     text = F.col("value").cast("binary")
-    lines = spark.read.option("lineSep", MAGIC).text(path).select(
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        text.alias("text"), (F.octet_length(text).cast("long") + len(MAGIC)).alias("bytes"),
+        text.alias("text"), F.sha2(text, 256).alias("mark"),
     )
-    lines = lines.mapInArrow(_with_offsets, "file string, split long, text binary, bytes long, local long")
+
+
+def _candidates(spark: SparkSession, path: str, keep_blocks: bool) -> tuple[DataFrame, DataFrame]:
+    """Every place of the magic in the files, as contents and as links.
+
+    Contents: ``file, split, local`` (where), ``bytes`` (up to the next place), ``mark``, ``head``, ``size``, ``whole``
+    (the block ends before the next place), its ``digest`` and, if wanted, ``block``. Links: the same key, ``whole``, ``at``
+    (offset in the file) and ``next`` (where the record would end). Offsets are sums of lengths, per split and then per file.
+    """
+    lines = _lines(spark, path).withColumn("bytes", F.octet_length("text").cast("long") + len(MAGIC))
+    lines = lines.mapInArrow(_with_offsets, "file string, split long, text binary, mark string, bytes long, local long")
     head = F.substring_index(F.col("text").cast("string"), RECORD_END, 1)
     length = F.regexp_extract("head", r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,15})[ \t]*(?:\r\n|$)", 1)
     skip = F.octet_length(F.col("head").cast("binary")).cast("long") + len(RECORD_END)
@@ -110,7 +115,9 @@ def _candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = lines.withColumn("head", head).withColumn("skip", skip).withColumn("size", F.when(ended & (length != ""), length.cast("long")))
     rows = rows.withColumn("whole", F.col("bytes") - len(MAGIC) >= F.col("skip") + F.col("size"))
     block = F.substring("text", F.col("skip").cast("int") + 1, F.col("size").cast("int"))
-    rows = materialise(rows.withColumn("digest", F.when(F.col("whole"), sha1_base32(block))), "archive-candidates")
+    rows = rows.withColumn("digest", F.when(F.col("whole"), sha1_base32(block)))
+    rows = rows.withColumn("block", F.when(F.col("whole"), block) if keep_blocks else F.lit(None).cast("binary"))
+    rows = materialise(rows.drop("text"), "archive-candidates")  # the archives hold the texts
     sums = rows.groupBy("file", "split").agg(F.sum("bytes").alias("_sum"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("file", "split", (F.coalesce(F.sum("_sum").over(before), F.lit(0)) - len(MAGIC)).alias("_before"))
@@ -142,31 +149,32 @@ def _reachable(links: DataFrame) -> DataFrame:
         jump = materialise(jump.join(ahead, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jumps")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed archives: ``file``, ``at``, ``head`` (text), ``size``, ``digest``, ``block``.
+def read_archives(spark: SparkSession, path: str, keep_blocks: bool = True) -> DataFrame:
+    """Records of uncompressed archives: ``file``, ``at``, ``head`` (text), ``size``, ``digest``, ``block`` (null unless ``keep_blocks``).
 
     Tasks propose a record at every magic they see; only those on the chain of record ends from the
     start of the file count, so a magic inside a payload is part of that payload. A file that starts with
     something else, or whose chain meets a record without Content-Length, yields the records up to there.
     A last record whose block is cut short is left out. A header line that ends in the magic is not supported.
     """
-    rows, links = _candidates(spark, path)
+    rows, links = _candidates(spark, path, keep_blocks)
     real = materialise(_reachable(links).withColumn("real", F.lit(True)), "records")
     marks = materialise(links.join(real, ["file", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False))), "marks")
     key = ["file", "split", "local"]
-    block = F.substring("text", F.col("skip").cast("int") + 1, F.col("size").cast("int"))
     done = rows.drop("whole").join(marks.where("real and whole").select(*key, "at"), key).select(
-        "file", "at", "head", "size", "digest", block.alias("block")
+        "file", "at", "head", "size", "digest", "block"
     )
-    # records cut by a magic in their payload: their pieces follow them; only these texts meet
+    # records cut by a magic in their payload: their pieces follow them; only these texts are fetched and meet
     start = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(
         Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     )
     spots = marks.where("not (real and whole)").withColumn("start", start)
     ends = spots.where("real").select("file", "start", F.col("next").alias("end"))
-    spots = materialise(spots.join(ends, ["file", "start"]).where("at < end").select(*key, "at", "start"), "cut-records")
-    few, _ = bounded(spots)
-    pieces = rows.select(*key, "text", "head", "size", "skip").join(few, key).groupBy("file", "start").agg(
+    spots = spots.join(ends, ["file", "start"]).where("at < end").select(*key, "at", "start")
+    spots = materialise(rows.select(*key, "mark", "head", "size", "skip").join(spots, key), "cut-records")
+    wanted, _ = bounded(spots.select("mark").distinct())
+    texts = _lines(spark, path).select("mark", "text").join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
+    pieces = spots.join(texts, "mark").groupBy("file", "start").agg(
         F.array_sort(F.collect_list(F.struct("at", "text"))).alias("pieces"),
         F.min_by(F.struct("head", "size", "skip"), "at").alias("of"),
     ).select("file", "start", "pieces", F.col("of.head").alias("of_head"), F.col("of.size").alias("of_size"), F.col("of.skip").alias("of_skip"))
@@ -175,7 +183,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         "file", F.col("start").alias("at"), F.col("of_head").alias("head"), F.col("of_size").alias("size"),
         F.substring(text, F.col("of_skip").cast("int") + 1, F.col("of_size").cast("int")).alias("block"),
     ).where(F.octet_length("block") == F.col("size"))
-    return done.unionByName(cut.withColumn("digest", sha1_base32(F.col("block"))))
+    cut = cut.withColumn("digest", sha1_base32(F.col("block")))
+    return done.unionByName(cut if keep_blocks else cut.withColumn("block", F.lit(None).cast("binary")))
 
 
 def _header(name: str, pattern: str) -> Column:
@@ -183,12 +192,12 @@ def _header(name: str, pattern: str) -> Column:
     return F.when(found != "", found)
 
 
-def archived_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to, block``.
+def archived_pages(spark: SparkSession, path: str, keep_blocks: bool = True) -> DataFrame:
+    """Per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to, block`` (null unless ``keep_blocks``).
 
     ``payload_digest`` of a response is that of the block read; of a revisit, that its header names.
     """
-    rows = read_archives(spark, path)
+    rows = read_archives(spark, path, keep_blocks)
     kind = _header("WARC-Type", r"([a-z]+)")
     page = rf"<{SCHEME}(-?[0-9]+)>"
     revisit = F.col("record_type") == "revisit"
@@ -201,8 +210,8 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, records: int = 4096) -> DataFrame:
+def round_trip(pages: DataFrame, records: int = 4096, keep_blocks: bool = True) -> DataFrame:
     """Write ``pages`` to archives below the shared folder and read them back."""
     path = work_path(pages.sparkSession, "archives")
     write_archives(pages, path, records)
-    return archived_pages(pages.sparkSession, path)
+    return archived_pages(pages.sparkSession, path, keep_blocks)

@@ -242,6 +242,9 @@ def test_warc(spark):
         assert got == want
         blocks = {r["page_id"]: bytes(r["block"]) for r in found.where("record_type = 'response'").select("page_id", "block").collect()}
         assert all(blocks[p] == b for p, b in payload if p in blocks and heads[b] == p and p is not None)
+        bare = warc.round_trip(pages, records=50, keep_blocks=False)
+        assert bare.where("block is not null").count() == 0
+        assert Counter(tuple(r) for r in bare.drop("block").collect()) == want
         assert warc.round_trip(pages.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
