@@ -68,11 +68,13 @@ def link_components(
     keyed: DataFrame,
     passes: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame],
+    repeated: bool = False,
 ) -> DataFrame:
     """``(node, component)`` of the nodes linked with another one.
 
     ``keyed`` has ``key``, ``node`` and a struct ``meta``; two nodes are candidates when they share a key
     and ``passes(meta, meta)`` holds. ``verify`` takes distinct pairs ``(a, b)`` and keeps the linked ones.
+    ``repeated`` says that ``keyed`` may have equal rows.
 
     First every node is tested against a few leaders of each of its keys (the smallest node of each of
     ``LEADERS`` hash classes), which joins a large group of copies with a few tests a row. Then only nodes
@@ -88,7 +90,8 @@ def link_components(
         for batch in batches:
             yield batch.filter(pa.array(maybe_member(likely, np.asarray(batch.column("key")))))
 
-    rows = materialise(keyed.mapInArrow(thin, keyed.schema).join(shared, "key"), "keyed")
+    rows = keyed.mapInArrow(thin, keyed.schema).join(shared, "key")
+    rows = materialise(rows.distinct() if repeated else rows, "keyed")
     discard(shared)
     lead = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(
         F.min(F.struct("node", "meta")).alias("lead")

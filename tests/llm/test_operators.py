@@ -184,6 +184,61 @@ def test_line_dedup(spark):
     assert line_dedup.drop_duplicate_lines(docs.limit(0)).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def alike(a, b):
+    longer = max(len(a), len(b))
+    return longer - min(len(a), len(b)) <= 0.2 * longer + 1e-9 and edits(a, b) <= math.floor(0.2 * longer + 1e-9)
+
+
+def changed(rng, line, share):
+    """``line`` with words swapped for others until about ``share`` of its characters may differ."""
+    words, left = line.split(" "), share * len(line)
+    for at in rng.sample(range(len(words)), len(words)):
+        left -= len(words[at])
+        if left < 0:
+            break
+        words[at] = "".join(rng.choice("bcdfgaeiou") for _ in words[at])
+    return " ".join(words)
+
+
+def test_line_dedup_short_keys():
+    """Up to 24 characters every pair of enough edit similarity shares a key."""
+    rng = random.Random(11)
+    lines = {"".join(rng.choice("abc é日") for _ in range(rng.randrange(1, 31))) for _ in range(90)}
+    for x in list(lines):
+        for _ in range(4):
+            y = list(x)
+            for _ in range(rng.randrange(1, 6)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = rng.choice(["", "a", "日"])
+            lines.add("".join(y) or "a")
+    keys = {x: set(line_dedup._short_keys(x, 0.8)) for x in lines}
+    near = [(x, y) for x in lines for y in lines if x < y and min(len(x), len(y)) <= 24 and alike(x, y)]
+    assert len(near) > 200
+    assert all(keys[x] & keys[y] for x, y in near)
+
+
+def test_line_dedup_recall(spark):
+    """Against brute force by edit similarity alone: at least 0.95 of near copies found, and nothing else."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    base = [" ".join(word() for _ in range(n)) for n in [5, 6, 8, 10, 12, 15, 20, 25, 30, 40] * 12]
+    near = [changed(rng, x, 0.2) for x in base]
+    want = {i + len(base) for i, (x, y) in enumerate(zip(base, near)) if alike(x, y)}
+    found = line_dedup.duplicate_lines(frame(spark, list(enumerate(base + near))), distance=None)
+    gone = {r["doc_id"] for r in found.collect()}
+    assert len(want) > 100 and gone <= want
+    assert len(gone) >= 0.95 * len(want)
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, random_text(rng, rng.randrange(400)), rng.choice(["a"] * 8 + ["b", "c", "d", "B", None])) for i in range(400)]
