@@ -46,7 +46,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_duplicate_lines(docs, distance=None).select(
+    return line_dedup.drop_duplicate_lines(docs, min_words=1, distance=None).select(
         "doc_id", F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
     )
 

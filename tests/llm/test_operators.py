@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethersense.llm import ann, components, line_dedup, mixing, ngram_join, repeats, sentencepieces, token_files, topk, toxicity, warc
-from ethersense.llm.queries import TOXIC, categories, tokenizer_path
+from ethersense.llm.queries import TOXIC, categories, op4_line_dedup, tokenizer_path
 from ethersense.session import work_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,6 +239,19 @@ def test_line_dedup_recall(spark):
     assert len(gone) >= 0.95 * len(want)
 
 
+def test_line_dedup_short_lines(spark):
+    """The query looks at lines of few words and at scripts without spaces too."""
+    long = "".join(chr(0x4E00 + i) for i in range(60))
+    rows = [(1, "Les.\nAnd ornd.\n\n" + long), (2, "les.\n \n\nAnd  ornd.\nother"), (3, "Les.\n" + long[:30] + "x" + long[31:]), (4, None)]
+    docs = frame(spark, rows)
+    path = work_path(spark, "documents")
+    docs.write.parquet(f"{path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in op4_line_dedup(spark, path).collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 0}
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.drop_duplicate_lines(docs, min_words=1, distance=None).collect()}
+    assert kept == {1: rows[0][1], 2: " \n\nother", 3: "", 4: None}
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, random_text(rng, rng.randrange(400)), rng.choice(["a"] * 8 + ["b", "c", "d", "B", None])) for i in range(400)]
