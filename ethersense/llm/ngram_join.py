@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ethersense.llm.linking import link_components, maybe_member, membership
 from ethersense.llm.textwork import mix64, pieces, row_shingles, signed, text_bytes
@@ -160,6 +162,18 @@ def _with_node(k: int, likely):
     return run
 
 
+def _node_of(k: int):
+    """Identity of each text's shingle set, 0 without words."""
+
+    @F.pandas_udf(LongType())
+    def run(text: pd.Series) -> pd.Series:
+        batch = pa.record_batch([pa.array(text, pa.string())], names=["text"])
+        found = [_node(s) for b in pieces(iter([batch]), "text") for s in row_shingles(*text_bytes(b.column("text")), k)]
+        return pd.Series(found, dtype="int64")
+
+    return run
+
+
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs`` (``doc_id``, ``text``; others are ignored).
 
@@ -171,6 +185,17 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     The prefix order is any global order; here the counts of a fixed-size sketch over all rows, then the hash.
     Shingles and sets are told apart by 64-bit hashes.
     """
+    sets, first = _linked_sets(docs, words, percent)
+    least = first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = first.join(least, "component").select("node", "component_id")
+    return sets.join(named, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n, node, data)`` per row, and ``(node, doc_id, component)`` per set with its smallest id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = materialise(
@@ -222,30 +247,28 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
 
     parts = link_components(keyed, passes, verify)
     discard(prefixes)
-    first = profile.select("node", "doc_id").join(parts, "node", "left").select(
+    return sets, profile.select("node", "doc_id").join(parts, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component")
     )
-    least = first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = first.join(least, "component").select("node", "component_id")
-    return sets.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns.
+    """One row of each component of ``docs``, with all its columns: the first by (doc_id, set), null ids last.
 
-    Texts without words all stay. Of repeated rows with the component's id one stays, and components with
-    the same smallest id (rows that share an id but no text) count as one.
+    Texts without words all stay. Of rows equal in id and set one stays; rows that share an id, or have none,
+    but whose texts do not hang together are kept apart.
     """
-    found = materialise(ngram_components(docs, words, percent), "ngram-components")
-    ids = found.groupBy(F.col("doc_id").alias("_kept_id")).agg(
-        F.max((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_first"),
-        F.count(F.when(F.col("n_shingles") > 0, 1)).alias("_rows"),
-    )
-    rows = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_kept_id"]))
+    sets, linked = _linked_sets(docs, words, percent)
+    rows = sets.where("n > 0").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "rows")
+    first = rows.join(linked.select("node", "component"), "node").groupBy("component").agg(F.min(order).alias("first"))
+    first = materialise(first.select(
+        F.col("first.node").alias("_first_node"), F.col("first.doc_id").alias("_first_id"), F.col("first.rows").alias("_rows")
+    ), "first-rows")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    single = rows.where(blank | (F.col("_first") & (F.col("_rows") == 1)))
-    many = rows.where(~blank & F.col("_first") & (F.col("_rows") > 1)).dropDuplicates(["_kept_id"])
-    return single.unionByName(many).select(*docs.columns)
+    rows = docs.where(~blank).withColumn("_node", _node_of(words)(F.col("text").cast("string"))).join(
+        first, (F.col("_node") == F.col("_first_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first_id"))
+    )
+    many = rows.where("_rows > 1").dropDuplicates(["_node"])
+    kept = rows.where("_rows = 1").unionByName(many).select(*docs.columns)
+    return docs.where(blank).unionByName(kept)

@@ -95,6 +95,21 @@ def test_ngram_keep_one(spark):
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_ngram_keep_one_ids(spark):
+    """Null and shared ids: one row of each component, whatever the ids are."""
+    rng = random.Random(13)
+    clean = [random_text(rng, 40, 10**6) for _ in range(9)]
+    near = clean[5] + " more"
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[1].upper()), (None, clean[2]), (7, clean[3]), (7, clean[4])]
+    rows += [(7, near), (3, clean[5]), (8, clean[6]), (8, clean[6]), (None, clean[6]), (9, clean[7]), (9, clean[7] + " end"), (None, ""), (None, None), (7, " ")]
+    kept = ngram_join.keep_one(frame(spark, rows)).collect()
+    got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept)
+    last = [x for x in got if x[1] in (clean[7], clean[7] + " end")]
+    assert len(last) == 1 and got.pop(last[0]) == 1
+    want = [(None, clean[0]), (None, clean[1]), (None, clean[2]), (7, clean[3]), (7, clean[4]), (3, clean[5]), (8, clean[6])]
+    assert got == Counter(want + [(None, ""), (None, ""), (7, " ")])
+
+
 def brute_repeats(rows, length):
     raws = [(t or "").encode() for _, t in rows]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
