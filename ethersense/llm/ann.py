@@ -16,10 +16,12 @@ from ethersense.session import materialise
 SCHEMA = "query_id long, vec_id long, score double"
 #: Queries scored at a time inside a task.
 CHUNK = 256
+#: Rows are hashed in bands whose norms differ by at most this factor, each with its own scale.
+BAND_RATIO = 1.5
 
 
 class _Tables:
-    """``tables`` groups of ``hashes`` Gaussian projections, cut into cells of ``width`` times the largest norm."""
+    """``tables`` groups of ``hashes`` Gaussian projections, cut into cells of ``width`` times the largest norm of a band."""
 
     def __init__(self, dim: int, tables: int, hashes: int, width: float, seed: int) -> None:
         rng = np.random.default_rng([seed, dim])
@@ -38,8 +40,8 @@ class _Tables:
             x, extra = x / norm, np.sqrt(np.maximum(0.0, 1 - (size / norm) ** 2))
         return (np.hstack([x, extra]) @ self.a) / self.width + self.b
 
-    def bucket(self, cells: np.ndarray, table: int) -> np.ndarray:
-        h = np.full(cells.shape[:-1], table + 1, np.uint64)
+    def bucket(self, cells: np.ndarray, table: int, band: int) -> np.ndarray:
+        h = np.full(cells.shape[:-1], table + 1 + (band << 16), np.uint64)
         for i in range(self.hashes):
             h = mix64(h + cells[..., i].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return signed(h)
@@ -53,24 +55,35 @@ class _Tables:
         return cell[:, None, :] + self.moves[best]
 
 
-def _hash_rows(make, norm: float, probes: int):
-    """Buckets of each row: its own one per table, or with ``probes`` the cells that its search visits."""
+def _hash_rows(make, bands: dict, probes: int):
+    """Buckets of each row: its own one per table, or with ``probes`` the cells that its search visits in every band.
+
+    ``bands`` has for each number of components {band: largest norm, or None where all rows lie in one bucket}.
+    """
 
     def run(batches):
         for batch in batches:
             for dim in set(batch.column("dim").to_pylist()):
                 part = batch.filter(pa.array(np.asarray(batch.column("dim")) == dim))
-                tables, x = make(dim), matrix(part.column("x"))
-                place = tables.places(x, norm, bool(probes))
-                for t in range(tables.tables):
-                    own = place[:, t * tables.hashes : (t + 1) * tables.hashes]
-                    cells = tables.probes(own, probes) if probes else np.floor(own)[:, None, :]
-                    bucket = tables.bucket(cells, t)
-                    row = pa.array(np.repeat(np.arange(len(x)), bucket.shape[1]))
-                    yield pa.record_batch([
-                        part.column("vec_id").take(row), part.column("dim").take(row), pa.array(np.full(len(row), t, np.int32)),
-                        pa.array(bucket.reshape(-1)),
-                    ], names=["vec_id", "dim", "table", "bucket"])
+                tables, own_band = make(dim), np.asarray(part.column("band"))
+                for band, norm in bands[dim].items():
+                    mine = part if probes else part.filter(pa.array(own_band == band))
+                    if not mine.num_rows:
+                        continue
+                    x = matrix(mine.column("x"))
+                    place = None if norm is None else tables.places(x, norm, bool(probes))
+                    for t in range(tables.tables if norm is not None else 1):
+                        if norm is None:
+                            cells = np.zeros((len(x), 1, tables.hashes))
+                        else:
+                            own = place[:, t * tables.hashes : (t + 1) * tables.hashes]
+                            cells = tables.probes(own, probes) if probes else np.floor(own)[:, None, :]
+                        bucket = tables.bucket(cells, t, band)
+                        row = pa.array(np.repeat(np.arange(len(x)), bucket.shape[1]))
+                        yield pa.record_batch([
+                            mine.column("vec_id").take(row), mine.column("dim").take(row), pa.array(np.full(len(row), t, np.int32)),
+                            pa.array(bucket.reshape(-1)),
+                        ], names=["vec_id", "dim", "table", "bucket"])
 
     return run
 
@@ -127,27 +140,56 @@ def _rerank(k: int):
 
 def nearest_neighbours(
     vectors: DataFrame, every: int, k: int, tables: int = 4, hashes: int = 6, width: float = 1.6,
-    probes: int = 200, part_rows: int = 16384, query_rows: int = 16384, seed: int = 7,
+    probes: int = 200, part_rows: int = 16384, query_rows: int = 16384, seed: int = 7, exact_rows: int = 1024,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found among visited buckets.
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows with another id and as many
-    components. Every row lies in one bucket of each table. A query visits ``probes`` buckets of each
-    table, its own and those around it, in the order of their estimated success; what it finds in any table is
-    ranked by the exact inner product in double precision, ties to the smaller id. ``usable`` says which
-    rows take part. Buckets of more than ``part_rows`` rows are split, and a query visits all their parts.
-    Parts of about ``part_rows`` rows meet blocks of about ``query_rows`` queries, whatever the tables' sizes.
+    components. Rows are split into bands of like norms. Every row lies in one bucket of each table of its band, or
+    in a single bucket if its band has at most ``exact_rows`` rows. In each band a query visits ``probes`` buckets of
+    each table, its own and those around it, in the order of their estimated success; what it finds in any table is
+    ranked by the exact inner product in double precision, ties to the smaller id. Queries that find fewer than ``k``
+    rows although there are more are compared with all rows. ``usable`` says which rows take part. Buckets of more
+    than ``part_rows`` rows are split, and a query visits all their parts. Parts of about ``part_rows`` rows meet
+    blocks of about ``query_rows`` queries, whatever the tables' sizes.
     """
     table = materialise(usable(vectors, nonzero=True).withColumn("dim", F.size("x")), "vectors")
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     wanted = F.col("vec_id") % every == 0
-    n, m, norm = table.agg(F.count("*"), F.count_if(wanted), F.max(length)).first()
+    top = table.agg(F.max(length)).first()[0] or 1.0
+    step = F.floor(F.log(F.lit(top) / length) / float(np.log(BAND_RATIO)) + 1e-9)
+    banded = table.withColumn("norm", length).withColumn("band", F.coalesce(step, F.lit(0)).cast("int"))
+    bands: dict[int, dict[int, float | None]] = {}
+    size: dict[int, int] = {}
+    asking = 0
+    for r in banded.groupBy("dim", "band").agg(F.count("*").alias("n"), F.count_if(wanted).alias("m"), F.max("norm").alias("norm")).collect():
+        bands.setdefault(r["dim"], {})[r["band"]] = None if r["n"] <= exact_rows else r["norm"] or 1.0
+        size[r["dim"]], asking = size.get(r["dim"], 0) + r["n"], asking + r["m"]
     make = lambda dim: _Tables(dim, tables, hashes, width, seed)
     kind = "vec_id long, dim int, table int, bucket long"
-    rows = table.mapInArrow(_hash_rows(make, norm or 1.0, 0), kind)
+    rows = banded.drop("norm").mapInArrow(_hash_rows(make, bands, 0), kind)
     asked = table.where(wanted)
-    visits = asked.mapInArrow(_hash_rows(make, norm or 1.0, probes), kind).distinct()
-
+    visits = banded.drop("norm").where(wanted).mapInArrow(_hash_rows(make, bands, probes), kind).distinct()
+    count = sum(size.values())
+    found = materialise(_search(table, rows, asked, visits, count, asking, k, part_rows, query_rows), "found")
+
+    have = found.groupBy("query_id").agg(F.count("*").alias("have"))
+    due = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for d, n in size.items() for v in (d, min(k, n - 1))]), F.col("dim")), F.lit(0)) if size else F.lit(0)
+    short = asked.join(have, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("have", F.lit(0)) < due)
+    short = materialise(short.select("vec_id", "x", "dim"), "short-queries")
+    few = short.count()
+    if not few:
+        return found
+    alone = lambda df: df.select("vec_id", "dim", F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"))
+    dims = short.select("dim").distinct()
+    full = _search(table, alone(table.join(dims, "dim", "left_semi")), short, alone(short), count, few, k, part_rows, query_rows)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(full)
+
+
+def _search(
+    table: DataFrame, rows: DataFrame, asked: DataFrame, visits: DataFrame, n: int, m: int, k: int, part_rows: int, query_rows: int,
+) -> DataFrame:
+    """The ``k`` best of the ``rows`` whose buckets the ``visits`` name, for ``m`` queries ``asked`` of ``n`` rows."""
     parts, blocks = max(1, -(-n // part_rows)), max(1, -(-m // query_rows))
     where = ["dim", "table", "bucket"]
     splits = materialise(rows.groupBy(*where).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("splits")), "buckets")

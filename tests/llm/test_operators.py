@@ -394,6 +394,29 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * total
 
 
+@pytest.mark.parametrize(("kind", "exact_rows"), [("outlier", 1024), ("outlier", 0), ("lognormal", 128), ("tiny", 0)])
+def test_nearest_uneven_norms(spark, kind, exact_rows):
+    """All queries get their rows and recall stays when norms differ."""
+    rng = np.random.default_rng(3)
+    n = 15 if kind == "tiny" else 2000
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= np.exp(rng.standard_normal((n, 1)))
+    else:
+        x[5] *= 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(df, every=20, k=20, exact_rows=exact_rows).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = total = 0
+    for q in range(0, n, 20):
+        order = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+        assert len(found[q]) == len(order)
+        hit, total = hit + len(found[q] & set(order)), total + len(order)
+    assert hit >= 0.9 * total, hit / total
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", F.lit("x").alias("p_toxic"))
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
