@@ -257,6 +257,14 @@ def _sample_row(lattice: _Lattice, fresh: list[tuple], units: tuple[int, int], s
     return paths, -np.inf
 
 
+def _log_inclusion(gap: float) -> float:
+    """Logarithm of ``1 - exp(-exp(gap))``, also where that is no double above zero."""
+    if gap < -30:
+        return gap  # exp(gap) / 2 less, below the precision of a double
+    rate = float(np.exp(min(gap, 50.0)))
+    return float(np.log(-np.expm1(-rate))) if rate < 0.7 else float(np.log1p(-np.exp(-rate)))
+
+
 def _ids_of(lattice: _Lattice, edges: np.ndarray) -> np.ndarray:
     ids = lattice.first_id[edges]
     longer = np.flatnonzero(~lattice.plain[edges])
@@ -299,21 +307,22 @@ def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
                 fresh = [_paths(lattice, units, seed, r) for r in range(k)]
             for i, t in enumerate(texts):
                 if bounds[i] == bounds[i + 1]:
-                    rows.append((i, 1, np.empty(0, np.int64), 0.0, 1.0, True))
+                    rows.append((i, 1, np.empty(0, np.int64), 0.0, 1.0, True, 0.0))
                     continue
                 found, bar = _sample_row(lattice, fresh, (bounds[i], bounds[i + 1]), int(seeds[i]), k)
                 for s, (edges, log_p, _) in enumerate(found):
                     ids = _ids_of(lattice, edges)
                     gap = log_p - bar
                     inclusion = float(-np.expm1(-np.exp(min(gap, 50.0)))) if np.isfinite(bar) else 1.0
-                    rows.append((i, s + 1, ids, float(log_p), inclusion, decode_ids(model, ids) == t))
+                    log_inclusion = _log_inclusion(gap) if np.isfinite(bar) else 0.0
+                    rows.append((i, s + 1, ids, float(log_p), inclusion, decode_ids(model, ids) == t, log_inclusion))
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.record_batch([
                 batch.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int64()),
                 pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()),
                 pa.array([zlib.crc32(r[2].astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.bool_()),
-                pa.array([r[2] if keep_ids else None for r in rows], pa.list_(pa.int64())),
-            ], names=["doc_id", "sample", "n_pieces", "log_prob", "inclusion", "ids_crc32", "decoded", "ids"])
+                pa.array([r[2] if keep_ids else None for r in rows], pa.list_(pa.int64())), pa.array([r[6] for r in rows], pa.float64()),
+            ], names=["doc_id", "sample", "n_pieces", "log_prob", "inclusion", "ids_crc32", "decoded", "ids", "log_inclusion"])
 
     return run
 
@@ -322,11 +331,12 @@ def sample_segmentations(
     docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, seed: int = 3, keep_ids: bool = True,
     key: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, sample, n_pieces, log_prob, inclusion, ids_crc32, decoded, ids`` per sampled segmentation.
+    """``doc_id, sample, n_pieces, log_prob, inclusion, ids_crc32, decoded, ids, log_inclusion`` per sampled segmentation.
 
     Each row of ``docs`` (``doc_id``, ``text``) gives its ``k`` segmentations of the largest Gumbel-perturbed
     log-probability, best first, all different; fewer if its lattice has fewer. ``inclusion`` is the chance of
-    a segmentation to be above the ``k + 1``-th perturbed value. ``decoded`` says that the ids decode to the
+    a segmentation to be above the ``k + 1``-th perturbed value; it is 0 for long texts, where only its logarithm
+    ``log_inclusion`` can be told apart. ``decoded`` says that the ids decode to the
     text again. Null and empty texts give one empty segmentation. The noise depends on ``key`` (default:
     doc_id and text) and ``seed`` only, so rows equal in both agree. Other columns are ignored.
     """
@@ -334,5 +344,5 @@ def sample_segmentations(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key.alias("seed"))
     return rows.mapInArrow(
         _encode_rows(model, k, sharpness, keep_ids),
-        "doc_id long, sample int, n_pieces long, log_prob double, inclusion double, ids_crc32 long, decoded boolean, ids array<long>",
+        "doc_id long, sample int, n_pieces long, log_prob double, inclusion double, ids_crc32 long, decoded boolean, ids array<long>, log_inclusion double",
     )

@@ -486,6 +486,24 @@ def test_sentencepiece(spark):
     assert sentencepieces.sample_segmentations(docs.limit(0), name).count() == 0
 
 
+def test_sentencepiece_log_inclusion(spark):
+    """Inclusion scores of long texts can be told apart by their logarithm."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()
+    words = [w for r in texts for w in (r["text"] or "").split()]
+    assert len(words) > 20000
+    docs = frame(spark, [(1, " ".join(words[:10000])), (2, " ".join(words[-10000:])), (3, "one two"), (4, "")])
+    found = sentencepieces.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False).collect()
+    assert all(math.isfinite(r["log_inclusion"]) and r["log_inclusion"] <= 0 for r in found)
+    assert all(math.isclose(math.exp(r["log_inclusion"]), r["inclusion"], rel_tol=1e-9, abs_tol=1e-300) for r in found)
+    long = [r["log_inclusion"] for r in found if r["doc_id"] < 3]
+    assert len(set(long)) == 4 and max(long) < -745, long
+    assert all(r["inclusion"] == 0 for r in found if r["doc_id"] < 3)
+    gaps = [-800.0, -40.0, -29.9, -5.0, -0.4, -0.3, 2.0, 60.0]
+    logs = [sentencepieces._log_inclusion(g) for g in gaps]
+    assert all(math.isclose(x, math.log(-math.expm1(-math.exp(g))), rel_tol=1e-12) for g, x in zip(gaps[1:5], logs[1:5]))
+    assert logs == sorted(logs) and logs[0] == -800.0
+
+
 def test_sentencepiece_distribution():
     """Over many keys the first sample follows the lattice's chances, and inclusion follows sampling in pairs."""
     name = tokenizer_path("piece_bpe_32k.model")
