@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethersense.llm import ann, line_dedup, mixing, ngram_join, repeats, sentencepieces, token_files, topk, toxicity, warc
+from ethersense.llm import (
+    ann, conversations, language, line_dedup, mixing, ngram_join, repair_sql, repeats, sentencepieces, token_files, topk,
+    toxicity, warc, whitening,
+)
 from ethersense.session import configure
 
 
@@ -82,6 +85,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = language.learn_languages(docs.where(~held_out), label="lang")
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc, "op2_ngram_join": op2_ngram_join, "op3_nearest": op3_nearest, "op4_line_dedup": op4_line_dedup,
     "op5_repeats": op5_repeats, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_token_files": op8_token_files,
-    "op9_exact_top_k": op9_exact_top_k, "op10_sentencepiece": op10_sentencepiece, "pipeline": pipeline,
+    "op9_exact_top_k": op9_exact_top_k, "op10_sentencepiece": op10_sentencepiece, "op11_language": op11_language,
+    "op12_whiten": op12_whiten, "op13_repair": op13_repair, "pipeline": pipeline,
 }
 
 ORACLES = {
@@ -127,4 +147,5 @@ ORACLES = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op13_repair": repair_sql.SQL,
 }
