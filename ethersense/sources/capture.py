@@ -2,9 +2,13 @@
 
 A capture is one long chain of variable-length records, but one task must not read a whole file.
 Files are cut into byte ranges. Every range looks for its first record by itself, walks to its end,
-and reports where the next record starts. The ranges of a file must then link up without a gap;
+and reports where the next record starts. The ranges of a file must then link up;
 a range that guessed a wrong start is walked again from the known right one, so the result is exact.
 Counts per range give each range its first packet index, and the frames are decoded in parallel.
+
+Where bytes are no record, the walk looks for the next chain of plausible records and goes on there; the
+skipped bytes are a *gap*. A gap may stay open at the end of its range: then the next range starts at the
+record it finds itself, which is the one a search through the whole file would find.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,7 +129,7 @@ def _record(buf: bytes, at: int, fmt: _Format, guess: bool = False) -> tuple[int
     return 16 + stored, True
 
 
-def _plausible(buf: bytes, at: int, fmt: _Format, file_ends: bool) -> bool:
+def _plausible(buf: bytes, at: int, fmt: _Format, file_ends: bool, growing: bool = False) -> bool:
     """A chain of records from ``at`` that neither breaks nor leaves the end of the file.
 
     Only a first guess, so it may be stricter than the format: runs of zeros look like empty
@@ -134,7 +139,7 @@ def _plausible(buf: bytes, at: int, fmt: _Format, file_ends: bool) -> bool:
     for _ in range(CHAIN):
         found = _record(buf, at, fmt, guess=True)
         if found is None:
-            return at == len(buf) and file_ends
+            return at == len(buf) and file_ends and not growing
         if not fmt.pcapng:
             second = struct.unpack_from(fmt.order + "I", buf, at)[0]
             if found[0] == 16 or last is not None and abs(second - last) > MAX_GAP:
@@ -144,20 +149,40 @@ def _plausible(buf: bytes, at: int, fmt: _Format, file_ends: bool) -> bool:
         if at > len(buf):
             return not file_ends
         if at == len(buf):
-            return True
+            return not (file_ends and growing)
     return True
 
 
-def _first_record(handle, start: int, end: int, length: int, fmt: _Format) -> int | None:
-    """Offset of the first plausible record at or after ``start`` and before ``end``."""
-    step = 4 if fmt.pcapng else 1
+def _candidates(buf: bytes, count: int, fmt: _Format) -> np.ndarray:
+    """Positions below ``count`` where the header could be one of a usual record."""
+    n = min(count, len(buf) - (8 if fmt.pcapng else 16) + 1)
+    if n <= 0:
+        return np.empty(0, np.int64)
+
+    def field(offset: int) -> np.ndarray:
+        return np.ndarray(n, fmt.order + "u4", buf, offset, (1,))
+
+    if fmt.pcapng:
+        size = field(4)
+        good = (size >= 12) & (size % 4 == 0) & (size <= MAX_RECORD) & np.isin(field(0), list(NG_KNOWN))
+    else:
+        good = (field(4) < fmt.unit) & (field(8) <= MAX_RECORD) & (field(12) <= MAX_RECORD)
+    return np.flatnonzero(good)
+
+
+def _first_record(
+    handle, start: int, end: int, length: int, fmt: _Format, growing: bool = False
+) -> int | None:
+    """Offset of the first plausible record at or after ``start`` and before ``end``.
+
+    In a ``growing`` file a chain that ends with the bytes there are is not yet taken for one."""
     for window in range(start, end, SEARCH_STEP):
         size = min(SEARCH_STEP * 2, length - window)
         buf = handle.read_at(size, window)
         file_ends = window + size >= length
-        for at in range(0, min(SEARCH_STEP, end - window)):
-            if (window + at) % step == 0 and _record(buf, at, fmt, guess=True) is not None:
-                if _plausible(buf, at, fmt, file_ends):
+        for at in _candidates(buf, min(SEARCH_STEP, end - window), fmt).tolist():
+            if _record(buf, at, fmt, guess=True) is not None:
+                if _plausible(buf, at, fmt, file_ends, growing):
                     return window + at
     return None
 
@@ -166,7 +191,8 @@ def _records(handle, first: int, end: int, length: int, fmt: _Format
              ) -> Iterator[tuple[int, bytes, int, int, bool]]:
     """Records that start in ``[first, end)``: (offset, buffer, position, size, is_packet).
 
-    Reads bounded blocks; a record cut off by the end of the file is dropped.
+    Reads bounded blocks; a record cut off by the end of the file is dropped. A pcap header with unusual
+    values counts as a record if a usual one, or the end of the file, follows it.
     """
     at = first
     buf, base = b"", first
@@ -183,6 +209,10 @@ def _records(handle, first: int, end: int, length: int, fmt: _Format
             buf, base = handle.read_at(max(size, min(4 << 20, length - at)), at), at
             if _record(buf, 0, fmt) is None:  # the block's second length tells another size
                 return
+        if not fmt.pcapng and at + size < length and _record(buf, at - base, fmt, guess=True) is None:
+            after = handle.read_at(min(16, length - at - size), at + size)
+            if _record(after, 0, fmt, guess=True) is None:
+                return
         yield at, buf, at - base, size, is_packet
         at += size
 
@@ -202,57 +232,67 @@ def _interface(buf: bytes, pos: int, size: int, order: str) -> tuple[int, float]
     return linktype, unit
 
 
+_INTERFACE = "offset:long,is_section:boolean,linktype:int,unit:double"
 LOCATED = (
-    "file_ordinal int, source_file string, length long, split long, start long, stop long, "
-    "first long, next long, packets long, "
-    "interfaces array<struct<offset:long,is_section:boolean,linktype:int,unit:double>>"
+    "file_ordinal int, source_file string, length long, split long, start long, stop long, forced long, "
+    f"first long, next long, open boolean, packets long, interfaces array<struct<{_INTERFACE}>>, "
+    "gaps array<struct<begin:long,end:long>>"
 )
 
 
+def _walk(handle, row: dict, fmt: _Format) -> dict:
+    """One range: where its records begin and where the next one starts, gaps, packets, interfaces."""
+    length, stop = row["length"], row["stop"]
+    if row["forced"] is not None:
+        first = row["forced"]
+    elif row["start"] == 0:
+        first = fmt.start
+    else:
+        first = _first_record(handle, row["start"], stop, length, fmt)
+    if first is None:
+        return {}
+    at, after, packets, interfaces, gaps = first, first, 0, [], []
+    while at is not None and at < stop:
+        for begin, buf, pos, size, is_packet in _records(handle, at, stop, length, fmt):
+            after = begin + size
+            packets += is_packet
+            if fmt.pcapng:
+                kind = struct.unpack_from(fmt.order + "I", buf, pos)[0]
+                if kind in (NG_SECTION, NG_INTERFACE):
+                    section = kind == NG_SECTION
+                    link, unit = (-1, 1e6) if section else _interface(buf, pos, size, fmt.order)
+                    interfaces.append({"offset": begin, "is_section": section, "linktype": link, "unit": unit})
+        if after >= stop:
+            break
+        # a usual header whose record leaves the file was cut off there; anything else is damage
+        head = _record(handle.read_at(min(16, length - after), after), 0, fmt, guess=True)
+        cut_off = head is not None and after + head[0] > length
+        at = length if cut_off else _first_record(handle, after + 1, stop, length, fmt)
+        gaps.append({"begin": after, "end": at})
+        after = after if at is None else at
+    return {"first": first, "next": after, "open": at is None, "packets": packets,
+            "interfaces": interfaces, "gaps": gaps}
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nothing = {"first": None, "next": None, "open": None, "packets": 0, "interfaces": [], "gaps": []}
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            first, after, packets, interfaces = None, None, 0, []
             with _open(row["source_file"]) as handle:
                 fmt = _sniff(handle)
-                if fmt is not None:
-                    if row["forced"] is not None:
-                        first = row["forced"]
-                    elif row["start"] == 0:
-                        first = fmt.start
-                    else:
-                        first = _first_record(
-                            handle, row["start"], row["stop"], row["length"], fmt)
-                    if first is not None:
-                        after = first
-                        for at, buf, pos, size, is_packet in _records(
-                                handle, first, row["stop"], row["length"], fmt):
-                            after = at + size
-                            packets += is_packet
-                            if fmt.pcapng:
-                                kind = struct.unpack_from(fmt.order + "I", buf, pos)[0]
-                                if kind == NG_SECTION:
-                                    interfaces.append(
-                                        {"offset": at, "is_section": True, "linktype": -1,
-                                         "unit": 1e6})
-                                elif kind == NG_INTERFACE:
-                                    link, unit = _interface(buf, pos, size, fmt.order)
-                                    interfaces.append(
-                                        {"offset": at, "is_section": False, "linktype": link,
-                                         "unit": unit})
-            row.pop("forced")
-            out.append({**row, "first": first, "next": after, "packets": packets,
-                        "interfaces": interfaces})
+                out.append(row | nothing | (_walk(handle, row, fmt) if fmt is not None else {}))
         yield pa.RecordBatch.from_pylist(out, schema=_LOCATED_ARROW)
 
 
 _ENTRY = pa.struct([("offset", pa.int64()), ("is_section", pa.bool_()), ("linktype", pa.int32()),
                     ("unit", pa.float64())])
+_GAP = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 _LOCATED_ARROW = pa.schema([
     ("file_ordinal", pa.int32()), ("source_file", pa.string()), ("length", pa.int64()),
-    ("split", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("first", pa.int64()),
-    ("next", pa.int64()), ("packets", pa.int64()), ("interfaces", pa.list_(_ENTRY)),
+    ("split", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("forced", pa.int64()),
+    ("first", pa.int64()), ("next", pa.int64()), ("open", pa.bool_()), ("packets", pa.int64()),
+    ("interfaces", pa.list_(_ENTRY)), ("gaps", pa.list_(_GAP)),
 ])
 
 
@@ -265,7 +305,7 @@ def _spread(df: DataFrame, rows: int, split_bytes: int) -> DataFrame:
 
 
 def _linked_ranges(files: DataFrame, split_bytes: int) -> DataFrame:
-    """Byte ranges whose records are linked to those before them; ``dead`` ones follow a break."""
+    """Byte ranges whose records are linked to those before them, or behind a gap to their own search."""
     ranges = files.where(F.col("length") > 0).select(
         "file_ordinal", "source_file", "length",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / split_bytes)))
@@ -282,29 +322,31 @@ def _linked_ranges(files: DataFrame, split_bytes: int) -> DataFrame:
     )
     by_file = Window.partitionBy("file_ordinal").orderBy("split")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("first").isNotNull(), F.struct("next", "open"))
     while True:
-        # a walk that ends inside its range met bytes that are no record: the file ends there
-        halted = F.col("next") < F.col("stop")
-        linked = found.withColumn(
-            "expected", F.coalesce(F.max("next").over(before), "first")
-        ).withColumn("dead", F.coalesce(F.max(halted).over(before), F.lit(False)))
+        # ranges without a record of their own hand on what stands before them
+        linked = found.withColumn("_before", F.last(known, True).over(before)).withColumn(
+            "expected", F.col("_before.next")).withColumn("after_gap", F.coalesce("_before.open", F.lit(False)))
+        linked = linked.drop("_before")
+        follows = F.col("expected").isNotNull() & ~F.col("after_gap")
         # a range wholly inside one long record starts nothing itself
-        wrong = linked.where(~F.col("dead") & (
-            (F.col("expected") < F.col("stop")) & ~F.col("first").eqNullSafe(F.col("expected"))
-            | (F.col("expected") >= F.col("stop")) & (F.col("packets") > 0)
-        ))
+        wrong = linked.where(
+            follows & (F.col("expected") < F.col("stop")) & ~F.col("first").eqNullSafe(F.col("expected"))
+            | follows & (F.col("expected") >= F.col("stop")) & F.col("first").isNotNull()
+            & (F.col("first") != F.col("expected"))
+            | F.col("after_gap") & F.col("forced").isNotNull()
+        )
         # a range after a wrong one cannot be judged yet; all others are walked again together
         near = F.lag("split").over(by_file) == F.col("split") - 1
         todo = materialise(
             wrong.withColumn("behind", F.coalesce(near, F.lit(False))).where(~F.col("behind"))
-            .select(*columns[:-1], "expected"),
+            .select(*columns[:-1], F.when(~F.col("after_gap"), F.col("expected")).alias("forced")),
             "capture-todo",
         )
         count = todo.count()
         if count == 0:
             break
-        redo = todo.withColumnRenamed("expected", "forced")
-        fixed = _spread(redo, count, split_bytes).mapInArrow(_locate, LOCATED)
+        fixed = _spread(todo, count, split_bytes).mapInArrow(_locate, LOCATED)
         kept = found.join(todo.select("file_ordinal", "split"), ["file_ordinal", "split"],
                           "left_anti")
         found = materialise(kept.select(*fixed.columns).unionByName(fixed), "capture-ranges")
@@ -312,15 +354,23 @@ def _linked_ranges(files: DataFrame, split_bytes: int) -> DataFrame:
 
 
 def locate_ranges(linked: DataFrame) -> DataFrame:
-    """Verified byte ranges of every file with the packet index each one starts at."""
+    """Verified byte ranges of every file with the packet index each one starts at and the interfaces
+    of the section it begins in."""
     before = Window.partitionBy("file_ordinal").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    found = linked.where(~F.col("dead")).drop("expected", "dead")
-    index = F.coalesce(F.sum("packets").over(before), F.lit(0))
-    per_file = found.groupBy("file_ordinal").agg(
-        F.array_sort(F.flatten(F.collect_list("interfaces"))).alias("all_interfaces")
-    )
-    return found.withColumn("first_index", index).drop("interfaces").join(
-        per_file, "file_ordinal").where(F.col("packets") > 0)
+    sections = F.transform(F.filter("interfaces", lambda e: e.is_section), lambda e: e.offset)
+    placed = linked.withColumn("first_index", F.coalesce(F.sum("packets").over(before), F.lit(0))).withColumn(
+        "_own_section", F.array_max(sections)
+    ).withColumn("section", F.last("_own_section", True).over(before))
+    # blocks of a section that stand in earlier ranges; a range finds its own by itself
+    entries = linked.select("file_ordinal", F.explode("interfaces").alias("entry"))
+    in_file = Window.partitionBy("file_ordinal").orderBy("entry.offset")
+    section_of = F.last(F.when(F.col("entry.is_section"), F.col("entry.offset")), True).over(in_file)
+    entries = entries.withColumn("section", section_of).where(~F.col("entry.is_section"))
+    wanted = placed.where((F.col("packets") > 0) & F.col("first").isNotNull())
+    known = wanted.select("file_ordinal", "split", "section", "first").join(entries, ["file_ordinal", "section"]).where(
+        F.col("entry.offset") < F.col("first")
+    ).groupBy("file_ordinal", "split").agg(F.array_sort(F.collect_list("entry")).alias("known"))
+    return wanted.join(known, ["file_ordinal", "split"], "left").drop("_own_section", "section", "interfaces")
 
 
 RAW_SCHEMA = (
@@ -351,59 +401,78 @@ def _ng_packet(buf: bytes, pos: int, fmt: _Format, links: list[tuple[int, float]
     return ticks / unit, original, link, buf[pos + 28:pos + 28 + stored]
 
 
-def _read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*rows), _RAW_ARROW)], schema=_RAW_ARROW)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(zip(*rows), _RAW_ARROW)], schema=_RAW_ARROW)
+
+
+def frames_between(
+    handle, name: str, ordinal: int, index: int, first: int, stop: int, length: int, fmt: _Format,
+    links: list[tuple[int, float]],
+) -> Iterator[tuple]:
+    """Rows of ``RAW_SCHEMA`` for the linked records in ``[first, stop)``; ``links`` follows their blocks."""
+    for _at, buf, pos, size, is_packet in _records(handle, first, stop, length, fmt):
+        if fmt.pcapng:
+            kind = struct.unpack_from(fmt.order + "I", buf, pos)[0]
+            if kind == NG_SECTION:  # interfaces are numbered anew in every section
+                links.clear()
+            elif kind == NG_INTERFACE:
+                links.append(_interface(buf, pos, size, fmt.order))
+            if not is_packet:
+                continue
+            stamp, original, link, frame = _ng_packet(buf, pos, fmt, links)
+        else:
+            sec, sub, _stored, original = struct.unpack_from(fmt.order + "IIII", buf, pos)
+            stamp, link = sec + sub / fmt.unit, fmt.linktype
+            frame = buf[pos + 16:pos + size]
+        yield ordinal, name, index, stamp, min(original, 0x7FFFFFFF), link, frame
+        index += 1
+
 
+def _read_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             rows: list[tuple] = []
-            ordinal, name, index = row["file_ordinal"], row["source_file"], row["first_index"]
-            pending = list(row["all_interfaces"] or [])
-            links: list[tuple[int, float]] = []
-            with _open(name) as handle:
+            index = row["first_index"]
+            links = [(e["linktype"], e["unit"]) for e in row["known"] or []]
+            at, ends = row["first"], [*row["gaps"], {"begin": row["stop"], "end": None}]
+            with _open(row["source_file"]) as handle:
                 fmt = _sniff(handle)
-                for at, buf, pos, size, is_packet in _records(
-                        handle, row["first"], row["stop"], row["length"], fmt):
-                    if not is_packet:
-                        continue
-                    if fmt.pcapng:
-                        # interfaces are numbered anew in every section
-                        while pending and pending[0]["offset"] < at:
-                            entry = pending.pop(0)
-                            if entry["is_section"]:
-                                links = []
-                            else:
-                                links.append((entry["linktype"], entry["unit"]))
-                        stamp, original, link, frame = _ng_packet(buf, pos, fmt, links)
-                    else:
-                        sec, sub, _stored, original = struct.unpack_from(
-                            fmt.order + "IIII", buf, pos)
-                        stamp, link = sec + sub / fmt.unit, fmt.linktype
-                        frame = buf[pos + 16:pos + size]
-                    rows.append((ordinal, name, index, stamp, original, link, frame))
-                    index += 1
-                    if len(rows) == BATCH:
-                        yield emit(rows)
-                        rows = []
+                for gap in ends:
+                    if at is None:
+                        break
+                    for found in frames_between(handle, row["source_file"], row["file_ordinal"], index, at,
+                                                gap["begin"], row["length"], fmt, links):
+                        rows.append(found)
+                        index += 1
+                        if len(rows) == BATCH:
+                            yield _batch(rows)
+                            rows = []
+                    at = gap["end"]
             if rows:
-                yield emit(rows)
+                yield _batch(rows)
 
 
 def _faults(linked: DataFrame) -> DataFrame:
-    alien = F.col("first").isNull() & (F.col("split") == 0)
-    broken = ~F.col("dead") & (F.col("next") < F.col("stop"))
-    return linked.where(alien | broken).select(
-        "file_ordinal", "source_file", F.coalesce("next", F.lit(0).cast("long")).alias("offset"),
-        F.when(alien, "not a capture").otherwise("record damaged or cut off").alias("reason"),
+    """Alien files and gaps; a gap that its range left open ends where a later range found a record."""
+    later = Window.partitionBy("file_ordinal").orderBy("split").rowsBetween(1, Window.unboundedFollowing)
+    linked = linked.withColumn("_found", F.first("first", True).over(later))
+    alien = linked.where(F.col("first").isNull() & (F.col("split") == 0)).select(
+        "file_ordinal", "source_file", F.lit(0).cast("long").alias("offset"), F.col("length").alias("skipped"),
+        F.lit("not a capture").alias("reason"),
+    )
+    end = F.coalesce("gap.end", "_found", "length")
+    gaps = linked.select("file_ordinal", "source_file", "length", "_found", F.explode("gaps").alias("gap")).select(
+        "file_ordinal", "source_file", F.col("gap.begin").alias("offset"), (end - F.col("gap.begin")).alias("skipped"),
+        F.when(end < F.col("length"), "damaged record").otherwise("damaged or cut off to the end").alias("reason"),
     )
+    return alien.unionByName(gaps)
 
 
 def capture_faults(
     spark: SparkSession, paths: Sequence[str], split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """Where the record chain of a file ends before the file: one row per such file, nothing behind it is read."""
+    """Bytes that are no records: ``offset``, how many were ``skipped`` until the next record, and why."""
     return _faults(_linked_ranges(discover(spark, paths), split_bytes))
 
 
@@ -413,7 +482,7 @@ def read_frames(
     """Raw frames of every capture; the packet index restarts at 0 in each file.
 
     A file that is no capture is an error unless ``strict`` is off; ``capture_faults`` lists it then, and
-    the places where a damaged or cut off record ends a file.
+    the damaged records that were stepped over.
     """
     linked = materialise(_linked_ranges(discover(spark, paths), split_bytes), "capture-chain")
     if strict:
@@ -422,7 +491,7 @@ def read_frames(
             raise ValueError("not a capture: " + ", ".join(r["source_file"] for r in alien))
     ranges = materialise(locate_ranges(linked), "capture-index")
     wanted = ranges.select("file_ordinal", "source_file", "length", "split", "first", "stop",
-                           "first_index", "all_interfaces")
+                           "first_index", "known", "gaps")
     return _spread(wanted, ranges.count(), split_bytes).mapInArrow(_read_frames, RAW_SCHEMA)
 
 

@@ -168,22 +168,50 @@ def test_odd_records_lose_nothing(spark, folder):
         assert capture.capture_faults(spark, [folder], size).count() == 0
 
 
-def test_faults_are_reported(spark, folder):
-    packets = [beacon(i) for i in range(10)]
+def test_records_behind_damage_are_read(spark, folder):
+    """Damaged lengths, foreign bytes of any size and a cut end: all other records come out, the rest is listed."""
+    packets = [beacon(i, 40 + i % 30) for i in range(120)]
     write_pcapng(f"{folder}/bad.pcapng", packets)
     raw = bytearray(open(f"{folder}/bad.pcapng", "rb").read())
     at = 0
     for _ in range(6):
         at += struct.unpack_from("<I", raw, at + 4)[0]
+    lost = struct.unpack_from("<I", raw, at + 4)[0]
     raw[at + 4 : at + 8] = struct.pack("<I", 13)
     open(f"{folder}/bad.pcapng", "wb").write(raw)
+    write_pcap(f"{folder}/holes.pcap", packets)
+    raw = open(f"{folder}/holes.pcap", "rb").read()
+    starts = [24]
+    for p in packets:
+        starts.append(starts[-1] + 16 + len(p))
+    junk = b"\xff" * 3001
+    broken = bytearray(raw)
+    broken[starts[60] + 8 : starts[60] + 12] = b"\xff\xff\xff\x7f"  # one length
+    holes = bytes(broken[: starts[30]]) + junk + bytes(broken[starts[30] :])
+    open(f"{folder}/holes.pcap", "wb").write(holes[:-9])
     open(f"{folder}/text.pcap", "wb").write(b"no capture at all, just some text in it")
-    for size in (150, 1 << 20):
-        found = {r["source_file"].rsplit("/", 1)[1]: (r["offset"], r["reason"]) for r in capture.capture_faults(spark, [folder], size).collect()}
-        assert found == {"bad.pcapng": (at, "record damaged or cut off"), "text.pcap": (0, "not a capture")}
+    want = {
+        ("bad.pcapng", at, lost, "damaged record"),
+        ("holes.pcap", starts[30], len(junk), "damaged record"),
+        ("holes.pcap", starts[60] + len(junk), 16 + len(packets[60]), "damaged record"),
+        ("holes.pcap", starts[119] + len(junk), 16 + len(packets[119]) - 9, "damaged or cut off to the end"),
+        ("text.pcap", 0, 39, "not a capture"),
+    }
+    for size in (97, 150, 1000, 1 << 20):
+        found = capture.capture_faults(spark, [folder], size).collect()
+        assert {(r["source_file"].rsplit("/", 1)[1], r["offset"], r["skipped"], r["reason"]) for r in found} == want and len(found) == 5
+        rows = capture.read_frames(spark, [folder], size, strict=False).orderBy("file_ordinal", "packet_index").collect()
+        by_file = {}
+        for r in rows:
+            by_file.setdefault(r["source_file"].rsplit("/", 1)[1], []).append(r)
+        kept = packets[:60] + packets[61:119]
+        assert [bytes(r["frame"]) for r in by_file["holes.pcap"]] == kept
+        assert [r["packet_index"] for r in by_file["holes.pcap"]] == list(range(len(kept)))
+        ng = packets[0::2] + packets[1::2]
+        assert [bytes(r["frame"]) for r in by_file["bad.pcapng"]] == ng[:3] + ng[4:]
+        assert {r["linktype"] for r in rows} == {127}
     with pytest.raises(ValueError, match="text.pcap"):
         capture.read_frames(spark, [folder])
-    assert capture.read_frames(spark, [folder], strict=False).count() > 0
 
 
 def test_order_needs_file_ordinal(spark):
