@@ -23,9 +23,10 @@ from ethersense.operators.labels import LabelSettings
 from ethersense.operators.position import add_position
 from ethersense.plans import jobs
 from ethersense.schemas import FEATURES, PREDICTIONS, RECORDS
-from ethersense.session import work_path
-from ethersense.sources import capture, datasets, frames
+from ethersense.session import materialise, work_path
+from ethersense.sources import capture, datasets, frames, live
 from ethersense.streaming import presence as stream
+from ethersense.streaming import windows as flushing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -956,13 +957,56 @@ SELECT (packet_index // 4000)::INT AS file_ordinal, packet_index % 4000 AS packe
        round(coalesce(timestamp, 0), 6) AS timestamp, coalesce(hour, 0) AS hour,
        {', '.join(CAPTURED)} FROM decoded""")
 def _(spark, sf):
-    folder = demo.write_captures(spark, sf)
-    records = capture.ingest(spark, [folder], split_bytes=1 << 16)
+    from fixtures.captures import write_captures
+
+    records = capture.ingest(spark, [write_captures(spark, sf)], split_bytes=1 << 16)
     return records.select(
         "file_ordinal", "packet_index", F.round("timestamp", 6).alias("timestamp"), "hour",
         *CAPTURED)
 
 
+@query("stream_captures", DEC + f"""
+SELECT (packet_index // 4000)::INT AS file_ordinal, packet_index % 4000 AS packet_index,
+       round(coalesce(timestamp, 0), 6) AS timestamp, coalesce(hour, 0) AS hour,
+       {', '.join(CAPTURED)} FROM decoded""")
+def _(spark, sf):
+    """Captures that grow while a stream follows them; the first look ends inside a record."""
+    from fixtures.captures import grow, write_captures
+
+    whole, growing, folder = write_captures(spark, sf), work_path(spark, "growing"), work_path(spark, "followed")
+    for share in (0.37, 1.0):
+        grow(whole, growing, share)
+        raw = live.capture_stream(spark, growing, f"{folder}/cursors", split_bytes=1 << 18)
+        frames.decode(raw).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(
+            availableNow=True).start(f"{folder}/records").awaitTermination()
+    return spark.read.parquet(f"{folder}/records").select(
+        "file_ordinal", "packet_index", F.round("timestamp", 6).alias("timestamp"), "hour", *CAPTURED)
+
+
+@query("capture_faults", DEC + """,
+sizes AS (SELECT packet_index, packet_index // 4000 AS file_no, CASE WHEN packet_index // 4000 % 2 = 0 THEN 16 + packet_len
+            ELSE 32 + (packet_len + 3) // 4 * 4 END AS size FROM decoded),
+placed AS (SELECT *, CASE WHEN file_no % 2 = 0 THEN 24 ELSE 48 END + sum(size) OVER (
+             PARTITION BY file_no ORDER BY packet_index) - size AS start FROM sizes)
+SELECT 'fault' AS kind, file_no::INT AS file_ordinal, start::BIGINT AS position, size::BIGINT AS amount, 'damaged record' AS reason
+FROM placed WHERE packet_index % 4000 = 17
+UNION ALL SELECT 'records', file_no, min(i), count(*), NULL FROM (
+  SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY packet_index) - 1 AS i FROM placed WHERE packet_index % 4000 <> 17)
+GROUP BY file_no""")
+def _(spark, sf):
+    """One damaged record in every file: what was skipped, and how many records came out around it."""
+    from fixtures.captures import write_captures
+
+    folder = write_captures(spark, sf, damaged=True)
+    faults = capture.capture_faults(spark, [folder], split_bytes=1 << 16)
+    found = capture.read_frames(spark, [folder], split_bytes=1 << 16).groupBy("file_ordinal").agg(
+        F.min("packet_index").alias("position"), F.count(F.lit(1)).alias("amount"))
+    return faults.select(
+        F.lit("fault").alias("kind"), "file_ordinal", F.col("offset").alias("position"), F.col("skipped").alias("amount"), "reason",
+    ).unionByName(found.select(
+        F.lit("records").alias("kind"), "file_ordinal", "position", "amount", F.lit(None).cast("string").alias("reason")))
+
+
 FEATURE_NAMES = [f.name for f in FEATURES.fields]
 
 
@@ -1087,6 +1131,28 @@ RULE_LEAF = """CASE WHEN coalesce(ssi, -1) <= -60 THEN 1
      WHEN coalesce(data_size, -1) > 50 THEN 4 WHEN frame_type = 2 THEN 5 ELSE 6 END"""
 
 
+RULE_PREDS = f"""
+leafed AS (SELECT *, {RULE_LEAF} AS leaf FROM feats),
+p AS (SELECT *, CASE leaf WHEN 1 THEN 0.25::DOUBLE WHEN 4 THEN 0.75 WHEN 5 THEN 1.0 ELSE 0.5 END
+        AS pt FROM leafed),
+rule_preds AS (
+  SELECT timestamp, packet_index, 'unknown' AS label_mode,
+         CASE WHEN pt > 0.5 THEN 'target' ELSE 'other' END AS predicted_class, greatest(pt, 1 - pt) AS confidence,
+         NULL::VARCHAR AS ground_truth, source_mac, destination_mac,
+         '{{"data_rate":' || coalesce(data_rate, -1.0)::DOUBLE || ',"data_size":'
+         || coalesce(data_size, -1)::DOUBLE || ',"frame_subtype":"' ||
+         coalesce(frame_subtype::VARCHAR, 'missing') || '","frame_type":"' ||
+         coalesce(frame_type::VARCHAR, 'missing') || '","hour":' || coalesce(hour, -1)::DOUBLE ||
+         ',"ssi":' || coalesce(ssi, -1.0)::DOUBLE || '}}' AS features_json,
+         '{{"other":' || (1 - pt) || ',"target":' || pt || '}}' AS probabilities_json, pt,
+         row_number() OVER (ORDER BY packet_index) - 1 AS pos
+  FROM p)"""
+PREDICTION_LIST = ", ".join(f.name for f in PREDICTIONS.fields)
+RULE_TARGETS = """,
+target_rows AS (SELECT pos, timestamp, 'target' AS target_id, pt AS prob, pt > 0.5 AS hit, false AS truth FROM preds)"""
+RULE_ALL = FEAT + "," + RULE_PREDS
+
+
 @query("score_rule_model", LABEL_BIN + f""",
 leafed AS (SELECT *, {RULE_LEAF} AS leaf FROM labelled),
 p AS (SELECT *, CASE leaf WHEN 1 THEN 0.25::DOUBLE WHEN 4 THEN 0.75 WHEN 5 THEN 1.0 ELSE 0.5 END
@@ -1165,18 +1231,57 @@ def _(spark, sf):
     return trees.node_table(spark, trees.load_model(spark, path))
 
 
-@query("classify_frames")
+@query("classify_frames", RULE_ALL + f" SELECT {PREDICTION_LIST} FROM rule_preds")
 def _(spark, sf):
-    model, _rows = _small_model(spark, sf)
-    return trees.classify(demo.features(spark, sf), model).select(
+    return trees.classify(demo.features(spark, sf), _rule_model()).select(
         *[f.name for f in PREDICTIONS.fields])
 
 
-@query("classify_dataset")
+@query("classify_dataset", RULE_ALL + f" SELECT {PREDICTION_LIST} FROM rule_preds")
 def _(spark, sf):
-    model, _rows = _small_model(spark, sf)
+    """The model is stored and loaded, the dataset and its predictions too."""
+    path = work_path(spark, "model")
+    trees.save_model(spark, _rule_model(), path)
     source = _stored_features(spark, sf, "parquet")
-    return jobs.classify_dataset(spark, source, work_path(spark, "predictions") + ".parquet", model)
+    return jobs.classify_dataset(
+        spark, source, work_path(spark, "predictions") + ".parquet", trees.load_model(spark, path)
+    ).select(*[f.name for f in PREDICTIONS.fields])
+
+
+def _in_three_files(rows: DataFrame) -> DataFrame:
+    """Rows of one file dealt to three, each with packet indexes of its own."""
+    size = rows.agg(F.max("packet_index")).first()[0] // 3 + 1
+    number = F.floor(F.col("packet_index") / size).cast("int")
+    return rows.drop("frame_pos").withColumn("file_ordinal", number).withColumn(
+        "source_file", F.concat(F.lit("part-"), number.cast("string"))
+    ).withColumn("packet_index", F.col("packet_index") % size)
+
+
+@query("presence_stored_dataset", RULE_ALL + ", preds AS (SELECT * FROM rule_preds)" + RULE_TARGETS + ROLLING + f"""
+SELECT {PRESENCE_SQL} FROM rolling""")
+def _(spark, sf):
+    """Three capture files, stored as features, classified into stored predictions, then windows in file order."""
+    source = work_path(spark, "features") + ".jsonl"
+    rows = _in_three_files(demo.features(spark, sf)).select(*FEATURE_NAMES, "file_ordinal")
+    datasets.write_dataset(rows, source, FEATURES)
+    preds = jobs.classify_dataset(spark, source, work_path(spark, "predictions") + ".parquet", _rule_model())
+    return _presence(preds, ["target"]).select(*PRESENCE)
+
+
+@query("presence_replay_features", RULE_ALL + ", preds AS (SELECT * FROM rule_preds)" + RULE_TARGETS + ROLLING + REPLAY + f"""
+SELECT r.{PRESENCE_SQL.replace(', ', ', r.')}, r.window_seq, r.final_window, c.window_seq IS NOT NULL AS is_change
+FROM replay r LEFT JOIN changes c ON c.target_id = r.target_id AND c.window_type = r.window_type AND c.window_seq = r.window_seq""")
+def _(spark, sf):
+    """Stored features, scored and replayed in file order, with the changes of state."""
+    source = work_path(spark, "features") + ".parquet"
+    rows = _in_three_files(demo.features(spark, sf)).select(*FEATURE_NAMES, "file_ordinal")
+    datasets.write_dataset(rows, source, FEATURES)
+    preds = trees.classify(datasets.read_dataset(spark, source), _rule_model())
+    events = materialise(win.replay_windows(preds, ["target"], demo.WINDOWS), "replayed")
+    keys = ["target_id", "window_type", "window_seq"]
+    changes = win.state_changes(events, stored=True).select(*keys, F.lit(True).alias("is_change"))
+    return events.join(changes, keys, "left").select(
+        *PRESENCE, "window_seq", "final_window", F.coalesce("is_change", F.lit(False)).alias("is_change"))
 
 
 @query("eval_holdout")
@@ -1247,6 +1352,18 @@ def _landed(spark, sf, preds, consume) -> None:
         consume(stream.landing_stream(spark, landing, preds.schema))
 
 
+def _landed_until_end(spark, sf, preds, consume) -> None:
+    """As ``_landed``, with an end marker behind the last row."""
+    landing = work_path(spark, "landing")
+    schema = T.StructType([*preds.schema.fields, T.StructField(flushing.END_OF_STREAM, T.BooleanType())])
+    size = preds.agg(F.max("packet_index")).first()[0] + 1
+    for low, high in ((0, size * 2 // 5), (size * 2 // 5, size)):
+        preds.where(F.col("packet_index").between(low, high - 1)).write.mode("append").parquet(landing)
+        consume(stream.landing_stream(spark, landing, schema))
+    flushing.mark_end(spark, landing)
+    consume(stream.landing_stream(spark, landing, schema))
+
+
 def _replayed(spark, sf, targets, preds):
     engine = stream.ReplayEngine(spark, targets, demo.WINDOWS, work_path(spark, "replay-state"))
     _landed(spark, sf, preds, engine.run)
@@ -1285,18 +1402,56 @@ def _(spark, sf):
 
 
 @query("stream_time_windows", BIN + ROLLING + f"""
-SELECT {PRESENCE_SQL} FROM rolling WHERE window_type = 'time'
-  AND window_end <= (SELECT max(timestamp) - 3600 FROM preds)""")
+SELECT {PRESENCE_SQL} FROM rolling WHERE window_type = 'time'""")
 def _(spark, sf):
-    sink = stream.WindowSink(spark, ["target"], demo.WINDOWS, "3600 seconds",
-                             work_path(spark, "time-windows"))
-    _landed(spark, sf, demo.binary_predictions(spark, sf), sink.run)
+    """Windows that the watermark closes, and at the end those that are still open."""
+    sink = flushing.WindowSink(spark, ["target"], demo.WINDOWS, "3600 seconds",
+                               work_path(spark, "time-windows"))
+    _landed_until_end(spark, sf, demo.binary_predictions(spark, sf), sink.run)
     return sink.windows().select(*PRESENCE)
 
 
-@query("stream_classify")
+@query("stream_window_changes", MULTI + ROLLING + """,
+ordered AS (SELECT target_id, window_type, window_seq, state,
+                   lag(state) OVER (PARTITION BY target_id ORDER BY window_seq) AS before FROM rolling WHERE window_type = 'time')
+SELECT target_id, window_type, window_seq, state FROM ordered WHERE state IS DISTINCT FROM before""")
 def _(spark, sf):
-    model = _rule_model()
-    sink = stream.ClassifySink(spark, model, work_path(spark, "live"))
+    """Windows and their changes as two stateful steps of one query."""
+    sink = flushing.WindowSink(spark, TARGETS, demo.WINDOWS, "3600 seconds", work_path(spark, "changes"), changes=True)
+    _landed_until_end(spark, sf, demo.multi_predictions(spark, sf), sink.run)
+    return sink.windows().select("target_id", "window_type", "window_seq", "state")
+
+
+@query("stream_classify", RULE_ALL + f" SELECT {PREDICTION_LIST} FROM rule_preds")
+def _(spark, sf):
+    sink = stream.ClassifySink(spark, _rule_model(), work_path(spark, "live"))
     _landed(spark, sf, demo.features(spark, sf), sink.run)
-    return sink.predictions()
+    return sink.predictions().select(*[f.name for f in PREDICTIONS.fields])
+
+
+LIVE = RULE_ALL + """, preds AS (
+  SELECT * FROM rule_preds WHERE pos < (SELECT (max(packet_index) + 1) * 3 // 5 FROM feats))""" + RULE_TARGETS + ROLLING + REPLAY
+
+
+@query("presence_live", LIVE + f"""
+SELECT 'event' AS kind, {PRESENCE_SQL}, window_seq, final_window FROM replay
+UNION ALL SELECT 'change', NULL, NULL, target_id, NULL, NULL, NULL, NULL, state, window_type, window_seq, NULL FROM changes
+UNION ALL SELECT 'prediction', timestamp, NULL, predicted_class, pos, confidence, NULL, NULL, NULL, NULL, NULL, NULL FROM preds""")
+def _(spark, sf):
+    """Landed feature rows, scored, windowed and watched for changes in one stream, up to a number of packets."""
+    rows = demo.features(spark, sf)
+    most = (rows.agg(F.max("packet_index")).first()[0] + 1) * 3 // 5
+    engine = stream.LiveEngine(
+        spark, _rule_model(), ["target"], demo.WINDOWS, work_path(spark, "live-state"), max_packets=most)
+    _landed(spark, sf, rows, engine.run)
+    engine.finish()
+
+    def told(kind, rows):
+        return rows.withColumn("kind", F.lit(kind))
+
+    preds = engine.predictions().select(
+        F.col("timestamp").alias("window_start"), F.col("predicted_class").alias("target_id"),
+        F.col("packet_index").alias("frame_count"), F.col("confidence").alias("mean_probability"))
+    changes = engine.changes().select("target_id", "window_type", "window_seq", "state")
+    events = told("event", engine.events().select(*PRESENCE, "window_seq", "final_window"))
+    return events.unionByName(told("change", changes), True).unionByName(told("prediction", preds), True)

@@ -127,19 +127,28 @@ def add_position(
     partition: Sequence[str] = (),
     name: str = "frame_pos",
     below: int | None = None,
+    one_value: str | None = None,
 ) -> DataFrame:
     """Number rows 0..n-1 in ``order`` (per ``partition``), which must be unique.
 
+    Rows that differ in the column ``one_value`` are an error.
+
     Two passes: one counts per bucket (map-side combined, only the order and filter columns are
     read) and stores that small table, one numbers. The offsets join on the bucket, the same key
     the numbering window is partitioned by, so the rows are exchanged once.
     """
     source = df.withColumn("_bucket", packet_bucket() if bucket is None else bucket)
+    ends = [] if one_value is None else [F.min(one_value).alias("_low"), F.max(one_value).alias("_high")]
     counts = materialise(
         source.groupBy(*partition, F.col("_bucket").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n")),
+        .agg(F.count(F.lit(1)).alias("n"), *ends),
         "bucket-counts",
     )
+    if one_value is not None:
+        seen = counts.agg(F.min("_low").alias("low"), F.max("_high").alias("high")).first()
+        if seen["low"] != seen["high"]:
+            raise ValueError(f"rows with several values of {one_value} need file_ordinal or frame_pos to have an order")
+        counts = counts.drop("_low", "_high")
     offsets = prefix_buckets(counts, ["n"], partition=partition).select(
         *partition, F.col("bucket").alias("_bucket"), F.col("n_before").alias("_before")
     )
@@ -186,9 +195,8 @@ def ensure_position(df: DataFrame, name: str = "frame_pos", below: int | None =
         return df
     if "file_ordinal" in df.columns:
         return add_position(df, name=name, below=below)
-    if "source_file" in df.columns and df.select("source_file").distinct().limit(2).count() > 1:
-        raise ValueError("rows of several source files need file_ordinal or frame_pos to have an order")
-    numbered = add_position(df.withColumn("file_ordinal", F.lit(0)), name=name, below=below)
+    single = "source_file" if "source_file" in df.columns else None
+    numbered = add_position(df.withColumn("file_ordinal", F.lit(0)), name=name, below=below, one_value=single)
     return numbered.drop("file_ordinal")
 
 

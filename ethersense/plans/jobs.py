@@ -176,8 +176,9 @@ def classify_dataset(
     model: Model,
     features: FeatureSettings = FeatureSettings(),
 ) -> DataFrame:
-    """Read a stored dataset, classify it, write predictions by suffix and read them back."""
-    preds = classify(read_dataset(spark, source), model, features, keep=())
+    """Read a stored dataset, classify it, write predictions by suffix and read them back, in the order of
+    the dataset's files if it has one."""
+    preds = classify(read_dataset(spark, source), model, features, keep=("file_ordinal",))
     write_dataset(preds.drop("probabilities"), destination, PREDICTIONS)
     return read_dataset(spark, destination, PREDICTIONS)
 

@@ -1,4 +1,9 @@
-"""Dataset files: Parquet, JSON lines, CSV and ARFF, by suffix, with explicit schemas."""
+"""Dataset files: Parquet, JSON lines, CSV and ARFF, by suffix, with explicit schemas.
+
+File order is part of the data, but no stored layout has a column for it. Rows that carry ``file_ordinal`` are
+written into one folder per capture file (``file_ordinal=3/``), which every reader of partitioned data gives back as a
+column, and packet order does the rest; ``_files`` beside them names the files with their counts and first positions.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ethersense.operators.position import prefix_buckets
 from ethersense.schemas import assert_same_columns, conform
-from ethersense.session import local_frame
+from ethersense.session import local_frame, materialise
+
+ORDINAL = "file_ordinal"
+FILES = "file_ordinal int, source_file string, n_rows long, first_pos long"
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.BooleanType)
@@ -54,29 +63,58 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
         return spark.read.csv(path, header=True, inferSchema=True)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     cells = spark.read.schema(text).csv(path, header=True, enforceSchema=False)
+    ordinal = [c for c in cells.columns if c == ORDINAL and c not in schema.names]
     return cells.select(*[csv_value(F.col(f.name), f.dataType).alias(f.name)
-                          for f in schema.fields])
+                          for f in schema.fields], *ordinal)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The capture files of a dataset that was written with its file order."""
+    return spark.read.schema(FILES).parquet(f"{path}/_files")
+
+
+def file_table(df: DataFrame) -> DataFrame:
+    """``FILES`` of rows with ``file_ordinal``: one row per file."""
+    name = F.any_value("source_file", True) if "source_file" in df.columns else F.lit(None).cast("string")
+    counted = df.groupBy(ORDINAL).agg(name.alias("source_file"), F.count(F.lit(1)).alias("n_rows"))
+    counts = materialise(counted.withColumn("bucket", F.col(ORDINAL).cast("long")), "file-counts")
+    return prefix_buckets(counts, ["n_rows"]).select(
+        ORDINAL, "source_file", "n_rows", F.col("n_rows_before").alias("first_pos"))
 
 
 def write_dataset(
     df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "errorifexists"
 ) -> int:
-    """Write by suffix and return the row count, observed during the write itself."""
+    """Write by suffix and return the row count, observed during the write itself.
+
+    ``file_ordinal`` is kept as folders, whether the schema has it or not; an ARFF file has no place for it.
+    """
+    kind = suffix_of(path)
+    ordered = ORDINAL in df.columns and kind != "arff"
+    files = file_table(df) if ordered else None
     if schema is not None:
-        assert_same_columns(df, schema)
-        df = conform(df, schema)
+        rest = df.drop(ORDINAL) if ORDINAL not in schema.names else df
+        assert_same_columns(rest, schema)
+        beside = [] if rest is df or not ordered else [T.StructField(ORDINAL, T.IntegerType())]
+        df = conform(df, T.StructType([*schema.fields, *beside]))
     counted = Observation()
     out = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-    kind = suffix_of(path)
+    if kind == "arff":
+        write_arff(out, path, mode)
+        return counted.get["rows"]
+    if kind in ("jsonl", "json"):
+        out = out.select(*sorted(df.columns))
+    writer = out.write.mode(mode)
+    if ordered:
+        writer = writer.partitionBy(ORDINAL)
     if kind == "parquet":
-        out.write.mode(mode).parquet(path)
+        writer.parquet(path)
     elif kind in ("jsonl", "json"):
-        out.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(
-            path)
-    elif kind == "arff":
-        write_arff(out, path, mode)
+        writer.option("ignoreNullFields", "false").json(path)
     else:
-        out.write.mode(mode).csv(path, header=True)
+        writer.csv(path, header=True)
+    if files is not None:
+        files.coalesce(1).write.mode("overwrite").parquet(f"{path}/_files")
     return counted.get["rows"]
 
 

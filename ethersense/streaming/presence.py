@@ -17,14 +17,12 @@ from ethersense.operators.windows import (
     WindowSettings,
     frame_window_stats,
     merge_stats,
-    partial_stats,
-    per_target,
     replay_time_stats,
     state_changes,
     with_state,
 )
 from ethersense.schemas import PREDICTIONS
-from ethersense.session import local_frame, materialise
+from ethersense.session import discard, local_frame, materialise
 
 
 def landing_stream(
@@ -37,52 +35,6 @@ def landing_stream(
     return reader.parquet(path)
 
 
-# --- time windows in the state store -------------------------------------------------------------
-
-
-def time_windows(
-    preds: DataFrame, targets: Sequence[str], settings: WindowSettings, watermark: str
-) -> DataFrame:
-    """Tumbling windows that close when the watermark passes them.
-
-    The state is one running sum per open window and target; rows later than the watermark are
-    dropped, while the row-by-row replay would open a second window for them.
-    """
-    timed = preds.where(F.col("timestamp").isNotNull()).withColumn(
-        "event_time", F.timestamp_seconds("timestamp")
-    ).withWatermark("event_time", watermark)
-    rows = per_target(timed, targets, keep=["event_time"])
-    width = f"{int(settings.time_seconds * 1_000_000)} microseconds"
-    return rows.groupBy(F.window("event_time", width), "target_id").agg(*partial_stats()).select(
-        "target_id", F.lit(TIME).alias("window_type"),
-        (F.unix_micros("window.start") / F.lit(settings.time_seconds * 1e6)).cast("long")
-        .alias("window_seq"),
-        (F.unix_micros("window.start") / 1e6).alias("window_start"),
-        (F.unix_micros("window.end") / 1e6).alias("window_end"),
-        "n", "sum_p", "max_p", "hits", "truths",
-    )
-
-
-class WindowSink:
-    """Runs :func:`time_windows` into a Parquet table; exactly once through its checkpoint."""
-
-    def __init__(self, spark: SparkSession, targets: Sequence[str], settings: WindowSettings,
-                 watermark: str, folder: str) -> None:
-        self.spark, self.targets, self.settings = spark, list(targets), settings
-        self.watermark, self.folder = watermark, folder
-
-    def run(self, preds: DataFrame) -> None:
-        stats = time_windows(preds, self.targets, self.settings, self.watermark)
-        (
-            with_state(stats, self.settings).writeStream.outputMode("append").format("parquet")
-            .option("checkpointLocation", f"{self.folder}/checkpoint")
-            .trigger(availableNow=True).start(f"{self.folder}/windows").awaitTermination()
-        )
-
-    def windows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/windows")
-
-
 # --- classification --------------------------------------------------------------------------
 
 
@@ -98,10 +50,11 @@ class ClassifySink:
         self.features, self.label_mode = features, label_mode
 
     def run(self, rows: DataFrame) -> None:
-        preds = classify(rows, self.model, self.features, label_mode=self.label_mode, keep=())
+        preds = classify(rows, self.model, self.features, label_mode=self.label_mode, keep=("file_ordinal",))
+        kept = [c for c in preds.columns if c == "file_ordinal"]  # the order of files, as folders
         (
-            preds.select(*sorted(f.name for f in PREDICTIONS.fields))
-            .writeStream.outputMode("append").format("json")
+            preds.select(*sorted(f.name for f in PREDICTIONS.fields), *kept)
+            .writeStream.outputMode("append").format("json").partitionBy(*kept)
             .option("checkpointLocation", f"{self.folder}/checkpoint")
             .option("ignoreNullFields", "false")
             .trigger(availableNow=True).start(f"{self.folder}/predictions").awaitTermination()
@@ -156,15 +109,7 @@ class ReplayEngine:
     def process(self, batch: DataFrame, number: int) -> None:
         spark, s = self.spark, self.settings
         cursor, open_rows, last = self._state(number - 1)
-        numbered = add_position(batch if "file_ordinal" in batch.columns
-                                else batch.withColumn("file_ordinal", F.lit(0)))
-        counted = Observation()
-        placed = materialise(
-            numbered.withColumn("frame_pos", F.col("frame_pos") + F.lit(cursor["position"]))
-            .observe(counted, F.count(F.lit(1)).alias("rows")),
-            "batch",
-        )
-        count = counted.get["rows"]
+        placed, count = self._place(batch, number, cursor["position"])
         if count == 0:
             self._store(number, cursor, open_rows, last)
             return
@@ -173,7 +118,7 @@ class ReplayEngine:
             "target_id", "window_type", "window_seq", F.lit(None).cast("long").alias("tb"), *_STATS)
         local = replay_time_stats(placed, self.targets, s, self.block_bits).select(
             "target_id", "window_type", "window_seq",
-            (F.col("window_start") / s.time_seconds).cast("long").alias("tb"), *_STATS)
+            F.rint(F.col("window_start") / s.time_seconds).cast("long").alias("tb"), *_STATS)
         local = materialise(local, "batch-islands")
         # null when no row of the batch carries a time
         ends = local.agg(F.min_by("tb", "window_seq").alias("first_tb"),
@@ -196,12 +141,24 @@ class ReplayEngine:
         open_tb = next((r[3] for r in open_rows if r[1] == TIME), cursor["open_tb"])
         closed = self._shape(merged.where(~still_open), final=False)
         last = self._emit(closed, number, last)
+        discard(placed, local, merged)
         self._store(
             number,
             {"position": cursor["position"] + count, "open_tb": open_tb, "open_seq": open_seq},
             open_rows, last,
         )
 
+    def _place(self, batch: DataFrame, number: int, position: int) -> tuple[DataFrame, int]:
+        """The batch's predictions with their places in the stream, stored, and how many there are."""
+        numbered = add_position(_with_ordinal(batch))
+        counted = Observation()
+        placed = materialise(
+            numbered.withColumn("frame_pos", F.col("frame_pos") + F.lit(position))
+            .observe(counted, F.count(F.lit(1)).alias("rows")),
+            "batch",
+        )
+        return placed, counted.get["rows"]
+
     def finish(self) -> None:
         """Flush the open windows as final ones."""
         number = self._latest()
@@ -267,5 +224,44 @@ class ReplayEngine:
         return max(numbers, default=-1)
 
 
-__all__ = ["FRAME_COUNT", "ClassifySink", "ReplayEngine", "WindowSink", "landing_stream",
-           "time_windows"]
+def _with_ordinal(batch: DataFrame) -> DataFrame:
+    return batch if "file_ordinal" in batch.columns else batch.withColumn("file_ordinal", F.lit(0))
+
+
+class LiveEngine(ReplayEngine):
+    """Feature rows in; predictions, windows and state changes out, in one streaming query.
+
+    Rows are scored in arrival order and numbered through all batches; ``packet_index`` of a stored prediction is
+    that number. ``max_packets`` ends the work after so many rows: later ones are read and ignored.
+    """
+
+    def __init__(self, spark: SparkSession, model: Model, targets: Sequence[str], settings: WindowSettings,
+                 folder: str, *, features: FeatureSettings = FeatureSettings(), label_mode: str = "unknown",
+                 max_packets: int | None = None, block_bits: int = BLOCK_BITS) -> None:
+        super().__init__(spark, targets, settings, folder, block_bits)
+        if max_packets is not None and max_packets < 1:
+            raise ValueError("max_packets must be greater than 0")
+        self.model, self.features, self.label_mode, self.max_packets = model, features, label_mode, max_packets
+
+    def _place(self, batch: DataFrame, number: int, position: int) -> tuple[DataFrame, int]:
+        left = None if self.max_packets is None else self.max_packets - position
+        if left == 0:
+            return batch, 0
+        numbered = add_position(_with_ordinal(batch), below=left)
+        if left is not None:
+            numbered = numbered.where(F.col("frame_pos") < left)
+        rows = numbered.withColumn("packet_index", F.col("frame_pos") + F.lit(position))
+        preds = classify(rows, self.model, self.features, label_mode=self.label_mode, keep=())
+        path = f"{self.folder}/predictions/batch={number}"
+        counted = Observation()
+        preds.select(*sorted(f.name for f in PREDICTIONS.fields)).observe(
+            counted, F.count(F.lit(1)).alias("rows")
+        ).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        stored = self.spark.read.schema(PREDICTIONS).json(path)
+        return stored.withColumn("frame_pos", F.col("packet_index")), counted.get["rows"]
+
+    def predictions(self) -> DataFrame:
+        return self.spark.read.schema(PREDICTIONS).json(f"{self.folder}/predictions/*")
+
+
+__all__ = ["FRAME_COUNT", "ClassifySink", "LiveEngine", "ReplayEngine", "landing_stream"]
