@@ -72,11 +72,12 @@ def resolve_targets(
     configured: list[str] | None = None,
     configured_all: bool = False,
     limit: int = 10_000,
-) -> list[str]:
+) -> list[str] | DataFrame:
     """Which classes get presence windows.
 
     Explicit names win, then the all/single switch, then the configured list, then the configured
-    all, then the default of the label mode.
+    all, then the default of the label mode. More than ``limit`` enabled targets stay a table of
+    ``target_id``, which the windows take as well.
     """
     named = list(dict.fromkeys(str(t) for t in (explicit or []) if str(t)))
     if named:
@@ -98,7 +99,7 @@ def resolve_targets(
     if not rows:
         raise ValueError("the target registry has no enabled targets")
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} targets; pass them in explicit groups")
+        return enabled_targets(registry)
     return [r[0] for r in rows]
 
 

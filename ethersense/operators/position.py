@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethersense.session import local_frame, materialise
+from ethersense.session import bounded, local_frame, materialise
 
 BLOCK_BITS = 14
 FILE_SHIFT = 40
@@ -182,6 +182,56 @@ def add_hash_position(
     ).drop("_digest")
 
 
+def flag_first(
+    df: DataFrame,
+    wanted: DataFrame,
+    bucket: Column,
+    order: Sequence[str],
+    *,
+    partition: Sequence[str] = (),
+    name: str = "is_first",
+) -> DataFrame:
+    """Add ``name``: whether a row is among the first ``wanted`` ones of its partition in ``order``.
+
+    ``wanted`` has one row per partition value with the count ``wanted``; rows without one get false. The counts per
+    bucket tell in which bucket the cut falls; only the rows of that bucket are ranked, to find the last row that is
+    taken, and all others are judged where they are. The data is read three times and never exchanged.
+    """
+    keys = [*partition]
+    source = df.withColumn("_bucket", bucket)
+    counts = materialise(
+        source.groupBy(*keys, F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    limits = _joined(total, wanted, keys)
+    reached = F.col("n_before") + F.col("n")
+    cuts = _joined(prefix_buckets(counts, ["n"], partition=keys), limits, keys).where(
+        (F.col("wanted") > 0) & (F.col("n_before") < F.col("wanted")) & (reached >= F.col("wanted"))
+    ).select(*keys, F.col("bucket").alias("_bucket"), (F.col("wanted") - F.col("n_before")).alias("_need"))
+    cuts = bounded(materialise(cuts, "bucket-cuts"))[0]
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    last = source.select(*dict.fromkeys([*keys, *order, "_bucket"])).join(cuts, [*keys, "_bucket"]).withColumn(
+        "_rank", F.row_number().over(within)).where(F.col("_rank") == F.col("_need")).select(
+        *keys, F.col("_bucket").alias("_cut"), F.struct(*order).alias("_last"))
+    edges = _joined(limits, last, keys, "left").select(
+        *keys, "_cut", "_last", (F.col("wanted") >= F.col("_total")).alias("_all"))
+    edges = bounded(materialise(edges, "bucket-edges"))[0]
+    taken = F.col("_all") | (F.col("_bucket") < F.col("_cut")) | (
+        (F.col("_bucket") == F.col("_cut")) & (F.struct(*order) <= F.col("_last")))
+    return _joined(source, edges, keys, "left").select(*df.columns, F.coalesce(taken, F.lit(False)).alias(name))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys``; without any, ``right`` is a table of at most one row."""
+    if keys:
+        return left.join(right, [*keys], how)
+    return left.join(F.broadcast(right), F.lit(True), how)
+
+
+def hash_digits(rows: int) -> int:
+    """Leading hex digits that cut ``rows`` hashes into buckets of about 2**14."""
+    return min(max(4, -(-max(rows - 1, 1).bit_length() // 4) - 3), 12)
+
+
 def ensure_position(df: DataFrame, name: str = "frame_pos", below: int | None = None) -> DataFrame:
     """Keep an existing position; else number by packet order (one file when no ordinal exists).
 
@@ -224,6 +274,6 @@ def running_totals(
 
 
 __all__ = [
-    "PACKET_ORDER", "add_hash_position", "add_position", "ensure_position", "hash_bucket",
+    "PACKET_ORDER", "add_hash_position", "add_position", "ensure_position", "flag_first", "hash_bucket", "hash_digits",
     "packet_bucket", "prefix_buckets", "row_hash", "running_totals",
 ]

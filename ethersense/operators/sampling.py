@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from ethersense.operators.position import (
     PACKET_ORDER,
     add_hash_position,
     ensure_position,
+    flag_first,
+    hash_bucket,
+    hash_digits,
+    packet_bucket,
     row_hash,
 )
-from ethersense.session import bounded, local_frame
+from ethersense.session import bounded, local_frame, materialise
 
 TOP_K_LIMIT = 100_000
 DRAW_BLOCK = 1 << 16
@@ -38,13 +44,23 @@ def sample_percent(
 def sample_k(
     df: DataFrame, size: int, seed: int = 42, keys: tuple[str, ...] = PACKET_ORDER
 ) -> DataFrame:
-    """Uniform sample of ``size`` rows: top-k by hash, or hash positions for a large size."""
+    """Uniform sample of ``size`` rows: top-k by hash, or the hash of the last one for a large size."""
     if size <= TOP_K_LIMIT:
         ordered = df.withColumn("_digest", row_hash(seed, *keys)).orderBy("_digest", *keys)
         return ordered.limit(size).drop("_digest")
-    return (
-        add_hash_position(df, seed, keys=keys).where(F.col("hash_pos") < size).drop("hash_pos")
-    )
+    wanted = local_frame(df.sparkSession, [(size,)], "wanted long")
+    return _first_hashes(df, wanted, df.count(), seed, keys, "_taken").where("_taken").drop("_taken")
+
+
+def _first_hashes(
+    df: DataFrame, wanted: DataFrame, rows: int, seed: int, keys: tuple[str, ...], name: str,
+    partition: tuple[str, ...] = (),
+) -> DataFrame:
+    """Add ``name``: whether a row is among the first ``wanted`` ones in hash order."""
+    hashed = df.withColumn("_digest", row_hash(seed, *keys))
+    return flag_first(
+        hashed, wanted, hash_bucket(F.col("_digest"), hash_digits(rows)), ("_digest", *keys), partition=partition, name=name
+    ).drop("_digest")
 
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -58,14 +74,11 @@ def downsample(
 ) -> DataFrame:
     """Every class down to the size of the smallest one."""
     labelled = df.where(F.col(label).isNotNull())
-    smallest = label_counts(df, label).agg(F.min("label_count").alias("_keep"))
-    ranked = add_hash_position(labelled, seed, keys=keys, partition=[label])
-    # one aggregated row, so this broadcast has a fixed size
-    return (
-        ranked.crossJoin(F.broadcast(smallest))
-        .where(F.col("hash_pos") < F.col("_keep"))
-        .drop("hash_pos", "_keep")
-    )
+    counts = materialise(label_counts(df, label), "label-counts")
+    size = counts.agg(F.min("label_count").alias("least"), F.max("label_count").alias("most")).first()
+    wanted = counts.select(label, F.lit(size["least"]).cast("long").alias("wanted"))
+    kept = _first_hashes(labelled, wanted, size["most"] or 0, seed, keys, "_kept", (label,))
+    return kept.where("_kept").drop("_kept")
 
 
 def upsample(
@@ -78,7 +91,8 @@ def upsample(
     itself and 1.. for its repeats.
     """
     labelled = df.where(F.col(label).isNotNull())
-    counts = label_counts(df, label)
+    counts = materialise(label_counts(df, label), "label-counts")
+    most = counts.agg(F.max("label_count")).first()[0] or 0
     largest = counts.agg(F.max("label_count").alias("_largest"))
     missing = counts.crossJoin(F.broadcast(largest)).where(F.col("label_count") < F.col("_largest"))
     blocks = missing.select(
@@ -108,7 +122,7 @@ def upsample(
         .groupBy(label, "hash_pos")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    ranked = add_hash_position(labelled, seed, keys=keys, partition=[label])
+    ranked = add_hash_position(labelled, seed, keys=keys, partition=[label], digits=hash_digits(most))
     repeated = ranked.join(times, [label, "hash_pos"], "left").select(
         *df.columns, F.coalesce("_times", F.lit(0)).alias("_times")
     )
@@ -142,33 +156,41 @@ def class_weights(
     return df.where(F.col(label).isNotNull()).join(bounded(weights)[0], label)
 
 
+def _weighted(df: DataFrame, label: str, seed: int) -> DataFrame:
+    return class_weights(df, label)
+
+
+#: What each name of a strategy does with ``(rows, label, seed)``.
+STRATEGIES: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {
+    **dict.fromkeys(("none", "off", ""), lambda df, label, seed: df),
+    "downsample": downsample,
+    "upsample": lambda df, label, seed: upsample(df, label, seed).drop("copy"),
+    **dict.fromkeys(("class_weight", "weights"), _weighted),
+}
+
+
 def balance(df: DataFrame, strategy: str, label: str = "label", seed: int = 42) -> DataFrame:
-    strategy = strategy.lower()
-    if strategy in ("none", "off", ""):
-        return df
-    if strategy == "downsample":
-        return downsample(df, label, seed)
-    if strategy == "upsample":
-        return upsample(df, label, seed).drop("copy")
-    if strategy in ("class_weight", "weights"):
-        return class_weights(df, label)
-    raise ValueError(f"unsupported balance strategy: {strategy}")
-
-
-def _cut(df: DataFrame, position: str, train_fraction: float) -> DataFrame:
-    """Add ``is_train``: whether the position is below int(rows * fraction)."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    cut = (F.col("_total").cast("double") * F.lit(float(train_fraction))).cast("long")
-    return (
-        df.crossJoin(F.broadcast(total))
-        .withColumn("is_train", F.col(position) < cut)
-        .drop("_total")
-    )
+    if strategy.lower() not in STRATEGIES:
+        raise ValueError(f"balance strategy {strategy!r} is none of {', '.join(sorted(filter(None, STRATEGIES)))}")
+    return STRATEGIES[strategy.lower()](df, label, seed)
+
+
+def _train_rows(df: DataFrame, train_fraction: float) -> DataFrame:
+    """One row: int(rows * fraction)."""
+    total = F.count(F.lit(1)).cast("double") * F.lit(float(train_fraction))
+    return df.agg(total.cast("long").alias("wanted"))
 
 
 def chronological_split(df: DataFrame, train_fraction: float = 0.9) -> DataFrame:
-    """First part of the file order is train; no sort of the data is needed."""
-    return _cut(ensure_position(df), "frame_pos", train_fraction)
+    """First part of the file order is train. Placed rows are judged by their position, others by the packet
+    at which the cut falls; the data is neither sorted nor exchanged."""
+    if "frame_pos" in df.columns:
+        cut = _train_rows(df, train_fraction)
+        return df.crossJoin(F.broadcast(cut)).withColumn("is_train", F.col("frame_pos") < F.col("wanted")).drop("wanted")
+    if "file_ordinal" not in df.columns:
+        return chronological_split(ensure_position(df), train_fraction)
+    wanted = _train_rows(df, train_fraction)
+    return flag_first(df, wanted, packet_bucket(), PACKET_ORDER, name="is_train")
 
 
 def shuffled_split(
@@ -177,7 +199,10 @@ def shuffled_split(
     seed: int = 42,
     keys: tuple[str, ...] = PACKET_ORDER,
 ) -> DataFrame:
-    return _cut(add_hash_position(df, seed, keys=keys), "hash_pos", train_fraction)
+    """First part of the hash order is train."""
+    wanted = materialise(_train_rows(df, train_fraction), "train-rows")
+    rows = int((wanted.first()["wanted"] or 0) / max(train_fraction, 1e-9)) + 1
+    return _first_hashes(df, wanted, rows, seed, keys, "is_train")
 
 
 def split(
@@ -185,7 +210,7 @@ def split(
 ) -> DataFrame:
     if chronological:
         return chronological_split(df, train_fraction)
-    return shuffled_split(df, train_fraction, seed).drop("hash_pos")
+    return shuffled_split(df, train_fraction, seed)
 
 
 def fraction_cuts(df: DataFrame, fractions: list[float]) -> DataFrame:

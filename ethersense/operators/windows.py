@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from ethersense.functions.columns import (
 )
 from ethersense.operators.position import BLOCK_BITS, ensure_position, prefix_buckets
 from ethersense.schemas import column_or_null
-from ethersense.session import materialise
+from ethersense.session import bounded, local_frame, materialise
 
 FRAME_COUNT, TIME = "frame_count", "time"
 STATES = ["present", "absent", "uncertain"]
@@ -88,6 +88,91 @@ def per_target(preds: DataFrame, targets: Sequence[str], *, keep: Sequence[str])
     )
 
 
+FEW_TARGETS = 32
+MANY_TARGETS = 1_000_000
+_MARK = "struct<target_id:string,p:double,hit:bigint,truth:bigint>"
+
+
+def target_table(spark: SparkSession, targets: Sequence[str] | DataFrame) -> DataFrame:
+    """The distinct targets as a table."""
+    if isinstance(targets, DataFrame):
+        return targets.where(F.col("target_id").isNotNull()).select("target_id").distinct()
+    return local_frame(spark, [(str(t),) for t in dict.fromkeys(targets)], "target_id string")
+
+
+def _few(targets: Sequence[str] | DataFrame) -> list[str] | None:
+    """The distinct targets, where they are few enough for a plan."""
+    if isinstance(targets, DataFrame):
+        return None
+    names = [str(t) for t in dict.fromkeys(targets)]
+    return names if len(names) <= FEW_TARGETS else None
+
+
+def with_marks(preds: DataFrame, targets: Sequence[str] | DataFrame, *, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and one short array per row: the targets that the row says anything about.
+
+    These are its listed, predicted and true classes; for every other target the row counts with probability 0.
+    With few targets the others are left out here, so that no text of probabilities is exchanged later.
+    """
+    if "probabilities" in preds.columns:
+        probabilities = F.col("probabilities")
+    else:
+        probabilities = parse_probabilities(column_or_null(preds, "probabilities_json", "string"))
+    base = preds.select(
+        *keep,
+        probabilities.alias("_probs"),
+        column_or_null(preds, "predicted_class", "string").alias("_class"),
+        column_or_null(preds, "confidence", "double").alias("_conf"),
+        column_or_null(preds, "ground_truth", "string").alias("_truth"),
+    )
+    names = F.concat(F.coalesce(F.map_keys("_probs"), F.array().cast("array<string>")), F.array("_class", "_truth"))
+    names = F.array_compact(F.array_distinct(names))
+    if _few(targets) is not None:
+        names = F.filter(names, lambda n: n.isin(_few(targets)))
+    marks = F.transform(names, lambda n: F.struct(
+        n.alias("target_id"), target_probability(F.col("_probs"), F.col("_class"), F.col("_conf"), n).alias("p"),
+        F.col("_class").eqNullSafe(n).cast("long").alias("hit"), F.col("_truth").eqNullSafe(n).cast("long").alias("truth"),
+    ))
+    return base.select(*keep, marks.alias("_marks"))
+
+
+def marked_stats(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial sums per ``keys`` and class, and one row per ``keys`` with a null class that counts all rows."""
+    everyone = F.array(F.lit(None).cast(_MARK))
+    rows = marked.select(*keys, F.explode(F.concat(everyone, "_marks")).alias("_mark")).select(*keys, "_mark.*")
+    return rows.groupBy(*keys, "target_id").agg(*partial_stats())
+
+
+def fill_targets(stats: DataFrame, keys: Sequence[str], targets: Sequence[str] | DataFrame) -> DataFrame:
+    """Every target of every window, out of the sums of those that its rows mention.
+
+    No row of the data meets the target list: what a window lacks is added to the window itself.
+    """
+    few = _few(targets)
+    if few is None:
+        table = bounded(target_table(stats.sparkSession, targets), MANY_TARGETS)[0]
+        stats = stats.join(table.withColumn("_wanted", F.lit(True)), "target_id", "left").where(
+            F.col("target_id").isNull() | F.col("_wanted"))
+    entry = F.struct("target_id", F.col("n").alias("m"), "sum_p", "max_p", "hits", "truths")
+    windows = stats.groupBy(*keys).agg(
+        F.max(F.when(F.col("target_id").isNull(), F.col("n"))).alias("n"),
+        F.collect_list(F.when(F.col("target_id").isNotNull(), entry)).alias("_listed"),
+    )
+    if few is None:
+        windows = windows.crossJoin(F.broadcast(table.agg(F.sort_array(F.collect_list("target_id")).alias("_all"))))
+    else:
+        windows = windows.withColumn("_all", F.lit(few).cast("array<string>"))
+    lacking = F.array_except("_all", F.transform("_listed", lambda e: e["target_id"]))
+    absent = F.transform(lacking, lambda t: F.struct(
+        t.alias("target_id"), F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("sum_p"), F.lit(0.0).alias("max_p"),
+        F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("truths")))
+    filled = windows.select(*keys, "n", F.explode(F.concat("_listed", absent)).alias("_e"))
+    short = F.col("_e.m") < F.col("n")
+    return filled.select(
+        *keys, F.col("_e.target_id").alias("target_id"), "n", F.col("_e.sum_p").alias("sum_p"),
+        F.when(short, F.greatest("_e.max_p", F.lit(0.0))).otherwise(F.col("_e.max_p")).alias("max_p"),
+        F.col("_e.hits").alias("hits"), F.col("_e.truths").alias("truths"),
+    )
 
 
 def partial_stats() -> list[Column]:
@@ -122,16 +207,22 @@ def summary_columns() -> list[Column]:
     ]
 
 
+def marked(preds: DataFrame, targets: Sequence[str] | DataFrame) -> DataFrame:
+    """Predictions as marks beside what places and times them; marked ones stay as they are."""
+    if "_marks" in preds.columns:
+        return preds
+    places = ("file_ordinal", "source_file", "packet_index", "frame_pos", "timestamp")
+    return with_marks(preds, targets, keep=[c for c in places if c in preds.columns])
+
+
 def frame_window_stats(
-    preds: DataFrame, targets: Sequence[str], settings: WindowSettings
+    preds: DataFrame, targets: Sequence[str] | DataFrame, settings: WindowSettings
 ) -> DataFrame:
     """Chunks of ``frame_count`` rows in file order; the end position is inclusive."""
     size = settings.frame_count
-    placed = ensure_position(preds)
-    rows = per_target(placed, targets, keep=["frame_pos"])
-    grouped = rows.groupBy(
-        "target_id", F.floor(F.col("frame_pos") / size).alias("window_seq")
-    ).agg(*partial_stats())
+    placed = ensure_position(marked(preds, targets))
+    rows = placed.withColumn("window_seq", F.floor(F.col("frame_pos") / size))
+    grouped = fill_targets(marked_stats(rows, ["window_seq"]), ["window_seq"], targets)
     return grouped.select(
         "target_id",
         F.lit(FRAME_COUNT).alias("window_type"),
@@ -143,15 +234,15 @@ def frame_window_stats(
 
 
 def time_window_stats(
-    preds: DataFrame, targets: Sequence[str], settings: WindowSettings
+    preds: DataFrame, targets: Sequence[str] | DataFrame, settings: WindowSettings
 ) -> DataFrame:
     """Epoch-aligned tumbling windows; the end is exclusive and null timestamps are skipped."""
     seconds = float(settings.time_seconds)
     timed = preds.where(F.col("timestamp").isNotNull()).withColumn(
         "window_seq", time_bucket(F.col("timestamp"), seconds)
     )
-    rows = per_target(timed, targets, keep=["window_seq"])
-    grouped = rows.groupBy("target_id", "window_seq").agg(*partial_stats())
+    rows = timed if "_marks" in timed.columns else with_marks(timed, targets, keep=["window_seq"])
+    grouped = fill_targets(marked_stats(rows, ["window_seq"]), ["window_seq"], targets)
     return grouped.select(
         "target_id",
         F.lit(TIME).alias("window_type"),
@@ -164,7 +255,7 @@ def time_window_stats(
 
 def window_stats(
     preds: DataFrame,
-    targets: Sequence[str],
+    targets: Sequence[str] | DataFrame,
     settings: WindowSettings,
     kinds: Sequence[str] = (FRAME_COUNT, TIME),
 ) -> DataFrame:
@@ -202,7 +293,7 @@ def with_state(stats: DataFrame, settings: WindowSettings, *extra: str) -> DataF
 
 def presence_windows(
     preds: DataFrame,
-    targets: Sequence[str],
+    targets: Sequence[str] | DataFrame,
     settings: WindowSettings = WindowSettings(),
     kinds: Sequence[str] = (FRAME_COUNT, TIME),
 ) -> DataFrame:
@@ -212,7 +303,7 @@ def presence_windows(
 
 def replay_time_stats(
     preds: DataFrame,
-    targets: Sequence[str],
+    targets: Sequence[str] | DataFrame,
     settings: WindowSettings,
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
@@ -224,7 +315,7 @@ def replay_time_stats(
     one of the block before, which gives every block its island offset.
     """
     seconds = float(settings.time_seconds)
-    placed = ensure_position(preds)
+    placed = ensure_position(marked(preds, targets))
     timed = placed.where(F.col("timestamp").isNotNull()).select(
         "*",
         time_bucket(F.col("timestamp"), seconds).alias("tb"),
@@ -234,15 +325,13 @@ def replay_time_stats(
     flagged = timed.withColumn("_prev", F.lag("tb").over(in_block)).withColumn(
         "local", F.sum((~F.col("tb").eqNullSafe(F.col("_prev"))).cast("long")).over(in_block)
     )
-    rows = per_target(flagged, targets, keep=["bucket", "local", "tb"])
-    fragments = rows.groupBy("target_id", "bucket", "local", "tb").agg(*partial_stats())
-
-    # island structure does not depend on the target, so one pass over positions is enough
+    # the rows are gone over once: islands, their order and their sums all follow from the fragments
+    fragments = materialise(marked_stats(flagged, ["bucket", "local", "tb"]), "replay-fragments")
     blocks = materialise(
-        flagged.groupBy("bucket").agg(
+        fragments.where(F.col("target_id").isNull()).groupBy("bucket").agg(
             F.max("local").alias("islands"),
-            F.min_by("tb", "frame_pos").alias("first_tb"),
-            F.max_by("tb", "frame_pos").alias("last_tb"),
+            F.min_by("tb", "local").alias("first_tb"),
+            F.max_by("tb", "local").alias("last_tb"),
         ),
         "replay-blocks",
     )
@@ -256,12 +345,13 @@ def replay_time_stats(
         "bucket",
         (F.col("islands_before") - F.col("merged_before") - F.col("merged")).alias("offset"),
     )
-    islands = (
+    merged = (
         fragments.join(offsets, "bucket")
         .withColumn("window_seq", F.col("local") + F.col("offset") - 1)
         .groupBy("target_id", "window_seq", "tb")
         .agg(*merge_stats())
     )
+    islands = fill_targets(merged, ["window_seq", "tb"], targets)
     last = offsets.join(blocks, "bucket").agg(
         F.max(F.col("offset") + F.col("islands") - 1).alias("_last")
     )
@@ -278,16 +368,14 @@ def replay_time_stats(
 
 def replay_windows(
     preds: DataFrame,
-    targets: Sequence[str],
+    targets: Sequence[str] | DataFrame,
     settings: WindowSettings = WindowSettings(),
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """What a replay of the stored rows emits, including the windows flushed at the end."""
-    used = ["frame_pos", "timestamp", "predicted_class", "confidence", "ground_truth",
-            "probabilities", "probabilities_json"]
-    numbered = ensure_position(preds)
-    # three readers follow (count windows, islands, block table): number the rows once
-    placed = materialise(numbered.select(*[c for c in used if c in numbered.columns]), "replay")
+    numbered = ensure_position(marked(preds, targets))
+    # two readers follow (count windows, islands): number the rows once
+    placed = materialise(numbered.select("frame_pos", "timestamp", "_marks"), "replay")
     frames = frame_window_stats(placed, targets, settings).withColumn(
         "final_window", F.col("n") < settings.frame_count
     )

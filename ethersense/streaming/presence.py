@@ -95,7 +95,7 @@ class ReplayEngine:
     def __init__(self, spark: SparkSession, targets: Sequence[str], settings: WindowSettings,
                  folder: str, block_bits: int = BLOCK_BITS) -> None:
         self.spark, self.settings, self.folder = spark, settings, folder
-        self.targets = list(dict.fromkeys(targets))
+        self.targets = targets if isinstance(targets, DataFrame) else list(dict.fromkeys(targets))
         self.block_bits = block_bits
 
     def run(self, preds: DataFrame) -> None:

@@ -1,5 +1,8 @@
+import hashlib
+import itertools
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -8,7 +11,9 @@ from ethersense.operators import evaluate as ev
 from ethersense.operators import inspect as ins
 from ethersense.operators import labels as lab
 from ethersense.operators import ranking, sampling
-from ethersense.operators.windows import WindowSettings
+from ethersense.operators.labels import LabelSettings, resolve_targets
+from ethersense.operators.windows import WindowSettings, presence_windows
+from ethersense.session import materialise
 
 PRED = "ground_truth string, predicted_class string, score double"
 
@@ -172,3 +177,65 @@ def test_grid_includes_current_value():
     r, m, x = cal.grids(WindowSettings(present_ratio_threshold=0.55),
                         cal.CalibrationSettings((0.5, 0.5), (0.5,), (0.9, 0.8)))
     assert (r, m, x) == ([0.5, 0.55], [0.5], [0.8, 0.9])
+
+
+def test_cuts_rank_only_the_cut_bucket(spark):
+    """Splits and balancing agree with ranking all rows, and do not exchange the data."""
+    rng = random.Random(6)
+    rows = [(f, i, rng.choice(["a", "a", "a", "b", "c"])) for f in range(3) for i in rng.sample(range(60_000), 400)]
+    df = materialise(spark.createDataFrame(rows, "file_ordinal int, packet_index long, label string"), "cut-test")
+    order = sorted((f, i) for f, i, _ in rows)
+    for fraction in (0.0, 0.3, 0.9, 1.0):
+        cut = int(len(rows) * fraction)
+        split = sampling.chronological_split(df, fraction)
+        assert {(r["file_ordinal"], r["packet_index"]) for r in split.where("is_train").collect()} == set(order[:cut])
+        shuffled = sampling.shuffled_split(df, fraction)
+        digest = {(f, i): hashlib.md5(f"42-{f}-{i}".encode()).hexdigest() for f, i in order}
+        best = sorted(order, key=lambda k: digest[k])[:cut]
+        assert {(r["file_ordinal"], r["packet_index"]) for r in shuffled.where("is_train").collect()} == set(best)
+    for plan in (split, shuffled, sampling.downsample(df)):
+        assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    least = min(Counter(x for _, _, x in rows).values())
+    want = {k for x in "abc" for k in sorted(((f, i) for f, i, y in rows if y == x), key=lambda k: digest[k])[:least]}
+    assert {(r["file_ordinal"], r["packet_index"]) for r in sampling.downsample(df).collect()} == want
+
+
+def test_sweep_is_every_candidate_on_every_window(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice(["time", "frame_count"]), rng.random() < 0.4, rng.randrange(1, 9),
+             rng.random(), rng.choice([0.2, 0.5, rng.random()]), rng.random()) for _ in range(300)]
+    stats = spark.createDataFrame(rows, "target_id string, window_type string, truth_present boolean, frame_count long, "
+                                        "positive_prediction_ratio double, mean_probability double, max_probability double")
+    w, c = WindowSettings(min_frames=3), cal.CalibrationSettings((0.2, 0.5), (0.5, 0.3), (0.9,))
+    out = cal.sweep(stats, w, c)
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    grid = list(itertools.product(*cal.grids(w, c)))
+    want = {}
+    for target, kind, truth, n, ratio, mean, top in rows:
+        for k, (r, m, x) in enumerate(grid):
+            present = n >= 3 and ratio >= r and (mean >= m or top >= x)
+            for key in ((target, kind, k), ("__all__", "__all__", k)):
+                cell = want.setdefault(key, [0, 0, 0, 0])
+                cell[(0 if truth else 1) if present else (3 if truth else 2)] += 1
+    got = {(r["target_id"], r["window_type"], r["candidate_index"]): [
+        r["true_positive"], r["false_positive"], r["true_negative"], r["false_negative"]] for r in out.collect()}
+    assert got == want
+
+
+def test_windows_of_very_many_targets(spark):
+    rows = [(0, i, float(i), rng_class, 0.7, '{"t5": 0.25, "t99999": 0.5}' if i % 2 else None, "t7")
+            for i, rng_class in enumerate(["t5", "t6", "nobody", "t5"] * 5)]
+    df = spark.createDataFrame(rows, "file_ordinal int, packet_index long, timestamp double, predicted_class string, "
+                                     "confidence double, probabilities_json string, ground_truth string")
+    registry = spark.range(100_000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("target_id"), F.lit(True).alias("enabled"))
+    targets = resolve_targets(LabelSettings(mode="multiclass_with_other"), registry, all_targets=True)
+    w = WindowSettings(frame_count=8, time_seconds=100.0)
+    some = ["t5", "t6", "t7", "t99999", "t123"]
+    out = presence_windows(df, targets, w)
+    assert out.count() == 100_000 * 4
+    names = [c for c in out.columns]
+    few = {str(r) for r in presence_windows(df, some, w).select(names).collect()}
+    assert {str(r) for r in out.where(F.col("target_id").isin(some)).collect()} == few
+    rest = out.where(~F.col("target_id").isin(some)).agg(F.max("max_probability"), F.max("positive_prediction_ratio"), F.min("frame_count")).first()
+    assert tuple(rest) == (0.0, 0.0, 4)
