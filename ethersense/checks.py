@@ -434,23 +434,22 @@ def _(spark, sf):
     return ins.target_matches(demo.records(spark, sf), demo.targets(spark))
 
 
-@query("capture_warnings", REC + """,
-few AS (SELECT * FROM records WHERE frame_type = 1),
-f AS (SELECT count(*) AS scanned, count(*) FILTER (frame_subtype > 12) AS parsed,
-             count(CASE WHEN k < 0 THEN 1 END) AS with_rate FROM few)
-SELECT 3 AS rule, 'At least 20% of scanned packets failed 802.11 parsing.' AS warning FROM f
-WHERE (scanned - parsed) / scanned::DOUBLE >= 0.2
-UNION ALL SELECT 4, 'No Radiotap data-rate values were observed.' FROM f
-WHERE scanned > 0 AND with_rate = 0
-UNION ALL SELECT 7,
-  'No source MACs matched enabled targets in the configured registry.' FROM f WHERE parsed > 0""")
-def _(spark, sf):
-    df = demo.records(spark, sf).where(F.col("frame_type") == 1).withColumn(
-        "parse_ok", F.col("frame_subtype") > 12
-    ).withColumn("data_rate", F.lit(None).cast("double"))
+@query("capture_warnings", REC + f""",
+f AS (SELECT count(*) AS scanned, count(*) FILTER (parse_ok) AS parsed, count(data_rate) AS with_rate,
+             count(coalesce(rssi, ssi)) AS with_signal, count(*) FILTER (protected) AS protected_frames,
+             count(*) FILTER (source_mac = '02:ff:ff:ff:ff:ff') AS matched FROM records)
+SELECT rule, warning FROM (
+  SELECT 2 AS rule, '{ins.NONE_PARSED}' AS warning, scanned > 0 AND parsed = 0 AS raised FROM f
+  UNION ALL SELECT 3, '{ins.MANY_FAILED}', (scanned - parsed) / scanned::DOUBLE >= 0.2 FROM f
+  UNION ALL SELECT 4, '{ins.NO_RATE}', scanned > 0 AND with_rate = 0 FROM f
+  UNION ALL SELECT 5, '{ins.NO_SIGNAL}', scanned > 0 AND with_signal = 0 FROM f
+  UNION ALL SELECT 6, '{ins.NO_PROTECTED}', parsed > 0 AND protected_frames = 0 FROM f
+  UNION ALL SELECT 7, '{ins.NO_TARGET}', parsed > 0 AND matched = 0 FROM f) WHERE raised""")
+def _(spark, sf):
+    """All records against a registry that knows none of their addresses."""
     nobody = lab.broadcastable_targets(lab.registry_frame(spark, [
         {"target_id": "t_x", "mac_addresses": ["02:ff:ff:ff:ff:ff"]}]))
-    facts = ins.warning_facts(df, nobody)
+    facts = ins.warning_facts(demo.records(spark, sf), nobody)
     return ins.capture_warnings(facts, file_count=1, has_enabled_targets=True)
 
 
@@ -591,6 +590,23 @@ def _(spark, sf):
         for c in ("accuracy", "precision", "recall", "f1", "mcc", "roc_auc", "pr_auc")])
 
 
+@query("metrics_document", BIN + PAIRS + """,
+cells AS (SELECT t.label AS truth, p.label AS predicted, coalesce(n, 0)::BIGINT AS n
+          FROM classes t CROSS JOIN classes p LEFT JOIN pairs ON pairs.truth = t.label AND pairs.predicted = p.label),
+lines AS (SELECT truth, '[' || string_agg(n::VARCHAR, ',' ORDER BY predicted) || ']' AS line FROM cells GROUP BY truth)
+SELECT (SELECT string_agg(label, ',' ORDER BY label) FROM classes) AS labels,
+       (SELECT '[' || string_agg(line, ',' ORDER BY truth) || ']' FROM lines) AS matrix,
+       c.label, round(c.precision, 9) AS precision, round(c.recall, 9) AS recall, round(c.f1, 9) AS f1,
+       c.support::BIGINT AS support
+FROM classes c""")
+def _(spark, sf):
+    doc = ev.metrics_document(demo.binary_predictions(spark, sf), score="score")
+    return doc.select(
+        F.array_join("labels", ",").alias("labels"), F.to_json("confusion_matrix.matrix").alias("matrix"),
+        F.explode("per_class").alias("label", "m"),
+    ).select("labels", "matrix", "label", *[F.round(f"m.{c}", 9).alias(c) for c in ("precision", "recall", "f1")], "m.support")
+
+
 @query("roc_auc", BIN + CURVE + " SELECT round(roc_auc, 9) AS roc_auc FROM auc")
 def _(spark, sf):
     ranked = ev.ranked_scores(ev.score_table(demo.binary_predictions(spark, sf)))
@@ -1007,6 +1023,17 @@ def _(spark, sf):
         F.lit("records").alias("kind"), "file_ordinal", "position", "amount", F.lit(None).cast("string").alias("reason")))
 
 
+@query("inspect_captures", DEC + """
+SELECT 'capture_files' AS stage, count(DISTINCT packet_index // 4000) AS row_count FROM decoded
+UNION ALL SELECT 'packets_scanned', count(*) FROM decoded
+UNION ALL SELECT 'dot11_frames', count(*) FILTER (parse_ok) FROM decoded""")
+def _(spark, sf):
+    from fixtures.captures import write_captures
+
+    folder = work_path(spark, "inspected")
+    return jobs.inspect_captures(spark, [write_captures(spark, sf)], folder, demo.targets(spark)).manifest
+
+
 FEATURE_NAMES = [f.name for f in FEATURES.fields]
 
 

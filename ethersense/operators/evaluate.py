@@ -235,3 +235,31 @@ def severe_skew(distribution: DataFrame) -> DataFrame:
             (F.count(F.lit(1)) >= 2) & (low > 0) & (F.try_divide(high, low) >= 10), F.lit(False)
         ).alias("severe_skew"),
     )
+
+
+def metrics_document(
+    preds: DataFrame,
+    *,
+    truth: str = "ground_truth",
+    predicted: str = "predicted_class",
+    score: str | None = None,
+    positive_label: str = "target",
+) -> DataFrame:
+    """One row with everything an evaluation reports: the metrics, ``labels`` in order, ``per_class`` by label, and
+    ``confusion_matrix`` with a row per truth and a column per prediction."""
+    metrics = classification_metrics(preds, truth=truth, predicted=predicted, score=score, positive_label=positive_label)
+    known = preds.where(F.col(truth).isNotNull())
+    pairs = materialise(
+        known.groupBy(F.col(truth).cast("string").alias("truth"), F.col(predicted).cast("string").alias("predicted"))
+        .agg(F.count(F.lit(1)).alias("n")), "metric-pairs")
+    pairs = bounded(pairs, 100_000)[0]
+    classes = per_class(pairs)
+    labels = classes.agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    details = classes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
+        "label", F.struct("precision", "recall", "f1", "support").alias("value"))))).alias("per_class"))
+    cells = pairs.groupBy("truth").agg(F.map_from_entries(F.collect_list(F.struct("predicted", "n"))).alias("row"))
+    rows = cells.agg(F.map_from_entries(F.collect_list(F.struct("truth", "row"))).alias("_rows"))
+    count = F.transform("labels", lambda t: F.transform("labels", lambda p: F.coalesce(
+        F.try_element_at(F.try_element_at("_rows", t), p), F.lit(0).cast("long"))))
+    return metrics.crossJoin(labels).crossJoin(details).crossJoin(rows).select(
+        *metrics.columns, "labels", "per_class", F.struct("labels", count.alias("matrix")).alias("confusion_matrix"))

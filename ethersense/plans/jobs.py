@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ethersense.functions.columns import FeatureSettings, feature_rows
 from ethersense.operators import evaluate as ev
+from ethersense.operators import inspect as ins
 from ethersense.operators.filters import FilterSettings, apply_filters, parse_ok
 from ethersense.operators.labels import LabelSettings, assign_labels
 from ethersense.operators.learn import MODEL_MAPPINGS, LearnerSettings, train
@@ -21,6 +22,7 @@ from ethersense.operators.trees import Model, classify, save_model
 from ethersense.operators.windows import WindowSettings, presence_windows
 from ethersense.schemas import COMPARISON_COLUMNS, PREDICTIONS
 from ethersense.session import local_frame, materialise
+from ethersense.sources.capture import discover, ingest
 from ethersense.sources.datasets import read_dataset, write_dataset, write_document
 
 SAVE_MODES = ("errorifexists", "overwrite", "skip")
@@ -107,7 +109,7 @@ def write_split(parts: DataFrame, path: str, mode: str) -> tuple[int, int]:
 
 def prediction_metrics(preds: DataFrame, positive_label: str = "target") -> DataFrame:
     score = F.coalesce(F.try_element_at("probabilities", F.lit(positive_label)), F.lit(0.0))
-    return ev.classification_metrics(
+    return ev.metrics_document(
         preds.withColumn("score", score), score="score", positive_label=positive_label)
 
 
@@ -241,20 +243,60 @@ def top_by_f1(results: DataFrame, count: int = 10) -> DataFrame:
 
 def calibration_input(
     preds: DataFrame | None, labelled: DataFrame | None, model: Model | None,
-    features: FeatureSettings = FeatureSettings(),
+    features: FeatureSettings = FeatureSettings(), *, explicit: bool = True,
 ) -> DataFrame:
-    """Predictions that all carry a truth, else the labelled set scored by the model."""
+    """Predictions that all carry a truth, else the labelled set scored by the model.
+
+    Predictions that were asked for (``explicit``) and lack a truth are an error; only those that happened to lie
+    there may be replaced.
+    """
     from ethersense.operators.calibrate import truth_coverage
 
-    if preds is not None and truth_coverage(preds).first()["usable"]:
-        return preds
+    if preds is not None:
+        if truth_coverage(preds).first()["usable"]:
+            return preds
+        if explicit:
+            raise ValueError("the predictions for calibration must all have a ground truth")
     if labelled is None or model is None:
         raise ValueError("calibration needs predictions with truth, or labelled rows and a model")
     return classify(labelled, model, features)
 
 
+def inspect_captures(
+    spark: SparkSession, paths: Sequence[str], folder: str, targets: DataFrame | None = None, mode: str = "errorifexists"
+) -> JobResult:
+    """Reads captures into the ``records`` layer and reports on them: totals, families, field coverage, addresses,
+    and the warnings they raise. Paths without any capture are an error."""
+    files = discover(spark, paths)
+    count = files.count()
+    if count == 0:
+        raise ValueError("no capture files found below: " + ", ".join(paths))
+    tables = {n: f"{folder}/{n}" for n in ("records", "summary", "families", "coverage", "addresses", "warnings")}
+    records, scanned = write_layer(ingest(spark, paths), tables["records"], mode)
+    summary = ins.capture_summary(records).withColumn("capture_file_count", F.lit(count))
+    write_document(summary, tables["summary"], mode)
+    facts = ins.warning_facts(records, targets)
+    write_layer(ins.family_counts(records), tables["families"], mode)
+    write_layer(ins.field_coverage(records), tables["coverage"], mode)
+    write_layer(ins.address_counts(records), tables["addresses"], mode)
+    enabled = targets is not None and not targets.isEmpty()
+    write_layer(ins.capture_warnings(facts, file_count=count, has_enabled_targets=enabled), tables["warnings"], mode)
+    parsed = spark.read.json(tables["summary"]).first()["parse_successes"]
+    counts = {"capture_files": count, "packets_scanned": scanned, "dot11_frames": parsed}
+    return JobResult(_manifest(spark, counts), tables)
+
+
+def prepare_captures(
+    spark: SparkSession, paths: Sequence[str], targets: DataFrame, folder: str, *, mode: str = "errorifexists", **settings
+) -> JobResult:
+    """From capture files to train and test rows: inspect, then ``prepare`` on the stored records."""
+    seen = inspect_captures(spark, paths, f"{folder}/inspect", targets, mode)
+    done = prepare(spark.read.parquet(seen.tables["records"]), targets, folder, mode=mode, **settings)
+    return JobResult(seen.manifest.unionByName(done.manifest), {**done.tables, **{f"inspect_{k}": v for k, v in seen.tables.items()}})
+
+
 __all__ = [
     "JobResult", "calibration_input", "classify_dataset", "compare_models",
-    "comparison_plan", "evaluate_holdout", "prediction_metrics", "prepare", "top_by_f1",
+    "comparison_plan", "evaluate_holdout", "inspect_captures", "prepare_captures", "prediction_metrics", "prepare", "top_by_f1",
     "train_eval", "write_layer",
 ]
