@@ -31,13 +31,18 @@ class _Tables:
         moves = np.array(list(product((0, -1, 1), repeat=hashes)))
         self.moves, self.down, self.up = moves, (moves == -1).astype(float), (moves == 1).astype(float)
 
-    def places(self, x: np.ndarray, norm: float, query: bool) -> np.ndarray:
-        """Position on every projection in cells; inner product becomes distance by one more component."""
+    def places(self, x: np.ndarray, log_norm: float, query: bool) -> np.ndarray:
+        """Position on every projection in cells; inner product becomes distance by one more component.
+
+        Lengths are kept as logarithms, so vectors of any finite size have one."""
+        most = np.abs(x).max(axis=1, keepdims=True)
+        x = x / most
         size = np.linalg.norm(x, axis=1, keepdims=True)
         if query:
             x, extra = x / size, np.zeros_like(size)
         else:
-            x, extra = x / norm, np.sqrt(np.maximum(0.0, 1 - (size / norm) ** 2))
+            share = np.exp(np.log(most) + np.log(size) - log_norm)
+            x, extra = x / size * share, np.sqrt(np.maximum(0.0, 1 - share**2))
         return (np.hstack([x, extra]) @ self.a) / self.width + self.b
 
     def bucket(self, cells: np.ndarray, table: int, band: int) -> np.ndarray:
@@ -58,7 +63,7 @@ class _Tables:
 def _hash_rows(make, bands: dict, probes: int):
     """Buckets of each row: its own one per table, or with ``probes`` the cells that its search visits in every band.
 
-    ``bands`` has for each number of components {band: largest norm, or None where all rows lie in one bucket}.
+    ``bands`` has for each number of components {band: logarithm of the largest norm, or None where all rows lie in one bucket}.
     """
 
     def run(batches):
@@ -101,7 +106,7 @@ def _scores(x: np.ndarray, q: np.ndarray, bucket: np.ndarray, asker: np.ndarray,
         at = rows[np.searchsorted(there, b, side="left") : np.searchsorted(there, b, side="right")]
         if len(at):
             who = asker[np.searchsorted(visited, b, side="left") : np.searchsorted(visited, b, side="right")]
-            scores[np.ix_(who - first, at)] = q[who] @ x[at].T
+            scores[np.ix_(who - first, at)] = np.maximum(q[who] @ x[at].T, -np.finfo(float).max)  # visited, however far
     for i in np.unique(asker):
         yield i, scores[i - first]
 
@@ -126,7 +131,7 @@ def _rerank(k: int):
                     live = np.flatnonzero(some > -np.inf)
                     if len(live) > k:
                         bar = np.partition(some[live], len(live) - k)[len(live) - k]
-                        live = live[some[live] >= bar - 1e-9 * (1 + abs(bar))]
+                        live = live[some[live] >= (bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else bar)]
                     exact = (x[live] * q[i]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
                     best = np.lexsort((x_id[live], -exact))[:k]
                     ids.append(np.full(len(best), q_id[i]))
@@ -154,16 +159,18 @@ def nearest_neighbours(
     blocks of about ``query_rows`` queries, whatever the tables' sizes.
     """
     table = materialise(usable(vectors, nonzero=True).withColumn("dim", F.size("x")), "vectors")
-    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    most = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    shares = F.aggregate(F.transform("x", lambda v: v / F.col("most")), F.lit(0.0), lambda s, v: s + v * v)
+    placed = table.withColumn("most", most).withColumn("norm", F.log("most") + F.log(shares) / 2).drop("most")
     wanted = F.col("vec_id") % every == 0
-    top = table.agg(F.max(length)).first()[0] or 1.0
-    step = F.floor(F.log(F.lit(top) / length) / float(np.log(BAND_RATIO)) + 1e-9)
-    banded = table.withColumn("norm", length).withColumn("band", F.coalesce(step, F.lit(0)).cast("int"))
+    top = placed.agg(F.max("norm")).first()[0] or 0.0
+    step = F.floor((F.lit(top) - F.col("norm")) / float(np.log(BAND_RATIO)) + 1e-9)
+    banded = placed.withColumn("band", step.cast("int"))
     bands: dict[int, dict[int, float | None]] = {}
     size: dict[int, int] = {}
     asking = 0
     for r in banded.groupBy("dim", "band").agg(F.count("*").alias("n"), F.count_if(wanted).alias("m"), F.max("norm").alias("norm")).collect():
-        bands.setdefault(r["dim"], {})[r["band"]] = None if r["n"] <= exact_rows else r["norm"] or 1.0
+        bands.setdefault(r["dim"], {})[r["band"]] = None if r["n"] <= exact_rows else r["norm"]
         size[r["dim"]], asking = size.get(r["dim"], 0) + r["n"], asking + r["m"]
     make = lambda dim: _Tables(dim, tables, hashes, width, seed)
     kind = "vec_id long, dim int, table int, bucket long"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ethersense.llm.linking import link_components, maybe_member, membership
+from ethersense.llm.names import free_name
 from ethersense.llm.textwork import mix64, pieces, row_shingles, signed, text_bytes
 from ethersense.session import bounded, discard, materialise
 
@@ -262,13 +263,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = sets.where("n > 0").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "rows")
     first = rows.join(linked.select("node", "component"), "node").groupBy("component").agg(F.min(order).alias("first"))
+    node, first_node, first_id, count = (free_name(docs, x) for x in ("_node", "_first_node", "_first_id", "_rows"))
     first = materialise(first.select(
-        F.col("first.node").alias("_first_node"), F.col("first.doc_id").alias("_first_id"), F.col("first.rows").alias("_rows")
+        F.col("first.node").alias(first_node), F.col("first.doc_id").alias(first_id), F.col("first.rows").alias(count)
     ), "first-rows")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(~blank).withColumn("_node", _node_of(words)(F.col("text").cast("string"))).join(
-        first, (F.col("_node") == F.col("_first_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first_id"))
+    rows = docs.where(~blank).withColumn(node, _node_of(words)(F.col("text").cast("string"))).join(
+        first, (F.col(node) == F.col(first_node)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first_id))
     )
-    many = rows.where("_rows > 1").dropDuplicates(["_node"])
-    kept = rows.where("_rows = 1").unionByName(many).select(*docs.columns)
+    many = rows.where(F.col(count) > 1).dropDuplicates([node])
+    kept = rows.where(F.col(count) == 1).unionByName(many).select(*docs.columns)
     return docs.where(blank).unionByName(kept)

@@ -54,6 +54,12 @@ class _Pieces:
         self.names, self.ids, self.scores = names, np.array(ids), scores
         self.lowest = float(scores.min()) - 10.0
         self.longest = max(map(len, names))
+        #: The bytes that each id stands for; control and unknown ids stand for none.
+        self.spelling = np.full(n, b"", object)
+        self.spelling[self.ids] = [x.encode() for x in names]
+        for value, i in enumerate(self.bytes.tolist()):
+            if i:
+                self.spelling[i] = bytes([value])
         # by length: hashes of all beginnings of pieces, and the piece that each is, or -1
         number = {x: i for i, x in enumerate(names)}
         self.starts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -91,8 +97,8 @@ class _Lattice:
     """The lattices of some units side by side. State = character; edge = piece from a state.
 
     ``first_id`` and ``ids_of`` (its ids), ``to`` (next state, or -1 at the unit's end),
-    ``log_p`` (log of the chance of the edge given its state), ``upto`` (state + chance summed over the
-    state's edges up to this one) of each edge; edges ``first[s]:first[s + 1]`` leave state ``s``.
+    ``log_p`` (log of the chance of the edge given its state), ``below`` (chance summed over the
+    state's edges before this one) of each edge; edges ``first[s]:first[s + 1]`` leave state ``s``.
     """
 
     def __init__(self, model: _Pieces, units: list[str]) -> None:
@@ -126,7 +132,8 @@ class _Lattice:
         source, width, piece = (np.concatenate(x).astype(np.int64) for x in (source, width, piece))
         weight = np.where(piece >= 0, model.scores[np.maximum(piece, 0)], model.lowest)
         # mass of all ways from a state to the unit's end, the states nearest to the end first
-        order = np.lexsort((width, source, left[source]))
+        wide = model.longest + 1
+        order = np.argsort((left[source] * len(codes) + source) * wide + width)  # all different
         source, width, piece, weight = source[order], width[order], piece[order], weight[order]
         beta = np.zeros(len(codes) + 1)
         ends = left[source] == width
@@ -135,7 +142,7 @@ class _Lattice:
             value = weight[a:b] + np.where(ends[a:b], 0.0, beta[source[a:b] + width[a:b]])
             heads = np.flatnonzero(np.diff(source[a:b], prepend=-1))
             beta[source[a:b][heads]] = np.logaddexp.reduceat(value, heads)
-        order = np.lexsort((width, source))
+        order = np.argsort(source * wide + width)
         source, width, piece, weight, ends = (x[order] for x in (source, width, piece, weight, ends))
         # ids of an edge: its piece, or the bytes of its character
         spelled = {c: model.bytes[list(chr(c).encode("utf-8", "surrogatepass"))] for c in np.unique(-1 - piece[piece < 0]).tolist()}
@@ -152,12 +159,18 @@ class _Lattice:
         total = np.cumsum(chance)
         base = (total - chance)[self.first[:-1]]
         within = total - base[source]
-        self.upto = source + np.minimum(within / within[self.first[1:] - 1][source], 1.0)
-        self.below = np.where(np.arange(len(source)) == self.first[source], source, np.roll(self.upto, 1)) - source
+        self.below = (within - chance) / within[self.first[1:] - 1][source]
+        self.below[self.first[:-1]] = 0.0
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.upto, state + u, side="right")
-        return np.clip(at, self.first[state], self.first[state + 1] - 1)
+        """The last edge of each state whose chances before it sum up to no more than ``u``; long pieces are the
+        likely ones, so the search goes down from the last edge."""
+        at = self.first[state + 1] - 1
+        high = np.flatnonzero(self.below[at] > u)
+        while len(high):
+            at[high] -= 1
+            high = high[self.below[at[high]] > u[high]]
+        return at
 
 
 def _uniform(seed: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
@@ -192,8 +205,9 @@ def _open(prefix: np.ndarray, log_p: np.ndarray, ceiling: float, seed: int, salt
     ``prefix`` is the log-chance of the path before the edge. A set of mass m has Gumbel(log m) as maximum;
     given that it is below the ceiling c it is ``-log(exp(-c) + exp(-log m) * Exp(1))``.
     """
-    beside = np.log(np.maximum(-np.expm1(log_p), 0.0) + 1e-300)
-    beside[-np.expm1(log_p) < 1e-12] = -np.inf
+    mass = -np.expm1(log_p)
+    beside = np.log(np.maximum(mass, 0.0) + 1e-300)
+    beside[mass < 1e-12] = -np.inf
     noise = -np.log(_uniform(np.full(len(log_p), np.uint64(seed & (2**64 - 1))), np.arange(len(log_p)), salt))
     return -np.logaddexp(-ceiling, np.log(noise) - (prefix + beside))
 
@@ -280,7 +294,8 @@ def _ids_of(lattice: _Lattice, edges: np.ndarray) -> np.ndarray:
 def decode_ids(model: _Pieces, ids: np.ndarray) -> str:
     """The text of a list of ids: pieces joined, byte pieces as UTF-8, spaces for the space mark, less
     the one that encoding puts in front."""
-    return model.model.decode(ids.tolist())
+    text = b"".join(model.spelling[ids].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
 
 
 def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
@@ -289,14 +304,12 @@ def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
         for batch in pieces(batches, "text", 1 << 22):  # the more text, the fewer distinct units in proportion
             texts = [t or "" for t in batch.column("text").to_pylist()]
             seeds = np.asarray(batch.column("seed"))
-            numbers: dict[str, int] = {}
-            unit, bounds = [], [0]
+            shown, bounds = [], [0]
             for t in texts:
-                shown = model.model.normalize(t) if t else ""
-                found = _UNIT.findall(shown)
-                unit += [numbers.setdefault(x, len(numbers)) for x in found]
-                bounds.append(len(unit))
-            units = np.array(unit, np.int64)
+                shown += _UNIT.findall(model.model.normalize(t)) if t else []
+                bounds.append(len(shown))
+            numbers = {x: i for i, x in enumerate(dict.fromkeys(shown))}
+            units = np.fromiter(map(numbers.__getitem__, shown), np.int64, len(shown))
             rows: list[tuple] = []
             if len(units):
                 lattice = _Lattice(model, list(numbers))

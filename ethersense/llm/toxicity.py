@@ -156,7 +156,9 @@ def train_chain(
 
     small = sample.mapInArrow(only_chosen, sample.schema)
     kind = "category int, words array<long>, weights array<double>, earlier array<double>, bias double"
-    models = small.groupBy(F.lit(1).alias("all")).applyInArrow(lambda t: _train(n, folds, penalty)(t), kind).orderBy("category").collect()
+    # a sort in Spark would sample its input first, and so fit twice
+    models = small.groupBy(F.lit(1).alias("all")).applyInArrow(lambda t: _train(n, folds, penalty)(t), kind).collect()
+    models.sort(key=lambda m: m["category"])
     return Chain(
         names, tuple(np.array(m["words"], np.int64) for m in models), tuple(np.array(m["weights"]) for m in models),
         tuple(np.array(m["earlier"]) for m in models), tuple(m["bias"] for m in models),

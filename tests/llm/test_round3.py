@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ethersense.llm import conversations as cv
-from ethersense.llm import language, whitening
-from ethersense.llm.queries import op11_language, op12_whiten, op13_repair
+from ethersense.llm import ann, language, line_dedup, ngram_join, sentencepieces, toxicity, whitening
+from ethersense.llm.queries import op11_language, op12_whiten, op13_repair, tokenizer_path
 
 MARK = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -312,3 +313,93 @@ def test_auction_prices():
         whole = cv.block_traces([codes], np.array([ends], np.int64))
         if want[0] < cv.INF:
             assert (text, state) == (whole[1][0][0], whole[2][0][0]) and whole[0][0][0] == want[0]
+
+
+# -- earlier operators: extreme values and clashing names --------------------------------------------------------
+
+
+def test_nearest_of_extreme_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v * s]) for i, (v, s) in enumerate(zip(rng.normal(size=(60, 4)), [1e150, 1.0, 1e-150, 1e-200] * 15))]
+    rows += [(60, [1e308, 0.0, 0.0, 0.0]), (61, [5e-324, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for exact in (0, 1024):
+        got = ann.nearest_neighbours(df, every=20, k=5, exact_rows=exact).collect()
+        assert Counter(r["query_id"] for r in got) == {0: 5, 20: 5, 40: 5, 60: 5}
+
+
+def test_nearest_recall_of_the_hashed_path(spark):
+    """The table of sf0.1, with no band searched exactly."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    x = np.array([r["embedding"] for r in rows], float)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = {}
+    for r in ann.nearest_neighbours(df, every=20, k=20, exact_rows=0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0).tolist():
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = set(ids[np.argsort(-score)[:20]].tolist())
+        hit, total = hit + len(best & found[int(ids[q])]), total + 20
+    assert hit / total >= 0.9
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "mine", 7, [1], "r"), (2, text, "yours", 8, [2], "s"), (3, "\n".join([text, text]), "his", 9, None, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string, _rows int, _removed array<int>, _text_key string")
+    kept = ngram_join.keep_one(df).collect()
+    assert [tuple(r) for r in kept if r["doc_id"] == 1] == [rows[0]]
+    lines = {r["doc_id"]: r for r in line_dedup.drop_duplicate_lines(df).collect()}
+    assert lines[1]["text"] == text and lines[2]["text"] == "" and lines[3]["text"] == ""
+    assert {r["_text_key"] for r in lines.values()} == {"r", "s", "t"} and {r["_node"] for r in lines.values()} == {"mine", "yours", "his"}
+    assert list(lines[3]["_removed"]) == [0, 1]
+
+
+def plain_logistic(x, y, penalty):
+    """Newton steps on the penalised loss that ``toxicity._fit`` minimises, densely."""
+    w = np.zeros(x.shape[1] + 1)
+    dense = np.hstack([x, np.ones((len(x), 1))])
+    keep = np.append(np.full(x.shape[1], penalty), 0.0)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-dense @ w))
+        gradient = dense.T @ (p - y) / len(y) + keep * w
+        hessian = (dense * (p * (1 - p))[:, None]).T @ dense / len(y) + np.diag(keep + 1e-12)
+        w -= np.linalg.solve(hessian, gradient)
+    return w
+
+
+def test_chain_against_plain_logistic_models():
+    """Weights of the chain, and the out-of-fold probabilities they were fitted with, against dense Newton steps."""
+    rng = np.random.default_rng(6)
+    n, words, folds, penalty = 240, 12, 3, 1e-2
+    x = (rng.random((n, words)) < 0.3).astype(float)
+    junk = (rng.random(n) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1] - 0.5)))).astype(float)
+    toxic = (rng.random(n) < 1 / (1 + np.exp(-(2 * junk + 2 * x[:, 2] - 1.5)))).astype(float)
+    fold = rng.integers(0, folds, n)
+    table = pa.table({
+        "labels": pa.array(np.stack([junk, toxic], 1).tolist()), "fold": pa.array(fold.astype(np.int32)),
+        "words": pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int64())),
+    })
+    found = toxicity._train(2, folds, penalty)(table).to_pylist()
+
+    def chance(w, dense):
+        return 1 / (1 + np.exp(-(dense @ w[:-1] + w[-1])))
+
+    first = plain_logistic(x, junk, penalty)
+    assert np.allclose(found[0]["weights"], first[:-1], atol=5e-3) and abs(found[0]["bias"] - first[-1]) < 5e-3
+    held_out = np.zeros(n)
+    for f in range(folds):
+        held_out[fold == f] = chance(plain_logistic(x[fold != f], junk[fold != f], penalty), x[fold == f])
+    second = plain_logistic(np.hstack([x, held_out[:, None]]), toxic, penalty)
+    assert np.allclose(found[1]["weights"], second[:words], atol=5e-3)
+    assert abs(found[1]["earlier"][0] - second[words]) < 5e-3 and abs(found[1]["bias"] - second[-1]) < 5e-3
+
+
+def test_decoding_by_table():
+    model = sentencepieces._load(tokenizer_path("piece_bpe_32k.model"), 1.0)
+    for text in ("Hello  world", "a\nb", "日本語 € é", "x" * 300, " lead", "tail ", "\t tab"):
+        ids = np.array(model.model.encode(text))
+        assert sentencepieces.decode_ids(model, ids) == model.model.decode(ids.tolist())
