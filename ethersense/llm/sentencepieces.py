@@ -25,6 +25,7 @@ _UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 _CHAR = np.uint64(0xD6E8FEB86659FD93)
+_WORD = (1 << 64) - 1
 
 
 class _Pieces:
@@ -67,7 +68,7 @@ class _Pieces:
             begun = sorted({x[:length] for x in names if len(x) >= length})
             h = self.hashes(begun, length)
             order = np.argsort(h)
-            self.starts.append((h[order], np.array([number.get(x, -1) for x in begun], np.int64)[order]))
+            self.starts.append((_Lookup(h[order]), np.array([number.get(x, -1) for x in begun], np.int64)[order]))
 
     @staticmethod
     def hashes(texts: list[str], length: int) -> np.ndarray:
@@ -85,12 +86,25 @@ def _load(path: str, sharpness: float) -> _Pieces:
     return _Pieces(path, sharpness)
 
 
-def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted value, or -1."""
-    if not len(sorted_values):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == wanted, at, -1)
+class _Lookup:
+    """Where a hash stands among sorted ones, by its first bits."""
+
+    BITS = 17
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.append(values, np.uint64(_WORD))
+        head = (values >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.first = np.searchsorted(head, np.arange(1 << self.BITS)).astype(np.int32)
+        self.longest = int(np.bincount(head).max(initial=0))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each wanted value, or -1."""
+        at = self.first[(wanted >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        found = np.full(len(wanted), -1)
+        for i in range(self.longest):
+            place = np.minimum(at + i, len(self.values) - 1)
+            found[self.values[place] == wanted] = i
+        return np.where(found >= 0, at + found, -1)
 
 
 class _Lattice:
@@ -114,7 +128,7 @@ class _Lattice:
             alive, h = alive[inside], h[inside]
             h = (h + codes[alive + length - 1] + np.uint64(1)) * _CHAR
             table, index = model.starts[length - 1]
-            at = _find(table, h)
+            at = table.find(h)
             grow = np.flatnonzero(at >= 0)
             alive, h, found = alive[grow], h[grow], index[at[grow]]
             hit = np.flatnonzero(found >= 0)
@@ -179,6 +193,15 @@ def _uniform(seed: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
+def _uniform_one(seed: int, a: int, b: int) -> float:
+    """``_uniform`` of single numbers."""
+    x = (seed + a * int(_STEP) + b * int(_SPREAD)) & _WORD
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _WORD
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _WORD
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) / 2.0**53
+
+
 def _paths(lattice: _Lattice, unit: np.ndarray, seed: np.ndarray, salt: int):
     """One random path through every unit occurrence: its edges in order, and where each occurrence begins."""
     state, who, step = lattice.start[unit], np.arange(len(unit)), 0
@@ -199,20 +222,46 @@ def _paths(lattice: _Lattice, unit: np.ndarray, seed: np.ndarray, salt: int):
     return flat, begin
 
 
-def _open(prefix: np.ndarray, log_p: np.ndarray, ceiling: float, seed: int, salt: int) -> np.ndarray:
+def _open(prefix: np.ndarray, log_p: np.ndarray, ceiling, seed: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
     """Noisy maxima of the sets beside each edge of a path, all below ``ceiling``.
 
     ``prefix`` is the log-chance of the path before the edge. A set of mass m has Gumbel(log m) as maximum;
-    given that it is below the ceiling c it is ``-log(exp(-c) + exp(-log m) * Exp(1))``.
+    given that it is below the ceiling c it is ``-log(exp(-c) + exp(-log m) * Exp(1))``. Every entry is computed on its
+    own, so paths of several rows may stand side by side.
     """
     mass = -np.expm1(log_p)
     beside = np.log(np.maximum(mass, 0.0) + 1e-300)
     beside[mass < 1e-12] = -np.inf
-    noise = -np.log(_uniform(np.full(len(log_p), np.uint64(seed & (2**64 - 1))), np.arange(len(log_p)), salt))
+    noise = -np.log(_uniform(seed, place, salt))
     return -np.logaddexp(-ceiling, np.log(noise) - (prefix + beside))
 
 
-def _sample_row(lattice: _Lattice, fresh: list[tuple], units: tuple[int, int], seed: int, k: int):
+class _Start:
+    """Of every row its best segmentation, with the maxima of the sets beside it."""
+
+    def __init__(self, lattice: _Lattice, path: tuple[np.ndarray, np.ndarray], bounds: list[int], seeds: np.ndarray) -> None:
+        flat, begin = path
+        edges = begin[np.array(bounds)]
+        size = np.diff(edges)
+        self.flat, self.edges = flat, edges.tolist()
+        self.log_p = lattice.log_p[flat]
+        row = np.repeat(np.arange(len(size)), size)
+        words = seeds.view(np.uint64)
+        self.top = -np.log(-np.log(_uniform(words, np.zeros(len(words)), 1)))
+        # sums of a row never run through its neighbours
+        self.before = [np.concatenate([[0.0], np.cumsum(self.log_p[a:b])]) for a, b in zip(self.edges, self.edges[1:])]
+        prefix = np.concatenate([b[:-1] for b in self.before]) if len(flat) else np.empty(0)
+        self.opened = _open(prefix, self.log_p, self.top[row], words[row], np.arange(len(flat)) - edges[:-1][row], 2)
+
+
+def _draw_one(lattice: _Lattice, state: int, u: float) -> int:
+    at = int(lattice.first[state + 1]) - 1
+    while lattice.below[at] > u:
+        at -= 1
+    return at
+
+
+def _sample_row(lattice: _Lattice, start: _Start, i: int, fresh: list[tuple], units: tuple[int, int], seed: int, k: int):
     """The ``k`` best noisy segmentations of one row: (edges, log-probability, noisy score), and the next score."""
     u0, u1 = units
 
@@ -220,14 +269,12 @@ def _sample_row(lattice: _Lattice, fresh: list[tuple], units: tuple[int, int], s
         flat, begin = fresh[r]
         return flat[begin[frm] : begin[u1]]
 
-    first = fresh_path(0, u0)
-    u = float(_uniform(np.array([seed & (2**64 - 1)], np.uint64), np.zeros(1), 1)[0])
-    top = -np.log(-np.log(u))
-    log_p = lattice.log_p[first]
-    before = np.concatenate([[0.0], np.cumsum(log_p)])
+    seed &= _WORD
+    lo, hi = start.edges[i], start.edges[i + 1]
+    first, before, top = start.flat[lo:hi], start.before[i], float(start.top[i])
     paths = [(first, before[-1], top)]
     # agenda: per path the maxima of the sets beside its edges; chosen: edges taken out of a set
-    agenda = [(first, before, _open(before[:-1], log_p, top, seed, 2))]
+    agenda = [(first, before, start.opened[lo:hi])]
     chosen: dict[tuple[int, int], list[int]] = {}
     for r in range(1, k + 1):
         best = max(range(len(agenda)), key=lambda i: agenda[i][2].max() if len(agenda[i][2]) else -np.inf)
@@ -240,32 +287,31 @@ def _sample_row(lattice: _Lattice, fresh: list[tuple], units: tuple[int, int], s
             return paths, top
         taken = chosen.setdefault((best, at), [int(edges[at])])
         state = int(np.searchsorted(lattice.first, edges[at], side="right")) - 1
-        lo, hi = int(lattice.first[state]), int(lattice.first[state + 1])
-        options = [e for e in range(lo, hi) if e not in taken]
+        options = [e for e in range(int(lattice.first[state]), int(lattice.first[state + 1])) if e not in taken]
         mass = np.exp(lattice.log_p[options])
-        u = float(_uniform(np.array([seed & (2**64 - 1)], np.uint64), np.full(1, r), 3)[0])
+        u = _uniform_one(seed, r, 3)
         edge = options[min(int(np.searchsorted(np.cumsum(mass), u * mass.sum(), side="right")), len(options) - 1)]
         taken.append(edge)
         rest = [e for e in options if e != edge]
         # what is left beside this edge stays in the agenda below the score just taken
         if rest:
             log_mass = float(np.log(np.exp(lattice.log_p[rest]).sum() + 1e-300))
-            noise = -np.log(float(_uniform(np.array([seed & (2**64 - 1)], np.uint64), np.full(1, r), 4)[0]))
+            noise = -np.log(_uniform_one(seed, r, 4))
             score[at] = -np.logaddexp(-top, np.log(noise) - (before[at] + log_mass))
         else:
             score[at] = -np.inf
         # finish the unit piece by piece, then go on with fresh paths of the later units
-        tail, step = [edge], 0
+        tail = [edge]
         while lattice.to[tail[-1]] >= 0:
-            u = _uniform(np.array([seed & (2**64 - 1)], np.uint64), np.full(1, step), 100 + r)
-            tail.append(int(lattice.draw(np.array([lattice.to[tail[-1]]]), u)[0]))
-            step += 1
-        unit = u0 + int((lattice.to[edges[:at]] < 0).sum())
+            tail.append(_draw_one(lattice, int(lattice.to[tail[-1]]), _uniform_one(seed, len(tail) - 1, 100 + r)))
+        unit = u0 + int(np.count_nonzero(lattice.to[edges[:at]] < 0))
         path = np.concatenate([edges[:at], tail, fresh_path(r, unit + 1)]).astype(np.int64)
-        log_p = lattice.log_p[path]
-        before_new = np.concatenate([[0.0], np.cumsum(log_p)])
+        log_p = lattice.log_p[path[at:]]
+        before_new = np.concatenate([before[: at + 1], before[at] + np.cumsum(log_p)])
         opened = np.full(len(path), -np.inf)
-        opened[at + 1 :] = _open(before_new[at + 1 : -1], log_p[at + 1 :], top, seed, 10 + r)
+        later = len(path) - at - 1
+        opened[at + 1 :] = _open(
+            before_new[at + 1 : -1], log_p[1:], top, np.full(later, np.uint64(seed)), np.arange(later), 10 + r)
         paths.append((path, before_new[-1], top))
         agenda.append((path, before_new, opened))
     return paths, -np.inf
@@ -318,11 +364,12 @@ def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
                 place = (np.arange(len(units)) - np.repeat(np.array(bounds[:-1]), size)).astype(np.uint64)
                 seed = mix64(mix64(seeds.view(np.uint64))[row] + place * _STEP)
                 fresh = [_paths(lattice, units, seed, r) for r in range(k)]
+                start = _Start(lattice, fresh[0], bounds, seeds)
             for i, t in enumerate(texts):
                 if bounds[i] == bounds[i + 1]:
                     rows.append((i, 1, np.empty(0, np.int64), 0.0, 1.0, True, 0.0))
                     continue
-                found, bar = _sample_row(lattice, fresh, (bounds[i], bounds[i + 1]), int(seeds[i]), k)
+                found, bar = _sample_row(lattice, start, i, fresh, (bounds[i], bounds[i + 1]), int(seeds[i]), k)
                 for s, (edges, log_p, _) in enumerate(found):
                     ids = _ids_of(lattice, edges)
                     gap = log_p - bar
