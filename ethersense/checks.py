@@ -1237,6 +1237,103 @@ _train_query("train_oza_boost", "oza_boost")
 _train_query("train_oza_adwin", "oza_boost_adwin")
 
 
+# --- one chunk in SQL ------------------------------------------------------------------------
+
+ONE_CHUNK = learn.LearnerSettings(chunks=1)
+_NUMBERS = ("data_rate", "data_size", "hour", "ssi")
+
+
+def _below(z: str) -> str:
+    """Share of a normal distribution below ``z``, by the same approximation as the learner's."""
+    t = f"(1 / (1 + 0.2316419::DOUBLE * abs({z})))"
+    poly = (f"{t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE"
+            f" + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))")
+    tail = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {poly})"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def _entropy(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} * log2({x}) ELSE 0 END"
+
+
+def _stump_sql(members: str, weight: str) -> str:
+    """The trees after one chunk: every member is a leaf that was tested once, and split if the bound allows it.
+
+    ``members`` is a FROM item with the column ``member``; ``weight`` the weight of a row for a member.
+    """
+    s = ONE_CHUNK
+    values = ", ".join(f"('{n}', coalesce(w.{n}, -1)::DOUBLE)" for n in _NUMBERS)
+    codes = ", ".join(f"('{n}', coalesce(w.{n}::VARCHAR, 'missing'))" for n in ("frame_type", "frame_subtype"))
+    return FEAT + f""",
+trainable AS (SELECT *, CASE WHEN (coalesce(ssi, -99) > -60 AND coalesce(frame_type, 2) = 2) <> (packet_index % 10 = 0)
+                             THEN 'target' ELSE 'other' END AS label FROM feats),
+w AS (SELECT t.*, m.member, {weight} AS w FROM trainable t CROSS JOIN {members}),
+totals AS (SELECT member, label, sum(w) AS w FROM w GROUP BY ALL),
+leafs AS (SELECT member, sum(w) AS total, sum({_entropy('w')}) AS total_wlw, count(*) AS labels FROM totals GROUP BY member),
+moments AS (SELECT w.member, w.label, v.feature, sum(w.w) AS w, sum(w.w * v.x) / sum(w.w) AS mean, sum(w.w * v.x * v.x) / sum(w.w) AS square,
+              min(v.x) FILTER (w.w > 0) AS lo, max(v.x) FILTER (w.w > 0) AS hi
+            FROM w, LATERAL (VALUES {values}) AS v(feature, x) GROUP BY ALL),
+ranged AS (SELECT *, min(lo) OVER (PARTITION BY member, feature) AS low, max(hi) OVER (PARTITION BY member, feature) AS high FROM moments),
+steps AS (SELECT *, low + (high - low) * i / {s.cut_points + 1} AS threshold FROM ranged, range(1, {s.cut_points + 1}) AS r(i) WHERE w > 0 AND high > low),
+scaled AS (SELECT *, (threshold - mean) / greatest(sqrt(greatest(square - mean * mean, 0)), 1e-9) AS z FROM steps),
+sides AS (
+  SELECT member, feature, 'number' AS kind, threshold, NULL::VARCHAR AS code, label, w AS t,
+         w * CASE WHEN threshold < lo THEN 0 WHEN threshold >= hi THEN 1 ELSE {_below('z')} END AS l FROM scaled
+  UNION ALL
+  SELECT member, feature, 'code', NULL, code, label, sum(l) OVER (PARTITION BY member, feature, label), l FROM (
+    SELECT w.member, v.feature, v.code, w.label, sum(w.w) AS l FROM w, LATERAL (VALUES {codes}) AS v(feature, code) GROUP BY ALL)),
+options AS (SELECT member, feature, kind, threshold, code, sum(l) AS lw, sum({_entropy('l')}) AS left_wlw,
+              sum({_entropy('greatest(t - l, 0)')} - ({_entropy('t')})) AS shift,
+              coalesce(sum(l) FILTER (label = 'other'), 0) AS left_other, coalesce(sum(l) FILTER (label = 'target'), 0) AS left_target
+            FROM sides GROUP BY ALL),
+judged AS (SELECT o.*, total, ((log2(total) * total - total_wlw) - (log2(lw) * lw - left_wlw)
+             - (log2(total - lw) * (total - lw) - (total_wlw + shift))) / total AS gain
+           FROM options o JOIN leafs USING (member) WHERE lw >= {s.min_branch} * total AND total - lw >= {s.min_branch} * total),
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (
+           PARTITION BY member, feature ORDER BY gain DESC, coalesce(threshold, 0) DESC, coalesce(code, '') DESC) = 1),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY gain DESC, feature DESC) AS rank,
+                 lead(gain) OVER (PARTITION BY member ORDER BY gain DESC, feature DESC) AS second FROM best),
+roots AS (SELECT l.member, b.*EXCLUDE (member, total), l.total, coalesce(b.gain > 0 AND l.total >= {s.grace_weight} AND (
+            b.gain - greatest(coalesce(second, 0), 0) > bound OR bound < {s.tie}), false) AS split
+          FROM (SELECT *, sqrt(log2(greatest(labels, 2)) ** 2 * ln(1 / {s.delta}::DOUBLE) / (2 * total)) AS bound FROM leafs) l
+          LEFT JOIN (SELECT * FROM ranks WHERE rank = 1) b USING (member)),
+sums AS (SELECT member, coalesce(sum(w) FILTER (label = 'other'), 0) AS other, coalesce(sum(w) FILTER (label = 'target'), 0) AS target
+         FROM totals GROUP BY member),
+nodes AS (
+  SELECT member, 0 AS node_id, CASE WHEN split THEN feature END AS feature, CASE WHEN split THEN threshold END AS threshold,
+         CASE WHEN split THEN code END AS code, CASE WHEN split THEN 1 END AS "left", CASE WHEN split THEN 2 END AS "right",
+         other, target FROM roots JOIN sums USING (member)
+  UNION ALL SELECT member, 1, NULL, NULL, NULL, NULL, NULL, left_other, left_target FROM roots WHERE split
+  UNION ALL SELECT member, 2, NULL, NULL, NULL, NULL, NULL, greatest(other - left_other, 0), greatest(target - left_target, 0)
+  FROM roots JOIN sums USING (member) WHERE split)
+SELECT member::INT AS member, node_id::INT AS node_id, feature, round(threshold, 6) AS threshold, code, "left"::INT AS "left", "right"::INT AS "right",
+       round(other, 4) AS other, round(target, 4) AS target FROM nodes"""
+
+
+def _stump_query(name: str, model_id: str, members: str, weight: str, attach=None) -> None:
+    @query(name, _stump_sql(members, weight))
+    def _(spark, sf):
+        """The trees after all rows as one chunk."""
+        rows = _trainable(spark, sf)
+        rows = rows if attach is None else attach(rows)
+        model, _rows = learn.train(rows, model_id, settings=ONE_CHUNK, weight=None if attach is None else "sample_weight")
+        share = lambda c: F.round(F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)), 4).alias(c)
+        return trees.node_table(spark, model).select(
+            "member", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "code", "left", "right", share("other"), share("target"))
+
+
+_TEN = "(SELECT unnest(range(10)) AS member) m"
+_DRAW = ("(SELECT " + _LADDER + " FROM (SELECT ('0x' || substr(md5('42.' || (m.member // 4) || '-0-' || t.packet_index),"
+         " 1 + 8 * (m.member % 4)::INT, 8))::BIGINT AS u))::DOUBLE")
+_stump_query("train_hoeffding_chunk", "adaptive_hoeffding_tree", "(SELECT 0 AS member) m", "1.0::DOUBLE")
+_stump_query("train_leveraging_chunk", "leveraging_bag", _TEN, _DRAW)
+_stump_query("train_boost_chunk", "oza_boost", _TEN, "1.0::DOUBLE")
+_stump_query("train_boost_adwin_chunk", "oza_boost_adwin", _TEN, "1.0::DOUBLE")
+_stump_query(
+    "train_weighted_chunk", "adaptive_hoeffding_tree", "(SELECT 0 AS member) m",
+    "(SELECT count(*) FROM trainable)::DOUBLE / (2 * (SELECT count(*) FROM trainable o WHERE o.label = t.label))", sampling.class_weights)
+
+
 def _small_model(spark, sf):
     return learn.train(_trainable(spark, sf), "adaptive_hoeffding_tree", settings=FAST)
 
@@ -1316,14 +1413,20 @@ def _(spark, sf):
     metrics, _preds = jobs.evaluate_holdout(
         sampling.chronological_split(_trainable(spark, sf), 0.9), "adaptive_hoeffding_tree",
         settings=FAST)
-    return metrics
+    return _shown(metrics)
+
+
+def _shown(metrics: DataFrame) -> DataFrame:
+    """A metrics document with its nested parts as JSON text."""
+    nested = ("labels", "per_class", "confusion_matrix")
+    return metrics.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in metrics.columns])
 
 
 @query("eval_prequential")
 def _(spark, sf):
     _model, preds = learn.prequential(
         _trainable(spark, sf), "adaptive_hoeffding_tree", settings=FAST)
-    return jobs.prediction_metrics(preds)
+    return _shown(jobs.prediction_metrics(preds))
 
 
 @query("comparison_plan", FRACTION_SQL + """
@@ -1338,8 +1441,7 @@ def _(spark, sf):
 @query("compare_models")
 def _(spark, sf):
     results = jobs.compare_models(
-        _trainable(spark, sf), list(learn.MODEL_MAPPINGS), [0.5],
-        settings=learn.LearnerSettings(chunks=2, n_models=2))
+        _trainable(spark, sf), list(learn.MODEL_MAPPINGS), FRACTIONS, settings=FAST)
     return jobs.top_by_f1(results)
 
 

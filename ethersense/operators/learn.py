@@ -332,20 +332,19 @@ def split_tests(
 
 
 def window_cut(series: list[tuple[float, float]], delta: float) -> int | None:
-    """Adaptive windowing over (rows, errors) per chunk: where the old part should be dropped."""
-    n_all = sum(n for n, _ in series)
+    """Adaptive windowing over (rows, errors) per bucket, oldest first: where the old part should be dropped."""
+    n_all, e_all = sum(n for n, _ in series), sum(e for _, e in series)
     if n_all <= 0:
         return None
-    mean_all = sum(e for _, e in series) / n_all
+    mean_all = e_all / n_all
     spread = mean_all * (1 - mean_all)
     log_term = math.log(2 * math.log(max(n_all, 3)) / delta)
     n0 = e0 = 0.0
     for i, (n, e) in enumerate(series[:-1], 1):
         n0, e0 = n0 + n, e0 + e
-        n1 = n_all - n0
+        n1, e1 = n_all - n0, e_all - e0
         if n0 <= 0 or n1 <= 0:
             continue
-        e1 = sum(x for _, x in series) - e0
         m = 1 / (1 / n0 + 1 / n1)
         bound = math.sqrt(2 / m * spread * log_term) + 2 / (3 * m) * log_term
         if abs(e0 / n0 - e1 / n1) > bound:
@@ -353,29 +352,75 @@ def window_cut(series: list[tuple[float, float]], delta: float) -> int | None:
     return None
 
 
+class ErrorWindow:
+    """An adaptive window whose memory is logarithmic in the chunks it spans.
+
+    Buckets of level ``k`` sum up ``2**k`` chunks. At most ``PER_LEVEL`` of a level are kept; with one more, the two
+    oldest become one of the next level. The window is cut between buckets, from the oldest on.
+    """
+
+    PER_LEVEL = 5
+
+    def __init__(self) -> None:
+        self.levels: list[list[tuple[float, float]]] = []  # by level, oldest first
+
+    def buckets(self) -> list[tuple[float, float]]:
+        return [b for level in reversed(self.levels) for b in level]
+
+    def add(self, rows: float, errors: float) -> None:
+        carried, level = [(rows, errors)], 0
+        while carried:
+            if level == len(self.levels):
+                self.levels.append([])
+            own = self.levels[level]
+            own += carried
+            carried = []
+            if len(own) > self.PER_LEVEL:
+                (n0, e0), (n1, e1) = own[:2]
+                del own[:2]
+                carried = [(n0 + n1, e0 + e1)]
+            level += 1
+
+    def drop(self, count: int) -> None:
+        """Forgets the ``count`` oldest buckets."""
+        for level in reversed(self.levels):
+            gone = min(count, len(level))
+            del level[:gone]
+            count -= gone
+        while self.levels and not self.levels[-1]:
+            self.levels.pop()
+
+    def mean(self) -> float:
+        values = self.buckets()
+        return sum(e for _, e in values) / max(sum(n for n, _ in values), 1e-9)
+
+
 class DriftMonitor:
+    """One adaptive error window per tree or node."""
+
     def __init__(self, delta: float) -> None:
         self.delta = delta
-        self.series: dict[tuple[int, int], list[tuple[float, float]]] = defaultdict(list)
+        self.windows: dict[tuple[int, int], ErrorWindow] = defaultdict(ErrorWindow)
 
     def update(self, key: tuple[int, int], rows: float, errors: float) -> bool:
         """True when the recent error is significantly higher than the older one."""
         if rows <= 0:
             return False
-        values = self.series[key]
-        values.append((rows, errors))
+        window = self.windows[key]
+        window.add(rows, errors)
         worse = False
-        while (at := window_cut(values, self.delta)) is not None:
-            old, new = values[:at], values[at:]
-            rate_old = sum(e for _, e in old) / max(sum(n for n, _ in old), 1e-9)
-            rate_new = sum(e for _, e in new) / max(sum(n for n, _ in new), 1e-9)
-            worse = worse or rate_new > rate_old
-            del values[:at]
+        while (at := window_cut(window.buckets(), self.delta)) is not None:
+            before = window.buckets()[:at]
+            window.drop(at)
+            rate = sum(e for _, e in before) / max(sum(n for n, _ in before), 1e-9)
+            worse = worse or window.mean() > rate
         return worse
 
     def mean(self, key: tuple[int, int]) -> float:
-        values = self.series[key]
-        return sum(e for _, e in values) / max(sum(n for n, _ in values), 1e-9)
+        return self.windows[key].mean()
+
+    def forget(self, key: tuple[int, int]) -> None:
+        self.windows.pop(key, None)
 
 
 def _add(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
@@ -467,7 +512,7 @@ def _react_to_drift(model: Model, errors: dict[int, dict[int, tuple[float, float
         # ids are never reused, so stored statistics of the dropped tree stay out of the new one
         model.trees[m] = Tree(nodes={old.next_id: root}, root=old.next_id, next_id=old.next_id + 1)
         model.right_weight[m] = model.wrong_weight[m] = 0.0
-        monitor.series.pop((m, -1), None)
+        monitor.forget((m, -1))
 
 
 # --- jobs ------------------------------------------------------------------------------------
@@ -478,38 +523,53 @@ def _last_position(placed: DataFrame) -> DataFrame:
     return placed.agg((F.coalesce(F.max("frame_pos"), F.lit(0)) + 1).alias("_total"))
 
 
-def training_table(
-    rows: DataFrame,
-    features: FeatureSettings,
-    *,
-    chunks: int,
-    label: str = "label",
-    weight: str | None = None,
-    keep: tuple[str, ...] = (),
+def _inputs_of(
+    rows: DataFrame, features: FeatureSettings, label: str, weight: str | None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Labelled model inputs stored by chunk, so every pass reads only its own chunk."""
+    """Labelled rows with their place, label, weight and model inputs."""
     placed = ensure_position(rows.where(F.col(label).isNotNull()))
     if "file_ordinal" not in placed.columns:
         placed = placed.withColumn("file_ordinal", F.lit(0))
-    total = _last_position(placed)
-    inputs = model_inputs(placed, features)
     share = F.lit(1.0) if weight is None else F.coalesce(
         column_or_null(placed, weight, "double"), F.lit(1.0))
-    out = placed.crossJoin(F.broadcast(total)).select(
+    return placed.select(
         *PACKET_ORDER, "frame_pos",
         F.col(label).cast("string").alias("label"), share.cast("double").alias("weight"),
-        *[c.alias(n) for n, c in inputs.items()],
+        *[c.alias(n) for n, c in model_inputs(placed, features).items()],
         *[F.col(c).alias(f"row_{c}") for c in keep],
-        F.floor(F.col("frame_pos") * chunks / F.col("_total")).cast("int").alias("chunk"),
     )
+
+
+def training_inputs(
+    rows: DataFrame, features: FeatureSettings, *, label: str = "label", weight: str | None = None
+) -> DataFrame:
+    """Labelled model inputs stored once in file order; every prefix of it can be trained on (``train_prefix``), as a
+    range of positions only touches the files and row groups it lies in."""
+    placed = _inputs_of(rows, features, label, weight)
+    return materialise(placed.repartitionByRange("frame_pos").sortWithinPartitions("frame_pos"), "training-inputs")
+
+
+def training_table(
+    rows: DataFrame,
+    features: FeatureSettings,
+    *,
+    chunks: int,
+    label: str = "label",
+    weight: str | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Labelled model inputs stored by chunk, so every pass reads only its own chunk."""
+    placed = _inputs_of(rows, features, label, weight, keep)
+    chunk = F.floor(F.col("frame_pos") * chunks / F.col("_total")).cast("int")
+    out = placed.crossJoin(F.broadcast(_last_position(placed))).withColumn("chunk", chunk).drop("_total")
     return materialise(out, "training-rows", ("chunk",))
 
 
-def learn_chunk(table: DataFrame, chunk: int, model: Model, monitor: DriftMonitor,
+def learn_chunk(rows: DataFrame, chunk: int, model: Model, monitor: DriftMonitor,
                 settings: LearnerSettings, store: str) -> int:
-    """Learn one chunk and edit the model; returns the rows learned."""
-    spark = table.sparkSession
-    cells = leaf_cells(table.where(F.col("chunk") == chunk), model)
+    """Learn the rows of one chunk and edit the model; returns the rows learned."""
+    spark = rows.sparkSession
+    cells = leaf_cells(rows, model)
     cells.write.parquet(f"{store}/chunk={chunk}")
     # statistics of a leaf live in the chunks since it was created
     history = spark.read.option("basePath", store).schema(cells.schema).parquet(
@@ -518,7 +578,8 @@ def learn_chunk(table: DataFrame, chunk: int, model: Model, monitor: DriftMonito
     current = local_frame(spark, active, "member int, leaf int")
     fresh = F.col("chunk") == chunk
     mine = history.join(F.broadcast(current), ["member", "leaf"])
-    tests = split_tests(mine, model, settings, fresh).collect()
+    # new nodes are numbered in this order, so it must not depend on how the rows were dealt
+    tests = sorted(split_tests(mine, model, settings, fresh).collect(), key=lambda r: (r["member"], r["leaf"]))
     errors: dict[int, dict[int, tuple[float, float]]] = defaultdict(dict)
     learned = 0
     for r in tests:
@@ -544,15 +605,34 @@ def train(
 ) -> tuple[Model, int]:
     """Train in file order; returns the model and the number of rows learned."""
     table = training_table(rows, features, chunks=settings.chunks, label=label, weight=weight)
-    model = new_model(model_id, features, n_models=settings.n_models, seed=seed)
+    parts = [table.where(F.col("chunk") == c) for c in range(settings.chunks)]
+    return _learn(parts, new_model(model_id, features, n_models=settings.n_models, seed=seed), settings)
+
+
+def _learn(parts: list[DataFrame], model: Model, settings: LearnerSettings) -> tuple[Model, int]:
     monitor = DriftMonitor(settings.drift_delta)
-    store = work_path(rows.sparkSession, "leaf-cells")
-    learned = sum(
-        learn_chunk(table, c, model, monitor, settings, store) for c in range(settings.chunks)
-    )
+    store = work_path(parts[0].sparkSession, "leaf-cells")
+    learned = sum(learn_chunk(rows, c, model, monitor, settings, store) for c, rows in enumerate(parts))
     return model, learned
 
 
+def train_prefix(
+    inputs: DataFrame,
+    end: int,
+    model_id: str,
+    features: FeatureSettings = FeatureSettings(),
+    settings: LearnerSettings = LearnerSettings(),
+    *,
+    seed: int = 42,
+) -> tuple[Model, int]:
+    """As ``train`` on the rows of ``training_inputs`` that stand before position ``end``, without a copy of them."""
+    last = inputs.where(F.col("frame_pos") < end).agg(F.max("frame_pos")).first()[0]
+    total = 1 if last is None else last + 1
+    edges = [-(-c * total // settings.chunks) for c in range(settings.chunks + 1)]
+    parts = [inputs.where((F.col("frame_pos") >= lo) & (F.col("frame_pos") < hi)) for lo, hi in zip(edges, edges[1:])]
+    return _learn(parts, new_model(model_id, features, n_models=settings.n_models, seed=seed), settings)
+
+
 def prequential(
     rows: DataFrame,
     model_id: str,
@@ -590,6 +670,6 @@ def prequential(
         scored = classify(stored.where(F.col("chunk") == c), model, features, label=label)
         schema = scored.schema
         scored.write.parquet(f"{out}/part={c}")
-        learn_chunk(table, c, model, monitor, settings, store)
+        learn_chunk(table.where(F.col("chunk") == c), c, model, monitor, settings, store)
     return model, spark.read.schema(schema).parquet(
         *[f"{out}/part={c}" for c in range(settings.chunks)])

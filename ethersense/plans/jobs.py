@@ -15,7 +15,7 @@ from ethersense.operators import evaluate as ev
 from ethersense.operators import inspect as ins
 from ethersense.operators.filters import FilterSettings, apply_filters, parse_ok
 from ethersense.operators.labels import LabelSettings, assign_labels
-from ethersense.operators.learn import MODEL_MAPPINGS, LearnerSettings, train
+from ethersense.operators.learn import MODEL_MAPPINGS, LearnerSettings, train, train_prefix, training_inputs
 from ethersense.operators.position import add_position
 from ethersense.operators.sampling import fraction_cuts, split
 from ethersense.operators.trees import Model, classify, save_model
@@ -210,19 +210,32 @@ def compare_models(
     seed: int = 42,
     parallel: int = 4,
 ) -> DataFrame:
-    """One row per model and fraction. Cells run as concurrent Spark jobs over one stored set."""
+    """One row per model and fraction. Cells run as concurrent Spark jobs.
+
+    A chronological train part is a prefix of the file order, so all cells learn from one stored table of inputs; a
+    shuffled one is a set of its own per fraction.
+    """
     spark = rows.sparkSession
     if not rows.head(1):
         raise ValueError("the labelled dataset has no rows")
     stored = materialise(add_position(rows.drop("frame_pos")), "comparison-rows")
+    total = stored.count()
+    inputs = training_inputs(stored, features, weight=weight) if chronological else None
+
+    def judged(model_id: str, fraction: float) -> DataFrame:
+        if inputs is None:
+            parts = split(stored, fraction, chronological=False, seed=seed)
+            metrics, _ = evaluate_holdout(
+                parts, model_id, features, settings, weight=weight, positive_label=positive_label, seed=seed)
+            return metrics
+        cut = int(total * float(fraction))
+        model, learned = train_prefix(inputs, cut, model_id, features, settings, seed=seed)
+        test = stored.where((F.col("frame_pos") >= cut) & F.col("label").isNotNull())
+        return prediction_metrics(classify(test, model, features), positive_label).withColumn("train_examples", F.lit(learned))
 
     def cell(model_id: str, fraction: float) -> tuple:
         started = time.perf_counter()
-        parts = split(stored, fraction, chronological=chronological, seed=seed)
-        metrics, _ = evaluate_holdout(
-            parts, model_id, features, settings, weight=weight, positive_label=positive_label,
-            seed=seed)
-        m = metrics.first()
+        m = judged(model_id, fraction).first()
         values = [m[c] for c in ("accuracy", "precision", "recall", "f1", "mcc", "roc_auc",
                                  "pr_auc")]
         return (model_id, float(fraction), int(m["train_examples"]), int(m["n_examples"]),

@@ -1,7 +1,10 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from ethersense.operators import learn, trees
+from ethersense.operators import learn, sampling, trees
 from ethersense.operators.learn import LearnerSettings
 from ethersense.plans import jobs
 from ethersense.session import work_path
@@ -125,3 +128,78 @@ def test_comparison(spark, rows):
         ("adaptive_hoeffding_tree", 3000, 3000), ("oza_boost", 3000, 3000)]
     with pytest.raises(ValueError):
         jobs.comparison_plan(rows, ["nope"], [0.5])
+
+
+def drifting(seed, n=300):
+    rng = random.Random(seed)
+    out, rate = [], 0.1
+    for _ in range(n):
+        if rng.random() < 0.02:
+            rate = rng.choice([0.05, 0.1, 0.3, 0.5])
+        rows = rng.randrange(200, 400)
+        out.append((float(rows), float(sum(rng.random() < rate for _ in range(rows)))))
+    return out
+
+
+def test_error_window_is_the_series_in_few_buckets():
+    """Buckets are sums of neighbouring chunks, few of them, and raise the alarms of the plain rule on the whole
+    series; where a cut would fall inside a bucket one may be missed."""
+    missed = 0
+    for seed in range(6):
+        series = drifting(seed)
+        window, monitor = learn.ErrorWindow(), learn.DriftMonitor(0.002)
+        plain, alarms, plain_alarms = [], set(), set()
+        for i, (n, e) in enumerate(series):
+            window.add(n, e)
+            if monitor.update((0, 0), n, e):
+                alarms.add(i)
+            plain.append((n, e))
+            while (at := learn.window_cut(plain, 0.002)) is not None:
+                old, new = plain[:at], plain[at:]
+                if sum(e for _, e in new) / sum(n for n, _ in new) > sum(e for _, e in old) / sum(n for n, _ in old):
+                    plain_alarms.add(i)
+                del plain[:at]
+        buckets = window.buckets()
+        assert len(buckets) <= 5 * (math.log2(len(series)) + 1)
+        totals = [sum(n for n, _ in series[:i]) for i in range(len(series) + 1)]
+        ends = [sum(n for n, _ in buckets[:i]) for i in range(len(buckets) + 1)]
+        assert set(ends) <= set(totals) and ends[-1] == totals[-1]
+        assert sum(e for _, e in buckets) == sum(e for _, e in series)
+        assert alarms <= plain_alarms and len(alarms) >= 2
+        missed += len(plain_alarms - alarms)
+    assert missed <= 1
+
+
+def test_error_window_of_few_chunks_is_exact():
+    """Up to five chunks stand for themselves, so cuts equal those on the series."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        monitor, plain = learn.DriftMonitor(0.002), []
+        for _ in range(5):
+            n = rng.randrange(50, 5000)
+            e = float(int(n * rng.choice([0.05, 0.06, 0.4])))
+            plain.append((float(n), e))
+            monitor.update((0, 0), float(n), e)
+            while (at := learn.window_cut(plain, 0.002)) is not None:
+                del plain[:at]
+        assert monitor.windows[0, 0].buckets() == plain
+
+
+def test_cells_learn_from_one_table(spark, monkeypatch):
+    """All cells of a chronological comparison read one stored table and find what training on a copy finds."""
+    rng = random.Random(3)
+    rows = [(0, i, 1000.0 + i, float(rng.choice([-50, -70])), 2, 0, 40, rng.choice(["target", "other"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "file_ordinal int, packet_index long, timestamp double, ssi double, frame_type int, "
+                                     "frame_subtype int, data_size int, label string")
+    df = df.withColumn("label", F.when(F.col("ssi") == -50, "target").otherwise("other")).withColumn("hour", F.lit(1)).withColumn("data_rate", F.lit(1.0))
+    settings = learn.LearnerSettings(chunks=2, n_models=2)
+    names = []
+    kept = jobs.materialise
+    monkeypatch.setattr(learn, "materialise", lambda d, name, *a: names.append(name) or kept(d, name, *a))
+    out = jobs.compare_models(df, ["adaptive_hoeffding_tree", "oza_boost"], [0.3, 0.7], settings=settings, parallel=2).collect()
+    assert names.count("training-inputs") == 1 and "training-rows" not in names
+    for r in out:
+        parts = sampling.chronological_split(df, r["train_fraction"])
+        metrics, _ = jobs.evaluate_holdout(parts, r["model_id"], settings=settings)
+        m = metrics.first()
+        assert (r["train_rows"], r["test_rows"], r["accuracy"], r["f1"]) == (m["train_examples"], m["n_examples"], m["accuracy"], m["f1"])
