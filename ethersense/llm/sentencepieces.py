@@ -261,9 +261,13 @@ def _draw_one(lattice: _Lattice, state: int, u: float) -> int:
     return at
 
 
-def _sample_row(lattice: _Lattice, start: _Start, i: int, fresh: list[tuple], units: tuple[int, int], seed: int, k: int):
+def _sample_row(
+    lattice: _Lattice, fresh: list[tuple], units: tuple[int, int], seed: int, k: int, start: _Start | None = None, i: int = 0
+):
     """The ``k`` best noisy segmentations of one row: (edges, log-probability, noisy score), and the next score."""
     u0, u1 = units
+    if start is None:
+        start = _Start(lattice, fresh[0], [u0, u1], np.array([seed & _WORD], np.uint64).view(np.int64))
 
     def fresh_path(r: int, frm: int) -> np.ndarray:
         flat, begin = fresh[r]
@@ -369,7 +373,7 @@ def _encode_rows(path: str, k: int, sharpness: float, keep_ids: bool):
                 if bounds[i] == bounds[i + 1]:
                     rows.append((i, 1, np.empty(0, np.int64), 0.0, 1.0, True, 0.0))
                     continue
-                found, bar = _sample_row(lattice, start, i, fresh, (bounds[i], bounds[i + 1]), int(seeds[i]), k)
+                found, bar = _sample_row(lattice, fresh, (bounds[i], bounds[i + 1]), int(seeds[i]), k, start, i)
                 for s, (edges, log_p, _) in enumerate(found):
                     ids = _ids_of(lattice, edges)
                     gap = log_p - bar
