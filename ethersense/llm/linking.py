@@ -76,8 +76,9 @@ def link_components(
     and ``passes(meta, meta)`` holds. ``verify`` takes distinct pairs ``(a, b)`` and keeps the linked ones.
     ``repeated`` says that ``keyed`` may have equal rows.
 
-    First every node is tested against a few leaders of each of its keys (the smallest node of each of
-    ``LEADERS`` hash classes), which joins a large group of copies with a few tests a row. Then only nodes
+    First every node is tested against one other, the smallest that leads one of its keys; that joins most of a
+    large group of copies with one test a row. Nodes that a key's leaders do not hang together with are tested against
+    a few of them (the smallest node of each of ``LEADERS`` hash classes). Then only nodes
     outside the component of their key's smallest node are tested, against the rows of other
     components. Links inside a component that already hangs together change no component, so the
     result equals that of testing all pairs.
@@ -93,19 +94,35 @@ def link_components(
     rows = keyed.mapInArrow(thin, keyed.schema).join(shared, "key")
     rows = materialise(rows.distinct() if repeated else rows, "keyed")
     discard(shared)
-    lead = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(
-        F.min(F.struct("node", "meta")).alias("lead")
-    )
-    tests = rows.join(lead, "key").where((F.col("node") != F.col("lead.node")) & passes(F.col("meta"), F.col("lead.meta")))
-    first = materialise(
-        tests.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct(), "pairs"
-    )
+    def test(rows: DataFrame, leaders: DataFrame, apart: Column) -> DataFrame:
+        return rows.join(leaders, "key").where(apart & passes(F.col("meta"), F.col("lead.meta"))).select("node", F.col("lead.node").alias("other"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    head = rows.groupBy("key").agg(F.min(F.struct("node", "meta")).alias("lead"))
+    single = test(rows, head, F.col("node") != F.col("lead.node")).groupBy("node").agg(F.min("other").alias("other"))
+    first = materialise(ordered(single), "pairs")
     links = materialise(verify(first).select("a", "b"), "linked")
     parts = connected_components(links)
+    own = parts.select("node", F.col("component").alias("part"))
+    keyed = rows.join(own, "node", "left").select("key", "node", "meta", F.coalesce("part", "node").alias("part"))
+    apart = keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    old, rows = rows, materialise(keyed.join(apart, "key"), "keyed")
+    discard(old)
+    lead = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(
+        F.min(F.struct("node", "meta", "part")).alias("lead")
+    )
+    tests = ordered(test(rows, lead, F.col("part") != F.col("lead.part"))).join(first, ["a", "b"], "left_anti")
+    more = materialise(tests, "pairs")
+    first = first.union(more)
+    links = materialise(links.union(verify(more).select("a", "b")), "linked")
+    old, parts = parts, connected_components(links)
+    discard(old)
 
     part = parts.select("node", F.col("component").alias("part"))
     named = materialise(
-        rows.join(part, "node", "left").select("key", "node", "meta", F.coalesce("part", "node").alias("part")), "keyed"
+        rows.drop("part").join(part, "node", "left").select("key", "node", "meta", F.coalesce("part", "node").alias("part")), "keyed"
     )
     discard(rows, parts)
     # keys whose rows do not hang together yet
@@ -123,8 +140,8 @@ def link_components(
         & passes(F.col("a_meta"), F.col("meta"))
     ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    discard(rows, first)
-    more = materialise(verify(second).select("a", "b"), "linked")
-    found = connected_components(links.union(more))
-    discard(second, links, more)
+    discard(rows, more)
+    last = materialise(verify(second).select("a", "b"), "linked")
+    found = connected_components(links.union(last))
+    discard(second, links, last)
     return found

@@ -20,6 +20,8 @@ SKETCH_BITS = 20
 SKETCH_BLOCK = 1024
 #: Parts of the hash space that the suffix filter counts.
 SUFFIX_PARTS = 64
+#: Words of 64 bits that mark which parts of the hash space a set has shingles in.
+MARKS = 4
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -40,6 +42,13 @@ def _profile(hashes: np.ndarray) -> bytes:
     return np.bincount(part, minlength=SUFFIX_PARTS).astype("<u4").tobytes()
 
 
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """One bit per part of the hash space, set where a shingle falls into it."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[((hashes >> np.uint64(20)) % np.uint64(64 * MARKS)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _survey(k: int):
     """Per row its set size, identity and profile; per task one frequency sketch."""
 
@@ -85,7 +94,7 @@ def _prefixes(k: int, percent: int, sketch):
     def run(batches):
         counts = np.frombuffer(sketch.value, "<i8")
         for batch in pieces(batches, "text"):
-            keys, nodes, sizes, places = [], [], [], []
+            keys, nodes, sizes, places, marks = [], [], [], [], []
             for s in row_shingles(*text_bytes(batch.column("text")), k):
                 n = len(s)
                 if not n:
@@ -98,11 +107,14 @@ def _prefixes(k: int, percent: int, sketch):
                 places.append(place)
                 sizes.append(np.full(len(place), n))
                 nodes.append(np.full(len(place), _node(s)))
+                marks.append(np.broadcast_to(_marks(s), (len(place), MARKS)))
             if keys:
+                marked = np.concatenate(marks)
                 yield pa.record_batch([
                     pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes).astype(np.int64)),
                     pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)),
-                ], names=["key", "node", "n", "pos"])
+                    *[pa.array(np.ascontiguousarray(marked[:, i])) for i in range(MARKS)],
+                ], names=["key", "node", "n", "pos", *[f"m{i}" for i in range(MARKS)]])
 
     return run
 
@@ -210,10 +222,11 @@ def _linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         counts[row["block"]] = np.frombuffer(row["data"], "<i8")
     sketch = spark.sparkContext.broadcast(counts.astype("<i8").tobytes())
 
+    marks = [f"m{i}" for i in range(MARKS)]
     prefixes = materialise(
-        docs.mapInArrow(_prefixes(words, percent, sketch), "key long, node long, n int, pos int"), "prefixes"
+        docs.mapInArrow(_prefixes(words, percent, sketch), "key long, node long, n int, pos int, " + ", ".join(f"{m} long" for m in marks)), "prefixes"
     )
-    keyed = prefixes.select("key", "node", F.struct("n", "pos").alias("meta"))
+    keyed = prefixes.select("key", "node", F.struct("n", "pos", *marks).alias("meta"))
 
     def passes(x: Column, y: Column) -> Column:
         n, m, i, j = x["n"].cast("long"), y["n"].cast("long"), x["pos"], y["pos"]
@@ -222,7 +235,10 @@ def _linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         need = F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
         prefix = (i <= n - need) & (j <= m - need)
         most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-        return length & prefix & (most >= need)
+        # a part that only one set marks holds a shingle that the other lacks
+        lacks = sum((F.bit_count(x[m].bitwiseAND(F.bitwise_not(y[m]))) for m in marks), F.lit(0)) <= n - need
+        lacked = sum((F.bit_count(y[m].bitwiseAND(F.bitwise_not(x[m]))) for m in marks), F.lit(0)) <= m - need
+        return length & prefix & (most >= need) & lacks & lacked
 
     profile = sets.where("n > 0").groupBy("node").agg(
         F.min("data").alias("data"), F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("has_null")
