@@ -1317,9 +1317,13 @@ def _stump_query(name: str, model_id: str, members: str, weight: str, attach=Non
         rows = _trainable(spark, sf)
         rows = rows if attach is None else attach(rows)
         model, _rows = learn.train(rows, model_id, settings=ONE_CHUNK, weight=None if attach is None else "sample_weight")
-        share = lambda c: F.round(F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)), 4).alias(c)
-        return trees.node_table(spark, model).select(
-            "member", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "code", "left", "right", share("other"), share("target"))
+        return _node_rows(spark, model)
+
+
+def _node_rows(spark, model) -> DataFrame:
+    share = lambda c: F.round(F.coalesce(F.try_element_at("weights", F.lit(c)), F.lit(0.0)), 4).alias(c)
+    return trees.node_table(spark, model).select(
+        "member", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "code", "left", "right", share("other"), share("target"))
 
 
 _TEN = "(SELECT unnest(range(10)) AS member) m"
@@ -1347,12 +1351,13 @@ def _(spark, sf):
         F.lit(rows).alias("train_examples"), "node_id", "weights")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", _stump_sql(_TEN, _DRAW))
 def _(spark, sf):
-    model, _rows = _small_model(spark, sf)
+    """A trained model, stored and loaded again."""
+    model, _rows = learn.train(_trainable(spark, sf), "leveraging_bag", settings=ONE_CHUNK)
     path = work_path(spark, "model")
     trees.save_model(spark, model, path)
-    return trees.node_table(spark, trees.load_model(spark, path))
+    return _node_rows(spark, trees.load_model(spark, path))
 
 
 @query("classify_frames", RULE_ALL + f" SELECT {PREDICTION_LIST} FROM rule_preds")
