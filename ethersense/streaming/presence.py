@@ -16,6 +16,7 @@ from ethersense.operators.windows import (
     TIME,
     WindowSettings,
     frame_window_stats,
+    marked,
     merge_stats,
     replay_time_stats,
     state_changes,
@@ -149,8 +150,11 @@ class ReplayEngine:
         )
 
     def _place(self, batch: DataFrame, number: int, position: int) -> tuple[DataFrame, int]:
-        """The batch's predictions with their places in the stream, stored, and how many there are."""
-        numbered = add_position(_with_ordinal(batch))
+        """The batch's marks with their places in the stream, stored, and how many rows there are.
+
+        Both kinds of windows read them, so the texts of probabilities are parsed once and never exchanged.
+        """
+        numbered = add_position(marked(_with_ordinal(batch), self.targets))
         counted = Observation()
         placed = materialise(
             numbered.withColumn("frame_pos", F.col("frame_pos") + F.lit(position))
@@ -257,8 +261,8 @@ class LiveEngine(ReplayEngine):
         preds.select(*sorted(f.name for f in PREDICTIONS.fields)).observe(
             counted, F.count(F.lit(1)).alias("rows")
         ).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-        stored = self.spark.read.schema(PREDICTIONS).json(path)
-        return stored.withColumn("frame_pos", F.col("packet_index")), counted.get["rows"]
+        stored = self.spark.read.schema(PREDICTIONS).json(path).withColumn("frame_pos", F.col("packet_index"))
+        return materialise(marked(stored, self.targets), "batch"), counted.get["rows"]
 
     def predictions(self) -> DataFrame:
         return self.spark.read.schema(PREDICTIONS).json(f"{self.folder}/predictions/*")

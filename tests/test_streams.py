@@ -176,3 +176,26 @@ def test_replay_of_fractions(spark):
     assert sorted(map(str, engine.events().select(keys).collect())) == sorted(map(str, batch.select(keys).collect()))
 
 
+
+
+def test_engines_store_marks_instead_of_texts(spark):
+    """Both kinds of windows read the stored batch, so texts of probabilities are parsed before it is stored."""
+    rows = [(1000.0 + i, i, "a", 0.5, '{"a": 0.7, "b": 0.3}', None) for i in range(5)]
+    batch = spark.createDataFrame(rows, SCHEMA)
+    engine = presence.ReplayEngine(spark, ["a", "b"], WindowSettings(), work_path(spark, "replay"))
+    placed, count = engine._place(batch, 0, 10)
+    assert count == 5 and "probabilities_json" not in placed.columns
+    got = {r["frame_pos"]: {m["target_id"]: m["p"] for m in r["_marks"]} for r in placed.collect()}
+    assert got == {10 + i: {"a": 0.7, "b": 0.3} for i in range(5)}
+
+
+def test_record_layer_is_compiled(spark, tmp_path):
+    """No method of the record projections is beyond the 8000 bytes up to which the JVM compiles one."""
+    from ethersense import demo
+
+    spark.sql("""SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts, id % 20 AS user_id, 'click' AS event_type,
+                 1.5D AS value, '{"k": 3}' AS props FROM range(50)""").write.parquet(f"{tmp_path}/events.parquet")
+    plan = demo.make_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan()
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    parts = getattr(debug, "MODULE$").codegenStringSeq(plan)
+    assert parts.size() and max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
