@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ethersense.llm import conversations as cv
-from ethersense.llm import ann, language, line_dedup, ngram_join, sentencepieces, toxicity, whitening
+from ethersense.llm import ann, language, line_dedup, linking, ngram_join, sentencepieces, toxicity, whitening
 from ethersense.llm.queries import op11_language, op12_whiten, op13_repair, tokenizer_path
 
 MARK = re.compile(r"[^\x20\x09-\x0D]")
@@ -403,3 +403,32 @@ def test_decoding_by_table():
     for text in ("Hello  world", "a\nb", "日本語 € é", "x" * 300, " lead", "tail ", "\t tab"):
         ids = np.array(model.model.encode(text))
         assert sentencepieces.decode_ids(model, ids) == model.model.decode(ids.tolist())
+
+
+def test_large_loose_group_takes_few_tests(spark):
+    """A key of many nodes of which every eighth pair is linked: the group grows together without testing all pairs."""
+    n = 300
+    linked = lambda a, b: (a * 1103515245 + b * 12345 >> 7) % 8 == 0
+    keyed = spark.range(n).select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.struct(F.lit(1).alias("x")).alias("meta"))
+    tested = []
+
+    def verify(pairs):
+        tested.append(pairs.count())
+        return pairs.where(F.expr("shiftright(a * 1103515245L + b * 12345L, 7) % 8 = 0"))
+
+    found = {r["node"]: r["component"] for r in linking.link_components(keyed, lambda x, y: F.lit(True), verify).collect()}
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a + 1, n):
+            if linked(a, b):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {x: root(x) for x in range(n)}
+    assert {x: found.get(x, x) for x in range(n)} == want
+    assert sum(tested) <= 50 * n
