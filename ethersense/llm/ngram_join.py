@@ -158,15 +158,25 @@ def _spot(nodes: np.ndarray, ids: pa.Array) -> np.ndarray:
 
 
 def _spots(batches):
+    """A number for each set with its row id, and one for the row id alone."""
     for batch in batches:
-        yield pa.record_batch([pa.array(_spot(np.asarray(batch.column("node")), batch.column("doc_id")))], names=["spot"])
+        nodes, ids = np.asarray(batch.column("node")), batch.column("doc_id")
+        both = np.concatenate([_spot(nodes, ids), _spot(np.zeros(len(nodes), np.int64), ids)])
+        yield pa.record_batch([pa.array(both)], names=["spot"])
 
 
 def _with_node(k: int, likely):
-    """Sets and texts, less the rows that surely are none of the ``likely`` spots."""
+    """Sets and texts, less the rows that surely are none of the ``likely`` spots; only rows of likely ids are cut into shingles."""
+
+    def owned(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            kept = batch.filter(pa.array(maybe_member(likely, _spot(np.zeros(len(ids), np.int64), ids))))
+            if kept.num_rows:
+                yield kept
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(owned(batches), "text"):
             sets = row_shingles(*text_bytes(batch.column("text")), k)
             nodes = np.array([_node(s) for s in sets], np.int64)
             keep = pa.array(maybe_member(likely, _spot(nodes, batch.column("doc_id"))))

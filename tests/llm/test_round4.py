@@ -1,9 +1,14 @@
-"""What earlier rounds left on disk: shuffle files."""
+"""What earlier rounds left on disk or did twice: shuffle files, and shingles of rows that no pair needs."""
 
 import time
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ethersense.llm import ngram_join
+from ethersense.llm.linking import MAP_BITS, _map_place
 from ethersense.session import CLEANUP, materialise
 
 
@@ -23,3 +28,22 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert not left
     assert spark.conf.get(CLEANUP, None) == setting
     assert stored.count() == 100 and stored.agg(F.sum("s")).first()[0] == 9_999 * 5_000
+
+
+def test_only_rows_of_wanted_ids_are_cut_into_shingles(monkeypatch):
+    texts = [f"word{i} and some more of them {i}" for i in range(200)] + [None, "null id one two three"]
+    ids = [*range(200), 200, None]
+    rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    nodes = [ngram_join._node(s) for s in ngram_join.row_shingles(*ngram_join.text_bytes(rows.column("text")), 4)]
+    wanted = [7, 90, 201]  # the last is the row without an id
+    picked = pa.record_batch([pa.array([nodes[i] for i in wanted]), pa.array([ids[i] for i in wanted], pa.int64())], names=["node", "doc_id"])
+    bits = np.zeros(1 << MAP_BITS, bool)
+    for batch in ngram_join._spots(iter([picked])):
+        bits[_map_place(np.asarray(batch.column("spot")))] = True
+    likely = SimpleNamespace(value=np.packbits(bits, bitorder="little").tobytes())
+    cut = []
+    plain = ngram_join.row_shingles
+    monkeypatch.setattr(ngram_join, "row_shingles", lambda data, offsets, k: cut.append(len(offsets) - 1) or plain(data, offsets, k))
+    got = [x for b in ngram_join._with_node(4, likely)(iter([rows])) for x in b.to_pylist()]
+    assert got == [{"node": nodes[i], "text": texts[i]} for i in wanted]
+    assert sum(cut) == 4  # id 0 counts as likely along with the row without an id
