@@ -8,14 +8,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethersense.llm.textwork import pieces
 from ethersense.session import materialise, work_path
 
-#: Words remembered by a task, so that each is tokenized once or a few times.
-REMEMBERED = 500_000
+#: Words remembered by a task, so that each is tokenized once or a few times. As many again are kept from before:
+#: a word that comes back is taken over from them, so only those not seen for so long are forgotten.
+REMEMBERED = 400_000
 BLOCK_TOKENS = 1 << 16
 #: Lengths of the four values that a control byte describes, and of all four.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -25,53 +27,80 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Words(dict):
+class _Words:
     """Token ids (as bytes, four each) of white-space separated words, as the tokenizer gives them inside a text.
 
     The tokenizer drops white space and never merges across it. A word of Latin letters is one piece of its
     pre-tokenizer, so the model alone tells its ids; closing punctuation is a piece of its own.
     """
 
-    CLOSING = ".,;:!?|"
+    CLOSING = ".,;:!?|$%&#*()[]{}\""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cores: dict[str, bytes] = {}
-
-    def core(self, word: str) -> bytes:
-        low = word.lower()
-        ids = self.cores.get(low)
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, ord("İ")) if chr(c).isalpha()}
+        # lower-case letters, and what else there is; each with those remembered before
+        self.letters: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.others: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    @staticmethod
+    def _remembered(part: str, memory: tuple[dict[str, bytes], dict[str, bytes]], tokenize) -> bytes:
+        now, before = memory
+        ids = now.get(part)
         if ids is None:
-            if len(self.cores) >= REMEMBERED:
-                self.cores.clear()
-            shown = low if low.isascii() else self.letters.pre_tokenize_str(low)[0][0]
-            ids = self.cores[low] = _packed([t.id for t in self.model.tokenize(shown)])
+            ids = before.get(part)
+            if ids is None:
+                ids = _packed(tokenize(part))
+            if len(now) >= REMEMBERED:
+                before.clear()
+                before.update(now)
+                now.clear()
+            now[part] = ids
         return ids
 
-    def __missing__(self, raw: bytes) -> bytes:
-        word = raw.decode("utf-8", "replace")
-        core = word.rstrip(self.CLOSING)
-        # below U+0130 lower case is one letter for one letter and letters are composed
-        if core and core.isalpha() and max(core) < "İ":
-            ids = self.core(core)
+    def _model_ids(self, low: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.shown))]
+
+    def _text_ids(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
+    def find(self, words: list[str]) -> list[bytes]:
+        out, known, closing = [], self.letters[0].get, self.CLOSING
+        for word in words:
+            core = word.rstrip(closing)
+            ids = known(core.lower()) if core.isascii() else None
+            if ids is None:
+                # below U+0130 lower case is one letter for one letter and letters are composed
+                if core.isalpha() and (core.isascii() or max(core) < "İ"):
+                    ids = self._remembered(core.lower(), self.letters, self._model_ids)
+                else:
+                    out.append(self._remembered(word, self.others, self._text_ids))
+                    continue
             if len(core) < len(word):
-                tail = word[len(core) :]
-                end = self.cores.get(tail)
-                if end is None:
-                    end = self.cores[tail] = _packed(self.tokenizer.encode(tail, add_special_tokens=False).ids)
-                ids = ids + end
-        else:
-            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[raw] = ids
-        return ids
+                ids += self._remembered(word[len(core) :], self.others, self._text_ids)
+            out.append(ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Token ids of each text; null counts as empty. Every word is looked up once for all its places."""
+        if pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.string())
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        cuts = np.asarray(parts.offsets)
+        coded = parts.values.dictionary_encode()
+        found = self.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids, head, place = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, np.asarray(coded.indices)
+        size = size[place]
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.arange(end[-1]) + np.repeat(head[place] - end[:-1], size)]
+        cuts = end[cuts - cuts[0]].tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 _words: dict[str, _Words] = {}
@@ -82,11 +111,11 @@ def _tokenize(path: str, end_id: int):
         words = _words.get(path)
         if words is None:
             words = _words[path] = _Words(path)
-        get, end = words.__getitem__, _packed([end_id])
-        for batch in pieces(batches, "text"):
+        end = np.array([end_id], "<u4")
+        for batch in pieces(batches, "text", 1 << 23):
             out = []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(b"".join([*map(get, (text or "").encode("utf-8", "surrogatepass").split()), end]), "<u4")
+            for ids in words.encode(batch.column("text")):
+                ids = np.concatenate([ids, end])
                 narrow = int(ids.max()) < 65536
                 out.append(ids.astype("<u2").tobytes() + b"\2" if narrow else ids.tobytes() + b"\4")
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])

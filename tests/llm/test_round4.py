@@ -1,4 +1,4 @@
-"""What earlier rounds left on disk or did twice: shuffle files, and shingles of rows that no pair needs."""
+"""What earlier rounds left on disk or did twice: shuffle files, shingles of rows that no pair needs, words tokenized again."""
 
 import time
 from types import SimpleNamespace
@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ethersense.llm import ngram_join
+from ethersense.llm import ngram_join, queries, token_files
 from ethersense.llm.linking import MAP_BITS, _map_place
 from ethersense.session import CLEANUP, materialise
 
@@ -47,3 +47,32 @@ def test_only_rows_of_wanted_ids_are_cut_into_shingles(monkeypatch):
     got = [x for b in ngram_join._with_node(4, likely)(iter([rows])) for x in b.to_pylist()]
     assert got == [{"node": nodes[i], "text": texts[i]} for i in wanted]
     assert sum(cut) == 4  # id 0 counts as likely along with the row without an id
+
+
+def test_words_are_looked_up_once_and_remembered(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    words = token_files._Words(queries.tokenizer_path("word_bpe_49k.json"))
+    model, whole, looked = [], [], []
+    plain_model, plain_text, plain_find = words._model_ids, words._text_ids, words.find
+    words._model_ids = lambda low: model.append(low) or plain_model(low)
+    words._text_ids = lambda part: whole.append(part) or plain_text(part)
+    words.find = lambda found: looked.extend(found) or plain_find(found)
+    letters = "abcdefgh"
+    names = ["wort" + a + b for a in letters for b in letters]  # more than are remembered at a time
+    for at in range(0, len(names), 16):
+        words.encode(pa.array([" ".join(names[at : at + 16] * 3), names[0].upper() + ","]))
+    assert model == names and whole == [","]
+    assert len(looked) == len(names) + 4  # not once for each of their three places
+
+
+def test_words_in_any_text_as_the_library_gives_them():
+    words = token_files._Words(queries.tokenizer_path("word_bpe_49k.json"))
+    parts = [
+        "The", "the,", "THE***", "caf\u00e9$$$", "\u00c0\u00c9\u00de)", "stra\u00dfe\"", "don't", "cats'.", "x-.", "x-", "4.0.", "5%", "...", "|", "a#b#",
+        "a<|endoftext|>", "<|endoftext|>", "a|>", "<|", "\u212a", "\u212b.", "k", "\u0130x", "\u017f", "e\u0301", "\u00b5m", "a\u00a0b", "a\x1cb", "\u4e2d\u6587.", "[x](y)",
+    ]
+    texts = [None, "", " ", "\t" + "\n".join(parts) + " ", *parts, *(p + "{}" for p in parts), "a\x0bb\x0cc\rd"]
+    plain = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for rows in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["cut off", *texts])[1:]):
+        assert [x.tolist() for x in words.encode(rows)] == plain
+    assert words.encode(pa.array([], pa.string())) == []
