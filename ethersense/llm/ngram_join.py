@@ -272,8 +272,7 @@ def _linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_check(words, percent), "a long, b long")
 
-    parts = link_components(keyed, passes, verify)
-    discard(prefixes)
+    parts = link_components(keyed, passes, verify, stored=[prefixes])
     return sets, profile.select("node", "doc_id").join(parts, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component")
     )

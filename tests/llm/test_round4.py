@@ -1,5 +1,8 @@
 """What earlier rounds left on disk or did twice: shuffle files, shingles of rows that no pair needs, words tokenized again."""
 
+import os
+import random
+import tempfile
 import time
 from types import SimpleNamespace
 
@@ -7,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ethersense.llm import ngram_join, queries, token_files
+from ethersense.llm import edits, line_dedup, ngram_join, queries, token_files
 from ethersense.llm.linking import MAP_BITS, _map_place
-from ethersense.session import CLEANUP, materialise
+from ethersense.session import CLEANUP, materialise, shared_dir
 
 
 def shuffle_files(spark):
@@ -76,3 +79,72 @@ def test_words_in_any_text_as_the_library_gives_them():
     for rows in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["cut off", *texts])[1:]):
         assert [x.tolist() for x in words.encode(rows)] == plain
     assert words.encode(pa.array([], pa.string())) == []
+
+
+def plain_distance(a, b):
+    above = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
+        above = row
+    return above[-1]
+
+
+def test_edit_distances_of_many_pairs_agree_with_the_plain_table():
+    draw = random.Random(5)
+    seen = set()
+    for letters in ("ab", "abcdefgh \x00\x01\x02", "abé日\U0001d11e"):
+        for similarity in (0.8, 0.5, 0.95):
+            pairs = []
+            for _ in range(250):
+                x = [draw.choice(letters) for _ in range(draw.choice((0, 1, 2, 5, 11, 30, 64, 65)))]
+                y = list(x)
+                for _ in range(draw.randrange(len(x) // 2 + 2)):
+                    at = draw.randrange(len(y) + 1)
+                    y[at : at + draw.randrange(2)] = draw.choice(["", draw.choice(letters)])
+                pairs.append(draw.sample(["".join(x), "".join(y)], 2))
+            right = [plain_distance(x, y) <= int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in pairs]
+            batches = [pa.record_batch([pa.array([i]), pa.array([-i]), pa.array([x]), pa.array([y])], names=["a", "b", "x", "y"])
+                       for i, (x, y) in enumerate(pairs)]
+            got = [x for b in edits.near_pairs(similarity)(iter(batches)) for x in b.to_pylist()]
+            assert got == [{"a": i, "b": -i} for i, good in enumerate(right) if good]
+            seen |= set(right)
+    assert seen == {True, False}
+
+
+def test_one_pair_of_very_long_lines():
+    draw = random.Random(6)
+    x = "".join(draw.choice("abcdefgh ") for _ in range(18_000))
+    y = "".join(c for i, c in enumerate(x) if i % 10)
+    started = time.process_time()
+    assert edits.within(pa.array([x, x]), pa.array([y, x[::-1]]), 0.8).tolist() == [True, False]
+    assert time.process_time() - started < 30
+
+
+def test_keys_of_lines_are_made_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"line number {i} of a text about {'abcdefgh'[i % 8] * 3}\nthe same end of all") for i in range(40)], "doc_id long, text string")
+    calls, plain = str(tmp_path), line_dedup._similar_keys
+
+    def counted(*settings):
+        run = plain(*settings)
+
+        def count(batches):
+            def noted(batch):
+                for i in batch.column("text").to_pylist():
+                    tempfile.mkstemp(dir=calls)
+                return batch
+
+            return run(map(noted, batches))
+
+        return count
+
+    line_dedup._similar_keys = counted
+    try:
+        found = line_dedup.duplicate_lines(docs, min_words=1, distance=None).collect()
+    finally:
+        line_dedup._similar_keys = plain
+    assert len(os.listdir(calls)) == 40
+    assert all(1 in r["removed"] for r in found) and len(found) == 39
+    work = shared_dir(spark)
+    assert not [x for x in os.listdir(work) if x.startswith("line-keys") and os.path.getmtime(f"{work}/{x}") > os.path.getmtime(calls) - 1]
