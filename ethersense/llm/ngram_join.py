@@ -270,7 +270,9 @@ def _linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         texts = materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
         x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        return pairs.join(x, "a").join(y, "b").mapInArrow(_check(words, percent), "a long, b long")
+        found = materialise(pairs.join(x, "a").join(y, "b").mapInArrow(_check(words, percent), "a long, b long"), "verified")
+        discard(pairs, ids, texts)
+        return found
 
     parts = link_components(keyed, passes, verify, stored=[prefixes])
     return sets, profile.select("node", "doc_id").join(parts, "node", "left").select(

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ethersense.llm import edits, line_dedup, ngram_join, queries, token_files
+from ethersense.llm import edits, line_dedup, linking, ngram_join, queries, token_files
 from ethersense.llm.linking import MAP_BITS, _map_place
 from ethersense.session import CLEANUP, materialise, shared_dir
 
@@ -148,3 +148,33 @@ def test_keys_of_lines_are_made_once(spark, tmp_path):
     assert all(1 in r["removed"] for r in found) and len(found) == 39
     work = shared_dir(spark)
     assert not [x for x in os.listdir(work) if x.startswith("line-keys") and os.path.getmtime(f"{work}/{x}") > os.path.getmtime(calls) - 1]
+
+
+def test_no_rounds_where_candidates_are_no_links(spark):
+    """Nodes that share a wide key but are never linked are tested once each pair, not in rounds before."""
+    keyed = spark.range(60).select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.struct(F.lit(1).alias("x")).alias("meta"))
+    tested = []
+
+    def verify(pairs):
+        tested.append(pairs.count())
+        return pairs.where("a = 7 and b = 31")
+
+    found = {r["node"]: r["component"] for r in linking.link_components(keyed, lambda x, y: F.lit(True), verify).collect()}
+    assert found == {7: 7, 31: 7}
+    assert tested == [59, 60 * 59 // 2 - 59]
+
+
+def test_texts_of_pairs_go_in_shares_and_do_not_stay(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"a text about {'abcdefgh'[i % 8] * 9} and what {'xyz'[i % 3] * 5} it may be called here{'.' * (i % 2)}") for i in range(48)],
+        "doc_id long, text string",
+    )
+    find = lambda: {r["doc_id"] for r in line_dedup.duplicate_lines(docs, min_words=1, distance=None).collect()}
+    tables = lambda kind: {x for x in os.listdir(shared_dir(spark)) if x.startswith(kind)}
+    texts, whole = tables("pair-texts"), find()
+    seen = tables("verified")
+    monkeypatch.setattr(line_dedup, "SHARE", 0)
+    monkeypatch.setattr(line_dedup, "SHARE_CHARS", 500)
+    assert find() == whole and 0 < len(whole) < 48
+    assert len(tables("verified") - seen) > 3
+    assert tables("pair-texts") == texts
