@@ -170,11 +170,12 @@ def test_texts_of_pairs_go_in_shares_and_do_not_stay(spark, monkeypatch):
         "doc_id long, text string",
     )
     find = lambda: {r["doc_id"] for r in line_dedup.duplicate_lines(docs, min_words=1, distance=None).collect()}
-    tables = lambda kind: {x for x in os.listdir(shared_dir(spark)) if x.startswith(kind)}
-    texts, whole = tables("pair-texts"), find()
-    seen = tables("verified")
+    stored, plain = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name, *more: stored.append((name, out := plain(df, name, *more))) or out)
+    whole, before = find(), len(stored)
     monkeypatch.setattr(line_dedup, "SHARE", 0)
     monkeypatch.setattr(line_dedup, "SHARE_CHARS", 500)
     assert find() == whole and 0 < len(whole) < 48
-    assert len(tables("verified") - seen) > 3
-    assert tables("pair-texts") == texts
+    assert sum(name == "verified" for name, _ in stored[before:]) > 3
+    texts = [out._work_path for name, out in stored if name == "pair-texts"]
+    assert texts and not any(os.path.exists(x.removeprefix("file:")) for x in texts)
